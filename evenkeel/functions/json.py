@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -23,6 +24,11 @@ def json_get(col: Column, key: str | int) -> Column:
         else F.get_json_object(col, json_path(key))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Use ``value`` many times in ``body`` while it is written, and computed, once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def bundle_payload(col: Column, blank: str | None = "{}") -> Column:
     """Bring a payload to a JSON array text.
 
@@ -30,20 +36,20 @@ def bundle_payload(col: Column, blank: str | None = "{}") -> Column:
     JSON becomes one quoted item. One level of string-encoded JSON is unwrapped.
     A blank payload reads as ``blank``; with ``blank=None`` it gives null.
     """
-    text = trim_blanks(F.coalesce(col, F.lit("")))
-    text = F.when(text == "", F.lit(blank)).otherwise(text)
-    quoted = text.startswith('"') & text.endswith('"')
-    inner = F.when(quoted, F.try_variant_get(F.try_parse_json(text), "$", "string"))
-    text = F.coalesce(trim_blanks(inner), text)
-    wrapped = F.concat(F.lit("["), text, F.lit("]"))
-    parsed = F.try_parse_json(text)
-    return (
-        F.when(text.startswith("[") & text.endswith("]"), text)
-        .when(text.startswith("{") & text.endswith("}"), wrapped)
-        .when(text.isNotNull() & parsed.isNotNull() & (text != ""),
-              F.concat(F.lit("["), F.to_json(parsed), F.lit("]")))
-        .when(text.isNotNull(), F.concat(F.lit('["'), F.replace(text, F.lit('"'), F.lit('\\"')), F.lit('"]')))
-    )
+    def unwrapped(text: Column) -> Column:
+        inner = F.when(text.startswith('"') & text.endswith('"'),
+                       F.try_variant_get(F.try_parse_json(text), "$", "string"))
+        return F.when(text == "", F.lit(blank)).otherwise(F.coalesce(trim_blanks(inner), text))
+
+    def bundled(text: Column) -> Column:
+        other = let(F.try_parse_json(text), lambda parsed: F.when(
+            parsed.isNotNull() & (text != ""), F.concat(F.lit("["), F.to_json(parsed), F.lit("]"))).otherwise(
+            F.concat(F.lit('["'), F.replace(text, F.lit('"'), F.lit('\\"')), F.lit('"]'))))
+        return (F.when(text.startswith("[") & text.endswith("]"), text)
+                .when(text.startswith("{") & text.endswith("}"), F.concat(F.lit("["), text, F.lit("]")))
+                .when(text.isNotNull(), other))
+
+    return let(let(trim_blanks(F.coalesce(col, F.lit(""))), unwrapped), bundled)
 
 
 def name_variants(name: str) -> list[str]:

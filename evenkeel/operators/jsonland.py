@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import re
 import time
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from evenkeel.functions.equality import trim_blanks
-from evenkeel.functions.json import bundle_payload, json_path, name_variants
+from evenkeel.functions.events import node_values
+from evenkeel.functions.json import bundle_payload, json_path
 from evenkeel.operators.ranking import rank_rows
 from evenkeel.operators.skew import small_or_none
 
@@ -94,134 +92,7 @@ def infer_json_schema(landing: DataFrame, code: str | None = None) -> DataFrame:
     return kinds.select("name", both.alias("type"))
 
 
-# ---------------------------------------------------------------- events: nodes and paths
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _nodes(texts: pd.Series) -> pd.Series:
-    """The objects of a document that rules look at: list elements, ``data`` and ``orders``
-    below an object, and JSON kept as text in ``payload`` or ``data``."""
-
-    def walk(node):
-        if isinstance(node, list):
-            for child in node:
-                yield from walk(child)
-        elif isinstance(node, dict):
-            for name in ("payload", "data"):
-                if isinstance(node.get(name), str):
-                    try:
-                        yield from walk(json.loads(node[name]))
-                    except ValueError:
-                        pass
-            yield node
-            if isinstance(node.get("data"), (dict, list)):
-                yield from walk(node["data"])
-            if isinstance(node.get("orders"), list):
-                yield from walk(node["orders"])
-
-    def read(text):
-        try:
-            return [json.dumps(node) for node in walk(json.loads(text))]
-        except (TypeError, ValueError):
-            return []
-
-    return texts.map(read)
-
-
-def explode_nodes(events: DataFrame, payload: str = "payload", out: str = "node") -> DataFrame:
-    """One row per object of the payload, as JSON text. A flat object stays JVM-side."""
-    text = trim_blanks(F.col(payload))
-    deep = ~text.startswith("{") | text.rlike('"(data|orders|payload)"')
-    nested = _nodes(F.when(deep, text))
-    with_nodes = events.withColumn("__nodes", F.when(deep, nested).when(
-        F.try_parse_json(text).isNotNull(), F.array(text)))
-    return with_nodes.withColumn(out, F.explode("__nodes")).drop("__nodes")
-
-
-_MAP = "map<string,variant>"
-
-
-def _let(value: Column, body) -> Column:
-    """Use ``value`` many times in ``body`` while it is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _is(value: Column, prefix: str) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith(prefix), F.lit(False))
-
-
-def _child(node: Column, name: str) -> Column:
-    """Field of an object: by the name, its snake or camel form, else in any case."""
-    variants = name_variants(name)
-    lower = sorted({v.lower() for v in variants})
-
-    def pick(fields: Column) -> Column:
-        exact = [F.try_element_at(fields, F.lit(v)) for v in variants]
-        exact = [F.when(~_is(e, "VOID"), e) for e in exact]
-        other = F.filter(F.map_keys(fields), lambda k: F.lower(k).isin(lower))
-        return F.coalesce(*exact, F.try_element_at(fields, F.get(other, F.lit(0))))
-
-    return _let(F.try_variant_get(node, "$", _MAP), pick)
-
-
-def _scalar_text(value: Column) -> Column:
-    """Text of a value that is no object, list or null."""
-    plain = ~_is(value, "OBJECT") & ~_is(value, "ARRAY") & ~_is(value, "VOID")
-    return F.when(plain, F.nullif(F.try_variant_get(value, "$", "string"), F.lit("")))
-
-
-def _unwrapped(value: Column) -> Column:
-    """An object as it is; JSON kept as text, parsed."""
-    return F.when(_is(value, "OBJECT"), value).when(
-        _is(value, "STRING"), F.try_parse_json(F.try_variant_get(value, "$", "string")))
-
-
-def _step(node: Column, token: str) -> Column:
-    """One step of a dotted path; a list without an index goes to its first element."""
-    def into(n: Column) -> Column:
-        below = F.coalesce(_child(n, token),
-                           _let(_unwrapped(_child(n, "payload")), lambda p: _child(p, token)),
-                           _let(F.when(_is(_child(n, "data"), "OBJECT"), _child(n, "data")), lambda p: _child(p, token)))
-        if token.isdigit():
-            return F.when(_is(n, "ARRAY"), F.try_variant_get(n, f"$[{token}]", "variant")).otherwise(below)
-        return below
-
-    first = _let(node, lambda n: F.when(_is(n, "ARRAY") & F.lit(not token.isdigit()),
-                                        F.try_variant_get(n, "$[0]", "variant")).otherwise(n))
-    return _let(first, into)
-
-
-def path_value(node: Column, path: str, text_levels: int = 2) -> Column:
-    """Text at a path of a JSON object (a variant), or empty.
-
-    The name is tried on the object, then inside its ``payload`` and ``data`` (also
-    when these are JSON kept as text, up to ``text_levels`` deep), each time also in
-    snake case, camel case and any case. Last comes the path taken step by step,
-    as in ``a.b[0].c``.
-    """
-    path = path.strip()
-    if not path:
-        return F.lit("")
-    tries = [_scalar_text(_child(node, path))]
-    tries += [_let(_child(node, box), lambda v: F.when(_is(v, "OBJECT"), _scalar_text(_child(v, path))))
-              for box in ("payload", "data")]
-    if text_levels > 0:
-        tries += [
-            _let(_child(node, box), lambda v: F.when(_is(v, "STRING"), F.nullif(_let(
-                F.try_parse_json(F.try_variant_get(v, "$", "string")),
-                lambda inner: path_value(inner, path, text_levels - 1)), F.lit(""))))
-            for box in ("payload", "data")]
-    tokens = [t.strip() for t in path.replace("[", ".").replace("]", "").split(".") if t.strip()]
-    end = reduce(_step, tokens, node)
-    if len(tokens) > 1 or tokens[0] != path:
-        tries.append(_let(end, lambda v: F.when(_is(v, "ARRAY"), F.coalesce(
-            F.try_variant_get(v, "$[0]", "string"), F.lit(""))).when(_is(v, "OBJECT"), F.to_json(v))
-            .otherwise(_scalar_text(v))))
-    else:
-        tries.append(_let(_child(node, path), lambda v: F.when(
-            _is(v, "ARRAY"), F.coalesce(F.try_variant_get(v, "$[0]", "string"), F.lit("")))
-            .when(_is(v, "OBJECT"), F.to_json(v))))
-    return F.coalesce(*tries, F.lit(""))
-
+# ---------------------------------------------------------------- events: rules and parameters
 
 def value_matches(value: Column, wanted: str | None) -> Column:
     """Whether a value is in a comma list, ignoring case; ``*`` or nothing takes any value,
@@ -232,17 +103,20 @@ def value_matches(value: Column, wanted: str | None) -> Column:
     return F.coalesce(F.lower(F.trim(value)).isin(choices) & (F.trim(value) != ""), F.lit(False))
 
 
-def _with_values(events: DataFrame, payload: str, paths: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
-    names = {p: f"__p{i}" for i, p in enumerate(dict.fromkeys(paths))}
-    nodes = explode_nodes(events, payload, "__node").withColumn("__v", F.try_parse_json("__node"))
-    return nodes.withColumns({n: path_value(F.col("__v"), p) for p, n in names.items()}), names
+def _rule_test(rules: Sequence[Mapping[str, str]], values: Column) -> Column:
+    tests = [value_matches(values[i], r.get("value")) for i, r in enumerate(rules)]
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
+def _nodes(events: DataFrame, payload: str, paths: Sequence[str], unwrap: bool = True) -> DataFrame:
+    """One row per object of the events, as ``__e`` with its JSON and its values at the paths."""
+    return events.withColumn("__e", F.explode(node_values(F.col(f"`{payload}`"), paths, unwrap)))
 
 
 def match_events(events: DataFrame, rules: Sequence[Mapping[str, str]], payload: str = "payload") -> DataFrame:
     """Objects of the events that meet all rules ``{key, value}``, as column ``node``."""
-    valued, names = _with_values(events, payload, [r["key"] for r in rules])
-    test = reduce(lambda a, b: a & b, [value_matches(F.col(names[r["key"]]), r.get("value")) for r in rules], F.lit(True))
-    return valued.filter(test).withColumnRenamed("__node", "node").drop("__v", *names.values())
+    nodes = _nodes(events, payload, [r["key"] for r in rules])
+    return nodes.filter(_rule_test(rules, F.col("__e.values"))).withColumn("node", F.col("__e.node")).drop("__e")
 
 
 def extract_params(events: DataFrame, rules: Sequence[Mapping[str, str]], mappings: Sequence[Mapping[str, str]],
@@ -252,26 +126,29 @@ def extract_params(events: DataFrame, rules: Sequence[Mapping[str, str]], mappin
     Empty values read as null and objects giving none are left out. ``pk`` and
     ``value`` repeat the first value unless a mapping gives them.
     """
-    valued, names = _with_values(events, payload, [*(r["key"] for r in rules), *(m["source"] for m in mappings)])
-    test = reduce(lambda a, b: a & b, [value_matches(F.col(names[r["key"]]), r.get("value")) for r in rules], F.lit(True))
-    params = {m["target"]: F.nullif(F.trim(names[m["source"]]), F.lit("")) for m in mappings}
-    found = valued.filter(test).select(*by, *[c.alias(n) for n, c in params.items()])
+    values = F.col("__e.values")
+    nodes = _nodes(events, payload, [*(r["key"] for r in rules), *(m["source"] for m in mappings)])
+    params = {m["target"]: F.nullif(F.trim(values[len(rules) + i]), F.lit("")) for i, m in enumerate(mappings)}
+    found = nodes.filter(_rule_test(rules, values)).select(*by, *[c.alias(n) for n, c in params.items()])
     found = found.dropna("all", subset=list(params))
     first = F.coalesce(*[F.col(f"`{n}`") for n in params])
     return found.withColumns({n: first for n in ("pk", "value") if n not in params}).dropDuplicates()
 
 
+# Where an order keeps its status and its id, by preference.
+STATUS_PATHS = ("$.payload.orderStatus", "$.payload.status", "$.payload.order_status",
+                "$.orderStatus", "$.status", "$.order_status")
+ID_PATHS = ("$.payload.orderId", "$.payload.order_id", "$.orderId", "$.order_id")
+
+
 def order_ids(events: DataFrame, status: str | None, payload: str = "payload") -> DataFrame:
     """Distinct ids of the orders whose status is wanted, wherever they sit in the events."""
-    nodes = explode_nodes(events, payload, "__node").withColumn("__v", F.try_parse_json("__node"))
+    nodes = _nodes(events, payload, [], unwrap=False).withColumn("__v", F.try_parse_json("__e.node"))
 
-    def first_of(*paths: str) -> Column:
-        return F.coalesce(*[F.try_variant_get("__v", p, "string") for p in paths], F.lit(""))
+    def first_of(paths: Sequence[str]) -> Column:
+        return F.trim(F.coalesce(*[F.try_variant_get("__v", p, "string") for p in paths], F.lit("")))
 
-    state = first_of("$.payload.orderStatus", "$.payload.status", "$.payload.order_status",
-                     "$.orderStatus", "$.status", "$.order_status")
-    order = F.trim(first_of("$.payload.orderId", "$.payload.order_id", "$.orderId", "$.order_id"))
-    return nodes.filter(value_matches(state, status)).select(order.alias("order_id")) \
+    return nodes.filter(value_matches(first_of(STATUS_PATHS), status)).select(first_of(ID_PATHS).alias("order_id")) \
         .filter(F.col("order_id") != "").distinct()
 
 

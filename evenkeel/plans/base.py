@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +32,12 @@ class Tables:
 
     def sql(self, text: str) -> DataFrame:
         """Run SQL that names tables as ``{orders}``; the same text serves the checking engine."""
-        used = {name: getattr(self, name) for name in TABLES if "{%s}" % name in text}
-        return self.spark.sql(text, **used)
+        for name in TABLES:
+            if "{%s}" % name in text:
+                view = f"v{zlib.crc32(self.folder.encode()):08x}_{name}"
+                getattr(self, name).createOrReplaceTempView(view)
+                text = text.replace("{%s}" % name, view)
+        return self.spark.sql(text)
 
     def scratch(self, label: str) -> str:
         """A fresh folder in the session's shared checkpoint place."""
