@@ -21,22 +21,14 @@ TEXT = T.StringType()
 BOXES = ("payload", "data")
 
 
-class _Number(str):
-    """A number, as written."""
-
-
 def read(text: str | None):
     """The document, or None if it is not JSON."""
     try:
-        return json.loads(text, parse_int=_Number, parse_float=_Number)
+        return json.loads(text)
     except (TypeError, ValueError):
         return None
 
 
-def _is_text(value) -> bool:
-    return isinstance(value, str) and not isinstance(value, _Number)
-
-
 def objects(node, unwrap: bool = True) -> Iterator[dict]:
     """The objects rules look at: list elements, ``data`` and ``orders`` below an object,
     and, with ``unwrap``, JSON kept as text in ``payload`` or ``data``."""
@@ -46,7 +38,7 @@ def objects(node, unwrap: bool = True) -> Iterator[dict]:
     elif isinstance(node, dict):
         if unwrap:
             for box in BOXES:
-                if _is_text(node.get(box)):
+                if isinstance(node.get(box), str):
                     yield from objects(read(node[box]), unwrap)
         yield node
         yield from objects(node.get("data"), unwrap)
@@ -83,7 +75,7 @@ def as_text(value) -> str:
 
 def _opened(node):
     """An object whose ``payload`` is JSON text is read as that JSON."""
-    if isinstance(node, dict) and _is_text(node.get("payload")):
+    if isinstance(node, dict) and isinstance(node.get("payload"), str):
         inner = read(node["payload"])
         return node if inner is None else inner
     return node
@@ -115,7 +107,7 @@ def walk(node, tokens: Sequence[str]):
 def value_at(node, path: str) -> str:
     """Text at a path, or empty: the name on the object, in its ``payload`` and ``data``
     (also when these are JSON text), then the path step by step."""
-    if not isinstance(node, (dict, list)):
+    if not path or not isinstance(node, (dict, list)):
         return ""
     inside = [node.get(b) for b in BOXES] if isinstance(node, dict) else []
     for place in (node, *inside):
@@ -123,7 +115,7 @@ def value_at(node, path: str) -> str:
         if found is not None and not isinstance(found, (dict, list)) and as_text(found):
             return as_text(found)
     for box in inside:
-        if _is_text(box):
+        if isinstance(box, str):
             found = value_at(read(box), path)
             if found:
                 return found
@@ -154,6 +146,6 @@ def path_value(payload: Column, path: str) -> Column:
 
     @F.pandas_udf(TEXT)
     def look(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: value_at(read(text), wanted) if wanted else "")
+        return texts.map(lambda text: value_at(read(text), wanted))
 
     return look(payload)

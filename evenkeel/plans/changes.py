@@ -137,7 +137,7 @@ def land_changes_orders(t: Tables):
     path = t.scratch("landing")
     stream = t.spark.readStream.schema(t.orders.schema).option("pathGlobFilter", "orders.parquet").parquet(t.folder)
     changes.land_changes(order_messages(stream), f"{path}/rows", f"{path}/checkpoint", f"{path}/dead").awaitTermination()
-    landed = t.spark.read.parquet(f"{path}/rows/batch=*").filter("table_name = 'cdc_db_sales_orders'")
+    landed = changes.read_landing(t.spark, f"{path}/rows", "cdc_db_sales_orders")
     return changes.unwrap_changes(landed, ORDER_ROW, keep=["table_name"])
 
 

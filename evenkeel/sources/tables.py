@@ -77,7 +77,7 @@ def scan(spark: SparkSession, source: Source, table: str | None = None, query: s
         if bounds is None:
             edges = spark.read.format("jdbc").options(
                 url=source.jdbc_url(), dbtable=f"(SELECT MIN({partition_column}) AS lo, MAX({partition_column}) AS hi "
-                                               f"FROM {dbtable}{'' if table is None else ' t'}) b", **source.options).first()
+                                               f"FROM {dbtable}{'' if table is None else ' t'}) b", **source.options).load().first()
             bounds = (edges[0], edges[1])
         if bounds[0] is not None:
             reader = reader.options(

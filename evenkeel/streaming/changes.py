@@ -97,6 +97,12 @@ def land_changes(stream: DataFrame, path: str, checkpoint: str, dead_letters: st
         .trigger(**(trigger or {"availableNow": True})).start()
 
 
+def read_landing(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
+    """Landed messages, of one table or of all; other tables' folders are not read."""
+    rows = spark.read.parquet(path)
+    return (rows if table is None else rows.filter(F.col("table_name") == table)).drop("batch")
+
+
 def backfill(source: DataFrame, landing: DataFrame, clean: bool = True) -> DataFrame:
     """Source rows as landing rows of version 0: they fill gaps and never beat a real change.
 
