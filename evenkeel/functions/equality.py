@@ -84,10 +84,15 @@ def _plain_decimal(text: Column) -> Column:
 
 
 def _same_numeric_text(a: Column, b: Column) -> Column:
-    plain = r"^-?(\d+\.?\d*|\.\d+)$"
+    # Up to 19 characters without exponent fit a decimal(38,18) whole; longer ones compare by their digits.
+    short = F.greatest(F.length(a), F.length(b)) <= 19
     looks = r"^[0-9.\-]"
+    plain = r"^-?(\d+\.?\d*|\.\d+)$"
+    whole = T.DecimalType(38, 18)
+    marked = F.contains(a, F.lit("+")) | F.contains(b, F.lit("+")) | F.contains(F.lower(F.concat(a, b)), F.lit("e"))
     return (
-        F.when(a.rlike(plain) & b.rlike(plain), _plain_decimal(a) == _plain_decimal(b))
+        F.when(short & ~marked, F.coalesce(a.try_cast(whole) == b.try_cast(whole), F.lit(False)))
+        .when(a.rlike(plain) & b.rlike(plain), _plain_decimal(a) == _plain_decimal(b))
         .when(a.rlike(looks) & b.rlike(looks),
               F.coalesce(a.try_cast("double") == b.try_cast("double"), F.lit(False)))
         .otherwise(F.lit(False))

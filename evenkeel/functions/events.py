@@ -17,6 +17,7 @@ from pyspark.sql import Column, functions as F, types as T
 from evenkeel.functions.json import name_variants
 
 TEXT = T.StringType()
+_encode = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
 # Where events keep their content.
 BOXES = ("payload", "data")
 
@@ -52,6 +53,12 @@ def _spellings(name: str) -> tuple[tuple[str, ...], frozenset[str]]:
     return forms, frozenset(form.lower() for form in forms)
 
 
+@cache
+def _tokens(path: str) -> tuple[str, ...]:
+    parts = path.replace("[", ".").replace("]", "").split(".")
+    return tuple(part.strip() for part in parts if part.strip())
+
+
 def field(node, name: str):
     """A field by its name, snake or camel form, else in any case; None if missing."""
     if not isinstance(node, dict):
@@ -69,7 +76,7 @@ def as_text(value) -> str:
     if isinstance(value, bool):
         return "true" if value else "false"
     if isinstance(value, (dict, list)):
-        return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+        return _encode(value)
     return str(value)
 
 
@@ -119,23 +126,31 @@ def value_at(node, path: str) -> str:
             found = value_at(read(box), path)
             if found:
                 return found
-    end = walk(node, [t.strip() for t in path.replace("[", ".").replace("]", "").split(".") if t.strip()])
+    end = walk(node, _tokens(path))
     if isinstance(end, list) and end:
         return "" if isinstance(end[0], (dict, list)) else as_text(end[0])
     return as_text(end)
 
 
-def node_values(payload: Column, paths: Sequence[str], unwrap: bool = True) -> Column:
-    """Array with one entry per object of a document: its JSON as ``node`` and the
-    ``values`` at the paths."""
+def node_values(payload: Column, paths: Sequence[str]) -> Column:
+    """Array with one entry per object of a document: its text at each of the paths."""
+    wanted = [path.strip() for path in paths]
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(TEXT)))
+    def look(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: [[value_at(node, path) for path in wanted] for node in objects(read(text))])
+
+    return look(payload)
+
+
+def nodes_with_values(payload: Column, paths: Sequence[str]) -> Column:
+    """As ``node_values``, with the object itself as JSON in front."""
     wanted = [path.strip() for path in paths]
-    entry = T.StructType([T.StructField("node", TEXT), T.StructField("values", T.ArrayType(TEXT))])
 
-    @F.pandas_udf(T.ArrayType(entry))
+    @F.pandas_udf(T.ArrayType(T.ArrayType(TEXT)))
     def look(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: [
-            {"node": as_text(node), "values": [value_at(node, path) for path in wanted]}
-            for node in objects(read(text), unwrap)])
+            [as_text(node), *(value_at(node, path) for path in wanted)] for node in objects(read(text))])
 
     return look(payload)
 
@@ -149,3 +164,30 @@ def path_value(payload: Column, path: str) -> Column:
         return texts.map(lambda text: value_at(read(text), wanted))
 
     return look(payload)
+
+
+# Where an order keeps its status and its id, by preference.
+STATUS_FIELDS = ("orderStatus", "status", "order_status")
+ID_FIELDS = ("orderId", "order_id")
+
+
+def order_of(node: dict) -> list[str]:
+    """Status and id of an order object: of its ``payload`` if that is an object, else its own."""
+    body = node["payload"] if isinstance(node.get("payload"), dict) else node
+
+    def first(*places) -> str:
+        return next((as_text(place[name]) for place, name in places if place.get(name) is not None), "")
+
+    return [first(*((body, name) for name in STATUS_FIELDS), (node, STATUS_FIELDS[0])).strip(),
+            first(*((body, name) for name in ID_FIELDS), *((node, name) for name in ID_FIELDS)).strip()]
+
+
+def orders_in(payload: Column) -> Column:
+    """Array of ``[status, id]``, one per object of a document that carries an order id."""
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(TEXT)))
+    def look(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: [
+            pair for pair in map(order_of, objects(read(text), unwrap=False)) if pair[1]])
+
+    return look(payload)

@@ -9,6 +9,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from evenkeel.functions.json import let
+
 # Accepted field names and operators.
 FIELD_NAME = re.compile(r"[a-zA-Z_][a-zA-Z0-9_.]*")
 OPERATORS = ("=", "!=", "<>", "<", ">", "<=", ">=", "LIKE", "NOT LIKE", "ILIKE", "NOT ILIKE",
@@ -139,25 +141,39 @@ def ip_allowed(ip: Column, rules: str | Sequence[str] | None) -> Column:
     address = F.trim(F.coalesce(ip, F.lit("127.0.0.1")))  # an unknown client counts as local
     address = F.when(address.isin(*LOOPBACK_V6), F.lit("127.0.0.1")) \
         .otherwise(F.regexp_replace(address, f"^{V4_IN_V6}", ""))
-    dotted = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
-    octets = [F.regexp_extract(address, dotted, i).try_cast("long") for i in range(1, 5)]
-    number = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
-    number = F.when(F.greatest(*octets) <= 255, number)
-
     exact = sorted({_plain_address(r).lower() for r in rules})
     if any(name in LOCALHOST for name in exact):
         exact = sorted({*exact, *LOCALHOST})
-    tests = [F.lower(address).isin(exact)]
+    prefixes, ranges = [], []
     for rule in rules:
         if rule.endswith(".*"):
-            tests.append(address.startswith(rule[:-1]))
+            prefixes.append(rule[:-1])
         base, slash, bits = rule.partition("/")
         start = _ipv4_number(base.strip())
         if slash and start is not None and bits.strip().isdigit() and int(bits) <= 32:
             span = 1 << (32 - int(bits))
-            low = start // span * span
-            tests.append(number.between(low, low + span - 1))
-    return reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests])
+            ranges.append((start // span * span, start // span * span + span - 1))
+    test = F.lower(address).isin(exact)
+    for prefix in prefixes:
+        test = test | address.startswith(prefix)
+    if ranges:
+        def in_ranges(number: Column) -> Column:
+            hits = [number.between(low, high) for low, high in ranges]
+            return F.coalesce(reduce(lambda a, b: a | b, hits), F.lit(False))
+
+        test = test | let(address, lambda text: let(_address_number(text), in_ranges))
+    return test
+
+
+def _address_number(address: Column) -> Column:
+    """An IPv4 address as a number; null if it is none."""
+    def number(parts: Column) -> Column:
+        octets = [F.when(F.length(F.get(parts, F.lit(i))) <= 3, F.get(parts, F.lit(i)).try_cast("long")) for i in range(4)]
+        inside = reduce(lambda a, b: a & b, [o.between(0, 255) for o in octets])
+        total = reduce(lambda sum_, octet: sum_ * 256 + octet, octets)
+        return F.when((F.size(parts) == 4) & inside, total)
+
+    return let(F.split(address, r"\."), number)
 
 
 def ip_allowlist(events: DataFrame, rules: str | Sequence[str] | None, column: str = "client_ip") -> DataFrame:

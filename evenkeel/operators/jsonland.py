@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evenkeel.functions.events import node_values
+from evenkeel.functions.events import node_values, nodes_with_values, orders_in
 from evenkeel.functions.json import bundle_payload, json_path
 from evenkeel.operators.ranking import rank_rows
 from evenkeel.operators.skew import small_or_none
@@ -103,20 +103,16 @@ def value_matches(value: Column, wanted: str | None) -> Column:
     return F.coalesce(F.lower(F.trim(value)).isin(choices) & (F.trim(value) != ""), F.lit(False))
 
 
-def _rule_test(rules: Sequence[Mapping[str, str]], values: Column) -> Column:
-    tests = [value_matches(values[i], r.get("value")) for i, r in enumerate(rules)]
+def _rule_test(rules: Sequence[Mapping[str, str]], values: Column, first: int = 0) -> Column:
+    tests = [value_matches(values[first + i], r.get("value")) for i, r in enumerate(rules)]
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def _nodes(events: DataFrame, payload: str, paths: Sequence[str], unwrap: bool = True) -> DataFrame:
-    """One row per object of the events, as ``__e`` with its JSON and its values at the paths."""
-    return events.withColumn("__e", F.explode(node_values(F.col(f"`{payload}`"), paths, unwrap)))
-
-
 def match_events(events: DataFrame, rules: Sequence[Mapping[str, str]], payload: str = "payload") -> DataFrame:
     """Objects of the events that meet all rules ``{key, value}``, as column ``node``."""
-    nodes = _nodes(events, payload, [r["key"] for r in rules])
-    return nodes.filter(_rule_test(rules, F.col("__e.values"))).withColumn("node", F.col("__e.node")).drop("__e")
+    found = nodes_with_values(F.col(f"`{payload}`"), [r["key"] for r in rules])
+    nodes = events.withColumn("__e", F.explode(found))
+    return nodes.filter(_rule_test(rules, F.col("__e"), 1)).withColumn("node", F.col("__e")[0]).drop("__e")
 
 
 def extract_params(events: DataFrame, rules: Sequence[Mapping[str, str]], mappings: Sequence[Mapping[str, str]],
@@ -126,8 +122,9 @@ def extract_params(events: DataFrame, rules: Sequence[Mapping[str, str]], mappin
     Empty values read as null and objects giving none are left out. ``pk`` and
     ``value`` repeat the first value unless a mapping gives them.
     """
-    values = F.col("__e.values")
-    nodes = _nodes(events, payload, [*(r["key"] for r in rules), *(m["source"] for m in mappings)])
+    paths = [*(r["key"] for r in rules), *(m["source"] for m in mappings)]
+    nodes = events.select(*by, F.explode(node_values(F.col(f"`{payload}`"), paths)).alias("__e"))
+    values = F.col("__e")
     params = {m["target"]: F.nullif(F.trim(values[len(rules) + i]), F.lit("")) for i, m in enumerate(mappings)}
     found = nodes.filter(_rule_test(rules, values)).select(*by, *[c.alias(n) for n, c in params.items()])
     found = found.dropna("all", subset=list(params))
@@ -135,21 +132,10 @@ def extract_params(events: DataFrame, rules: Sequence[Mapping[str, str]], mappin
     return found.withColumns({n: first for n in ("pk", "value") if n not in params}).dropDuplicates()
 
 
-# Where an order keeps its status and its id, by preference.
-STATUS_PATHS = ("$.payload.orderStatus", "$.payload.status", "$.payload.order_status",
-                "$.orderStatus", "$.status", "$.order_status")
-ID_PATHS = ("$.payload.orderId", "$.payload.order_id", "$.orderId", "$.order_id")
-
-
 def order_ids(events: DataFrame, status: str | None, payload: str = "payload") -> DataFrame:
     """Distinct ids of the orders whose status is wanted, wherever they sit in the events."""
-    nodes = _nodes(events, payload, [], unwrap=False).withColumn("__v", F.try_parse_json("__e.node"))
-
-    def first_of(paths: Sequence[str]) -> Column:
-        return F.trim(F.coalesce(*[F.try_variant_get("__v", p, "string") for p in paths], F.lit("")))
-
-    return nodes.filter(value_matches(first_of(STATUS_PATHS), status)).select(first_of(ID_PATHS).alias("order_id")) \
-        .filter(F.col("order_id") != "").distinct()
+    orders = events.select(F.explode(orders_in(F.col(f"`{payload}`"))).alias("o"))
+    return orders.filter(value_matches(F.col("o")[0], status)).select(F.col("o")[1].alias("order_id")).distinct()
 
 
 def id_batches(ids: DataFrame, column: str = "order_id", size: int = ID_BATCH) -> DataFrame:

@@ -51,10 +51,11 @@ def unwrap_changes(messages: DataFrame, row_schema: T.StructType | str, keep: Se
                f"source:struct<lsn:bigint>, ts_ms:bigint>"
     live = messages.filter(F.col("value").isNotNull() & ~F.col("topic").rlike(rf"^{HEARTBEAT}$"))
     event = live.select(*keep, F.from_json("value", envelope).alias("e"))
-    return event.filter(F.coalesce("e.after", "e.before").isNotNull()).select(
-        *keep, F.coalesce("e.after", "e.before").alias("r"), F.coalesce("e.source.lsn", F.lit(0)).alias("version"),
-        F.coalesce(F.col("e.op") == "d", F.lit(False)).alias("is_deleted")).select(
-        *keep, "r.*", "version", "is_deleted")
+    # The generator keeps the parsed event in one place; a filter would move below it and parse again.
+    row = F.inline(F.array_compact(F.array(F.coalesce("e.after", "e.before"))))
+    return event.select(
+        *keep, F.coalesce("e.source.lsn", F.lit(0)).alias("version"),
+        F.coalesce(F.col("e.op") == "d", F.lit(False)).alias("is_deleted"), row)
 
 
 def _as_struct(ddl: str) -> str:
@@ -88,10 +89,14 @@ def land_changes(stream: DataFrame, path: str, checkpoint: str, dead_letters: st
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.withColumn("table_name", route_table(F.col("topic"), base))
-        good, bad = split_bad(batch) if dead_letters else (batch, None)
+        if dead_letters is None:
+            batch.write.mode("overwrite").partitionBy("table_name").parquet(f"{path}/batch={batch_id}")
+            return
+        batch.persist()  # read the source once for both folders
+        good, bad = split_bad(batch)
         good.write.mode("overwrite").partitionBy("table_name").parquet(f"{path}/batch={batch_id}")
-        if bad is not None:
-            bad.write.mode("overwrite").parquet(f"{dead_letters}/batch={batch_id}")
+        bad.write.mode("overwrite").parquet(f"{dead_letters}/batch={batch_id}")
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint) \
         .trigger(**(trigger or {"availableNow": True})).start()

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from evenkeel.session import ensure_checkpoint_dir
 from evenkeel.operators.versioned import current_view, latest_version
 from evenkeel.sources import snapshots
 from evenkeel.streaming.changes import backfill
@@ -41,15 +42,15 @@ def views(landing: Mapping[str, DataFrame], wh: Warehouse) -> dict[str, DataFram
             for name, df in landing.items()}
 
 
-def _stamped(rows: DataFrame, refresh: int, deleted: bool, stamp: Column | None) -> DataFrame:
+def _stamped(rows: DataFrame, refresh: int, deleted: Column, stamp: Column | None) -> DataFrame:
     return rows.withColumns({
         "sync_dt": stamp if stamp is not None else F.now().cast("timestamp_ntz"),
-        "version": F.lit(refresh).cast("long"), "is_deleted": F.lit(deleted)})
+        "version": F.lit(refresh).cast("long"), "is_deleted": deleted})
 
 
 def populate(landing: Mapping[str, DataFrame], wh: Warehouse, stamp: Column | None = None) -> DataFrame:
     """The first fill: the whole query once, as version 0."""
-    return _stamped(wh.query(views(landing, wh)), 0, False, stamp)
+    return _stamped(wh.query(views(landing, wh)), 0, F.lit(False), stamp)
 
 
 def join_refresh(changed: Mapping[str, DataFrame], landing: Mapping[str, DataFrame], target: DataFrame | None,
@@ -58,28 +59,31 @@ def join_refresh(changed: Mapping[str, DataFrame], landing: Mapping[str, DataFra
 
     ``landing`` already holds the batch. Touched target keys are those that traced
     back to a changed row before, and those that do now. Their rows are recomputed;
-    touched keys that no longer come out are appended as deletes. ``refresh`` must
-    rise with every batch; it is the version of the appended rows.
+    touched keys that no longer come out are appended as deletes, which carry the
+    key alone. ``refresh`` must rise with every batch; it is the version of the
+    appended rows.
     """
-    now = views(landing, wh)
-    fresh = wh.query(now)
+    fresh = wh.query(views(landing, wh))
     old = None if target is None else current_view(target, wh.keys, sequence=None)
+    keys = list(wh.keys)
     touched = []
     for table, rows in changed.items():
         link = list(wh.links[table])
-        moved = rows.select(*[F.col(k).alias(c) for k, c in zip(wh.table_keys[table], link)]).distinct()
+        moved = rows.select(*[F.col(f"`{k}`").alias(c) for k, c in zip(wh.table_keys[table], link)]).distinct()
         if old is not None:
-            touched.append(old.join(moved, link, "left_semi").select(*wh.keys))
-        # The semi join sinks below the query's own joins to the table it is keyed by.
-        touched.append(fresh.join(moved, link, "left_semi").select(*wh.keys))
-    keys = reduce(DataFrame.unionByName, touched).distinct()
-    recomputed = fresh.join(keys, list(wh.keys), "left_semi")
-    upserts = _stamped(recomputed, refresh, False, stamp)
-    if old is None:
-        return upserts
-    gone = old.join(keys, list(wh.keys), "left_semi").join(
-        recomputed.select(*wh.keys), list(wh.keys), "left_anti")
-    return upserts.unionByName(_stamped(gone.select(*fresh.columns), refresh, True, stamp))
+            touched.append(old.join(moved, link, "left_semi").select(*keys, F.lit(True).alias("__was")))
+        # A table linked by the target's own key names the touched rows itself.
+        now = moved if link == keys else fresh.join(moved, link, "left_semi")
+        touched.append(now.select(*keys, F.lit(False).alias("__was")))
+    touched = reduce(DataFrame.unionByName, touched).groupBy(*keys).agg(F.max("__was").alias("__was"))
+    # Few keys, used twice below: cut here, so that they are found once.
+    ensure_checkpoint_dir(touched.sparkSession)
+    touched = touched.checkpoint()
+    # The semi join sinks below the query's own joins to the table it is keyed by.
+    recomputed = fresh.join(touched, keys, "left_semi").withColumn("__is", F.lit(True))
+    both = touched.join(recomputed, keys, "left").filter(F.col("__was") | F.col("__is"))
+    deleted = F.col("__is").isNull()
+    return _stamped(both, refresh, deleted, stamp).select(*fresh.columns, "sync_dt", "version", "is_deleted")
 
 
 def run_warehouse(stream: DataFrame, split: Callable[[DataFrame], Mapping[str, DataFrame]], wh: Warehouse,
