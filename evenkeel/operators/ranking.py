@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from evenkeel.operators.diff import DiffSpec, resolve_keys
 from evenkeel.operators.skew import hot_keys
-from evenkeel.session import ensure_checkpoint_dir
+from evenkeel.session import written
 
 DEEP_PAGE = 100_000
 
@@ -18,15 +18,14 @@ def _by_ranges(df: DataFrame, group: Sequence[str], order: Sequence[Column], out
                partitions: int | None = None) -> DataFrame:
     """Row numbers for groups of any size.
 
-    Rows are range-partitioned on (group, order) and checkpointed, so that every
+    Rows are range-partitioned on (group, order) and written down, so that every
     later step sees the same ranges, also after an executor is lost. Each range is
     numbered on its own; the few (group, range) counts give the start of each.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     keys = [F.col(f"`{g}`") for g in group]
     spread = [partitions] if partitions else []
-    ranged = df.repartitionByRange(*spread, *[k.asc_nulls_first() for k in keys], *order) \
-        .withColumn("__range", F.spark_partition_id()).checkpoint()
+    ranged = written(df.repartitionByRange(*spread, *[k.asc_nulls_first() for k in keys], *order)
+                     .withColumn("__range", F.spark_partition_id()), "ranges")
     piece = Window.partitionBy(*keys, "__range").orderBy(*order)
     local = ranged.withColumn("__local", F.row_number().over(piece))
     sizes = ranged.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"))

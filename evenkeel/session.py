@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "evenkeel", cores: str = "8", memory: str = "16g", **conf: str) -> SparkSession:
@@ -46,3 +47,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix=f"evenkeel-checkpoint-{os.getpid()}-")
     context.setCheckpointDir(named)
     return context.getCheckpointDir() or named
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as a table in the shared checkpoint folder and read back.
+
+    Cuts the lineage: what follows sees the same rows each time, also after an
+    executor is lost, and the planner knows their size.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,8 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from evenkeel.session import ensure_checkpoint_dir
 from evenkeel.operators.versioned import current_view, latest_version
+from evenkeel.session import written
 from evenkeel.sources import snapshots
 from evenkeel.streaming.changes import backfill
 
@@ -27,7 +27,8 @@ class Warehouse:
 
     ``query`` takes ``{table: current view}``. ``links`` names, per table, which
     output columns hold that table's key, in the order of ``table_keys``: through
-    them a changed source row finds the target rows it takes part in.
+    them a changed source row finds the target rows it takes part in. A table
+    linked by ``keys`` itself is the driving one.
     """
 
     query: Callable[[Mapping[str, DataFrame]], DataFrame]
@@ -35,11 +36,17 @@ class Warehouse:
     table_keys: Mapping[str, Sequence[str]]
     links: Mapping[str, Sequence[str]]
 
+    def driving(self) -> str | None:
+        return next((t for t, link in self.links.items() if list(link) == list(self.keys)), None)
+
+
+def _view(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return current_view(rows, keys).drop("version", "is_deleted", "ingest_seq")
+
 
 def views(landing: Mapping[str, DataFrame], wh: Warehouse) -> dict[str, DataFrame]:
     """Current views of all landing tables, without the landing columns."""
-    return {name: current_view(df, wh.table_keys[name]).drop("version", "is_deleted", "ingest_seq")
-            for name, df in landing.items()}
+    return {name: _view(df, wh.table_keys[name]) for name, df in landing.items()}
 
 
 def _stamped(rows: DataFrame, refresh: int, deleted: Column, stamp: Column | None) -> DataFrame:
@@ -53,37 +60,69 @@ def populate(landing: Mapping[str, DataFrame], wh: Warehouse, stamp: Column | No
     return _stamped(wh.query(views(landing, wh)), 0, F.lit(False), stamp)
 
 
+def _renamed(rows: DataFrame, old: Sequence[str], new: Sequence[str]) -> DataFrame:
+    return rows.select(*[F.col(f"`{a}`").alias(b) for a, b in zip(old, new)]).distinct()
+
+
+def _touched(changed: Mapping[str, DataFrame], landing: Mapping[str, DataFrame], old: DataFrame | None,
+             wh: Warehouse) -> DataFrame:
+    """Keys of all target rows the changes can alter; some that stay the same may be among them."""
+    keys, driving, parts = list(wh.keys), wh.driving(), []
+    for table, rows in changed.items():
+        link = list(wh.links[table])
+        moved = _renamed(rows, wh.table_keys[table], link)
+        if table == driving:
+            parts.append(moved)
+        elif driving and set(link) <= set(landing[driving].columns):
+            # Every driving row that ever pointed at a moved row: one pass over its landing, no shuffle of it.
+            pointing = landing[driving].select(*[F.col(f"`{a}`").alias(b) for a, b in zip(wh.table_keys[driving], keys)],
+                                               *[F.col(f"`{c}`") for c in link if c not in keys])
+            parts.append(pointing.join(moved, link, "left_semi").select(*keys))
+        else:
+            parts.append(wh.query(views(landing, wh)).join(moved, link, "left_semi").select(*keys))
+            if old is not None:
+                parts.append(old.join(moved, link, "left_semi").select(*keys))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def _views_of(touched: DataFrame, landing: Mapping[str, DataFrame], wh: Warehouse) -> dict[str, DataFrame]:
+    """Current views cut down to what the touched keys need. The landing rows are cut
+    before the latest version is picked, so only those take part in its shuffle."""
+    driving = wh.driving()
+    if driving is None:
+        return views(landing, wh)
+    keys = list(wh.table_keys[driving])
+    out = {driving: _view(landing[driving].join(_renamed(touched, wh.keys, keys), keys, "left_semi"), keys)}
+    for table, rows in landing.items():
+        if table == driving:
+            continue
+        link, own = list(wh.links[table]), list(wh.table_keys[table])
+        if set(link) <= set(out[driving].columns):
+            rows = rows.join(_renamed(out[driving], link, own), own, "left_semi")
+        out[table] = _view(rows, own)
+    return out
+
+
 def join_refresh(changed: Mapping[str, DataFrame], landing: Mapping[str, DataFrame], target: DataFrame | None,
                  wh: Warehouse, refresh: int, stamp: Column | None = None) -> DataFrame:
     """Target rows to append after a batch of changes.
 
-    ``landing`` already holds the batch. Touched target keys are those that traced
-    back to a changed row before, and those that do now. Their rows are recomputed;
-    touched keys that no longer come out are appended as deletes, which carry the
-    key alone. ``refresh`` must rise with every batch; it is the version of the
-    appended rows.
+    ``landing`` already holds the batch. The query is recomputed for the target
+    keys the batch touches; touched keys that are in the target and no longer come
+    out are appended as deletes, which carry the key alone. ``refresh`` must rise
+    with every batch; it is the version of the appended rows.
     """
-    fresh = wh.query(views(landing, wh))
-    old = None if target is None else current_view(target, wh.keys, sequence=None)
     keys = list(wh.keys)
-    touched = []
-    for table, rows in changed.items():
-        link = list(wh.links[table])
-        moved = rows.select(*[F.col(f"`{k}`").alias(c) for k, c in zip(wh.table_keys[table], link)]).distinct()
-        if old is not None:
-            touched.append(old.join(moved, link, "left_semi").select(*keys, F.lit(True).alias("__was")))
-        # A table linked by the target's own key names the touched rows itself.
-        now = moved if link == keys else fresh.join(moved, link, "left_semi")
-        touched.append(now.select(*keys, F.lit(False).alias("__was")))
-    touched = reduce(DataFrame.unionByName, touched).groupBy(*keys).agg(F.max("__was").alias("__was"))
-    # Few keys, used twice below: cut here, so that they are found once.
-    ensure_checkpoint_dir(touched.sparkSession)
-    touched = touched.checkpoint()
-    # The semi join sinks below the query's own joins to the table it is keyed by.
-    recomputed = fresh.join(touched, keys, "left_semi").withColumn("__is", F.lit(True))
-    both = touched.join(recomputed, keys, "left").filter(F.col("__was") | F.col("__is"))
-    deleted = F.col("__is").isNull()
-    return _stamped(both, refresh, deleted, stamp).select(*fresh.columns, "sync_dt", "version", "is_deleted")
+    old = None if target is None else current_view(target, keys, sequence=None)
+    touched = written(_touched(changed, landing, old, wh), "touched")
+    fresh = wh.query(_views_of(touched, landing, wh)).join(touched, keys, "left_semi")
+    upserts = _stamped(fresh, refresh, F.lit(False), stamp)
+    if target is None:
+        return upserts
+    upserts = written(upserts, "upserts")
+    missing = touched.join(upserts, keys, "left_anti")
+    gone = current_view(target.join(missing, keys, "left_semi"), keys, sequence=None).select(*keys)
+    return upserts.unionByName(_stamped(gone, refresh, F.lit(True), stamp), allowMissingColumns=True)
 
 
 def run_warehouse(stream: DataFrame, split: Callable[[DataFrame], Mapping[str, DataFrame]], wh: Warehouse,
@@ -98,6 +137,7 @@ def run_warehouse(stream: DataFrame, split: Callable[[DataFrame], Mapping[str, D
         spark = batch.sparkSession
         number = batch_id + 1  # 0 is the first fill
         folder = f"batch={number:012d}"
+        batch.persist()  # read the source once for all tables
         changed, landing = {}, {}
         for table, rows in split(batch).items():
             rows.withColumn("ingest_seq", F.lit(number).cast("long")).write.mode("overwrite").parquet(
@@ -107,6 +147,7 @@ def run_warehouse(stream: DataFrame, split: Callable[[DataFrame], Mapping[str, D
         target = _before(spark, target_path, number)
         out = join_refresh(changed, landing, target, wh, number)
         out.write.mode("overwrite").parquet(f"{target_path}/{folder}")
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint) \
         .trigger(**(trigger or {"availableNow": True})).start()
