@@ -26,10 +26,12 @@ def trim_blanks(col: Column) -> Column:
 
 def as_read(col: Column, dtype: T.DataType) -> Column:
     """The value as a reader sees it: temporal, binary and nested values become text."""
-    if isinstance(dtype, _TEMPORAL):
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.substring_index(col.cast("string"), ".", 1)  # no detour through the session zone
+    if isinstance(dtype, T.TimestampType):
         return F.date_format(col, "yyyy-MM-dd HH:mm:ss")
     if isinstance(dtype, T.DateType):
-        return F.date_format(col, "yyyy-MM-dd")
+        return col.cast("string")
     if isinstance(dtype, T.BinaryType):
         return F.when(
             col.isNotNull(),
@@ -125,7 +127,7 @@ def norm_eq(a: Column, b: Column, type_a: T.DataType, type_b: T.DataType, numeri
     elif num_a and bool_b:
         core = _truth_of_number(b, a)
     elif type_a == type_b and isinstance(type_a, _TEMPORAL):
-        core = F.date_trunc("SECOND", a) == F.date_trunc("SECOND", b)
+        core = (a == b) | (as_read(a, type_a) == as_read(b, type_b))
     elif isinstance(type_a, T.DateType) and isinstance(type_b, T.DateType):
         core = a == b
     elif isinstance(type_a, T.BinaryType) and isinstance(type_b, T.BinaryType):

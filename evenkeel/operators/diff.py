@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -23,8 +24,9 @@ KEY_MARK = "\u0000"
 class DiffSpec:
     """How to compare: keys, hidden columns, order of duplicates, and plan choices.
 
-    ``unique_keys`` states that both sides hold each key once (a declared primary
-    key); the comparison is then one full outer join without duplicate handling.
+    ``unique_keys`` states that the source holds each key once and no target key is
+    hot; the comparison is then one full outer join without duplicate handling. It
+    is taken for granted for keys the table declares.
     """
 
     keys: Sequence[str] = ()
@@ -69,6 +71,7 @@ def _target_names(source_cols: Sequence[str], target: DataFrame) -> dict[str, st
     return {name: by_lower.get(name.lower()) for name in source_cols}
 
 
+_BITS = 30  # null flags of this many key columns fit one int
 # Types whose values are equal exactly when their texts are.
 _NATIVE_KEYS = (T.IntegralType, T.StringType, T.DateType, T.BooleanType)
 
@@ -78,7 +81,7 @@ def _key_parts(df: DataFrame, names: Sequence[str | None], native: Sequence[bool
     default apart, so plain equality matches nulls and grouping and joining share
     one partitioning."""
     types = _types(df)
-    parts, nulls = [], F.lit(0)
+    parts, nulls = [], []
     for i, name in enumerate(names):
         col = F.lit(None).cast("string") if name is None else F.col(f"`{name}`")
         if native[i] and name is not None:
@@ -90,13 +93,24 @@ def _key_parts(df: DataFrame, names: Sequence[str | None], native: Sequence[bool
             value = key_text(col, types[name]) if name is not None else col
             default = F.lit("")
         parts.append(F.coalesce(value, default).alias(f"__k{i}"))
-        nulls = nulls.bitwiseOR(F.when(col.isNull(), F.shiftleft(F.lit(1), i % 31)).otherwise(F.lit(0)))
-    return parts + [nulls.alias("__kn")]
+        nulls.append(col.isNull())
+    if len(nulls) <= _BITS:
+        flags = reduce(lambda a, b: a.bitwiseOR(b), [
+            F.when(null, F.lit(1 << i)).otherwise(F.lit(0)) for i, null in enumerate(nulls)])
+    else:
+        flags = F.concat(*[F.when(null, F.lit("1")).otherwise(F.lit("0")) for null in nulls])
+    return parts + [flags.alias("__kn")]
+
 
+def _row_key(keys: Sequence[str]) -> Column:
+    """The key as one text, from the join columns."""
+    def is_null(i: int) -> Column:
+        if len(keys) <= _BITS:
+            return F.col("__kn").bitwiseAND(F.lit(1 << i)) != 0
+        return F.substring("__kn", i + 1, 1) == "1"
 
-def row_key(cols: Sequence[Column]) -> Column:
-    """The key as one text."""
-    return F.concat_ws(KEY_MARK, *[F.coalesce(c, F.lit(NULL_KEY)) for c in cols])
+    return F.concat_ws(KEY_MARK, *[
+        F.when(is_null(i), F.lit(NULL_KEY)).otherwise(F.col(f"__k{i}").cast("string")) for i in range(len(keys))])
 
 
 def _orderable(dtype: T.DataType) -> bool:
@@ -154,23 +168,21 @@ def row_diff(source: DataFrame, target: DataFrame, spec: DiffSpec) -> DataFrame:
     s_cols = [F.col(f"`{c}`").alias(f"s_{c}") for c in cols]
     t_cols = [(F.col(f"`{t_name[c]}`") if t_name[c] else F.lit(None).cast(s_types[c])).alias(f"t_{c}")
               for c in cols]
-    s_key = row_key([key_text(F.col(f"`{k}`"), s_types[k]) for k in keys]).alias("__s_key")
-    t_key = row_key([key_text(F.col(f"`{t_name[k]}`"), t_types[t_name[k]]) if t_name[k]
-                     else F.lit(None).cast("string") for k in keys]).alias("__t_key")
     on = [f"__k{i}" for i in range(len(keys))] + ["__kn"]
     s_parts = _key_parts(source, keys, native)
     t_parts = _key_parts(target, [t_name[k] for k in keys], native)
-    t = target.select(*t_parts, t_key, *t_cols)
+    here = F.lit(True)
+    t = target.select(*t_parts, here.alias("__t"), *t_cols)
 
-    if spec.unique_keys:
-        s = source.select(*s_parts, s_key, *s_cols)
+    if spec.unique_keys or (spec.declared_keys and not spec.keys):
+        s = source.select(*s_parts, here.alias("__s"), *s_cols)
         joined = s.join(t, on, "full_outer")
     else:
         order = [c for c in spec.sort if c in s_types]
-        extra = [F.col(f"`{c}`").alias(f"__sort{i}") for i, c in enumerate(order)]
-        s = dedupe_last(source.select(*s_parts, s_key, *extra, *s_cols), on,
-                        [f"__sort{i}" for i in range(len(order))])
-        s = s.drop(*[f"__sort{i}" for i in range(len(order))])
+        helpers = [f"__sort{i}" for i in range(len(order))]
+        extra = [F.col(f"`{c}`").alias(h) for c, h in zip(order, helpers)]
+        s = dedupe_last(source.select(*s_parts, *extra, *s_cols), on, helpers)
+        s = s.drop(*helpers).withColumn("__s", here)
         hot = hot_keys(t, on, **spec.hot_key_args)
         if hot is None:
             joined = s.join(t, on, "full_outer")
@@ -188,13 +200,13 @@ def row_diff(source: DataFrame, target: DataFrame, spec: DiffSpec) -> DataFrame:
             tt = t_types[t_name[c]] if t_name[c] else s_types[c]
             same = same & norm_eq(F.col(f"`s_{c}`"), F.col(f"`t_{c}`"), s_types[c], tt, spec.numeric)
     status = (
-        F.when(F.col("__t_key").isNull(), F.lit(SOURCE_ONLY))
-        .when(F.col("__s_key").isNull(), F.lit(TARGET_ONLY))
+        F.when(F.col("__t").isNull(), F.lit(SOURCE_ONLY))
+        .when(F.col("__s").isNull(), F.lit(TARGET_ONLY))
         .when(same, F.lit(MATCH))
         .otherwise(F.lit(DIFFERENT))
     )
     out = joined.select(
-        F.coalesce("__s_key", "__t_key").alias("row_key"),
+        _row_key(keys).alias("row_key"),
         status.alias("status"),
         *[F.col(f"`{side}_{c}`") for c in cols for side in ("s", "t")],
     )

@@ -1,6 +1,6 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-A key is hot when it holds more than ``share`` of the rows, so there can be at
+A key is hot when it holds at least ``share`` of the rows, so there can be at
 most ``1 / share`` hot keys: the list has a proven bound and may be collected
 and broadcast. Hot rows then join map-side against the (unique) other side and
 are never shuffled onto one task; all other keys take the ordinary shuffle join.
@@ -9,40 +9,38 @@ Finding hot keys only picks the physical plan. Results do not depend on it.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 SHARE = 1.0 / 1000
 MIN_ROWS = 200_000
+BUCKETS = 1 << 16
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = SHARE, min_rows: int = MIN_ROWS,
-             probe: float | None = None) -> DataFrame | None:
-    """The keys holding more than ``share`` of the rows, or None if there are none.
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float = SHARE, min_rows: int = MIN_ROWS) -> DataFrame | None:
+    """The keys holding at least ``share`` of the rows and ``min_rows`` of them, or None.
 
-    Runs one narrow job over the key columns only. Counts are combined map-side,
-    so a hot key costs one record per task. ``probe`` reads that fraction of the
-    rows instead (a cheaper look on very large inputs); keys it misses are merely
-    joined the ordinary way.
+    Exact, without shuffling the keys: rows are first counted by a hash of the key
+    in BUCKETS buckets, which tasks combine to a few counts each. A key can only be
+    hot in a bucket that is over the limit, so only those buckets are counted by key.
     """
     narrow = df.select(*keys)
-    scale = 1.0
-    if probe:
-        narrow, scale = narrow.sample(probe, seed=17), probe
-    counted = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    large = counted.filter((F.col("__n") >= F.lit(max(1, math.ceil(min_rows * scale)))))
-    # Keys of min_rows or more; at most 1/share + 1 of the largest are needed.
-    bound = int(1 / share) + 1
-    rows = large.orderBy(F.desc("__n")).limit(bound).collect()
-    if not rows:
+    bucket = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(BUCKETS))
+    counts = narrow.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    # At most BUCKETS entries come back.
+    seen = counts.agg(F.sum("n").alias("total"),
+                      F.collect_list(F.when(F.col("n") >= min_rows, F.struct("b", "n"))).alias("large")).first()
+    limit = max(min_rows, share * (seen["total"] or 0))
+    full = [row["b"] for row in seen["large"] if row["n"] >= limit]
+    if not full:
         return None
-    total = narrow.count()
-    kept = [tuple(row[key] for key in keys) for row in rows if row["__n"] > share * total]
-    if not kept:
+    by_key = narrow.filter(bucket.isin(full)).groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
+    rows = by_key.filter(F.col("__n") >= limit).collect()  # at most 1/share keys
+    if not rows:
         return None
-    return df.sparkSession.createDataFrame(kept, df.select(*keys).schema)
+    kept = [tuple(row[key] for key in keys) for row in rows]
+    return df.sparkSession.createDataFrame(kept, narrow.schema)
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",

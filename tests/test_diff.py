@@ -91,6 +91,20 @@ def test_null_key_and_empty_key_differ(spark):
     assert got == {(None, None, "MATCH"), ("", None, "SOURCE_ONLY"), (None, "x", "TARGET_ONLY")}
 
 
+def test_many_key_columns_keep_nulls_apart(spark):
+    columns = ", ".join(f"c{i} int" for i in range(40))
+    s = spark.createDataFrame([[None] + [0] * 39, [0] * 40], columns)
+    t = spark.createDataFrame([[0] * 31 + [None] + [0] * 8, [0] * 40], columns)
+    got = sorted((r["status"], r["row_key"].count("NULL")) for r in d.row_diff(s, t, d.DiffSpec()).collect())
+    assert got == [("MATCH", 0), ("SOURCE_ONLY", 1), ("TARGET_ONLY", 1)]
+
+
+def test_declared_keys_need_no_duplicate_handling(spark):
+    a = spark.range(5).select("id", F.lit("x").alias("v"))
+    plan = d.row_diff(a, a, d.DiffSpec(declared_keys=["id"]))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan
+
+
 def test_one_sided_cells_are_all_different(spark):
     s = spark.createDataFrame([(1, None)], "k int, v string")
     t = spark.createDataFrame([(2, None)], "k int, v string")
