@@ -116,11 +116,15 @@ def value_at(node, path: str) -> str:
     (also when these are JSON text), then the path step by step."""
     if not path or not isinstance(node, (dict, list)):
         return ""
-    inside = [node.get(b) for b in BOXES] if isinstance(node, dict) else []
-    for place in (node, *inside):
-        found = field(place, path)
-        if found is not None and not isinstance(found, (dict, list)) and as_text(found):
-            return as_text(found)
+    inside = [node[b] for b in BOXES if node.get(b) is not None] if isinstance(node, dict) else []
+    own = field(node, path)
+    if own is None and not inside and isinstance(node, dict) and _tokens(path) == (path,):
+        return ""
+    for found in (own, *(field(box, path) for box in inside)):
+        if found is not None and not isinstance(found, (dict, list)):
+            text = as_text(found)
+            if text:
+                return text
     for box in inside:
         if isinstance(box, str):
             found = value_at(read(box), path)

@@ -427,11 +427,23 @@ def run_rows(rows: DataFrame, run_id, table_name: str | None = None) -> DataFram
     return kept if table_name is None else kept.filter(F.col("table_name") == table_name)
 
 
+def template_of(mapping_id: Column) -> Column:
+    """The template a mapping was made from, by the form of its id; null if by hand."""
+    return F.when(mapping_id.startswith("template-"), F.nullif(F.substring_index(mapping_id, "template-", -1), F.lit(""))) \
+        .when(mapping_id.startswith("tpl_"), mapping_id)
+
+
 def resolve_mappings(mappings: DataFrame, templates: DataFrame) -> DataFrame:
-    """A mapping linked to a template takes the template's queries and keys where it has any."""
+    """A mapping linked to a template takes the template's queries and keys where it has any.
+
+    Mappings carry ``template_id``, or an ``id`` that tells it.
+    """
+    given = mappings.columns
+    if "template_id" not in given:
+        mappings = mappings.withColumn("template_id", template_of(F.col("id")))
     shared = [c for c in templates.columns if c != "template_id" and c in mappings.columns]
     t = templates.select("template_id", *[F.col(c).alias(f"__t_{c}") for c in shared])
     joined = mappings.join(t, "template_id", "left")
     return joined.select(*[
         F.coalesce(F.nullif(F.trim(f"__t_{c}"), F.lit("")), F.col(c)).alias(c) if c in shared else F.col(c)
-        for c in mappings.columns])
+        for c in given])

@@ -13,6 +13,12 @@ from evenkeel.operators.skew import lookup_join
 
 MIB = 1024 * 1024
 
+# Targets that mean every disk, names of the system disk, and how it shows up.
+ALL_DISKS = ("", "all", "semua")
+ROOT_NAMES = ("root", "sda", "vda")
+ROOT_FILESYSTEMS = ("vda2", "sda2")
+ROOT_OVERLAY = "overlay"
+
 
 @dataclass(frozen=True)
 class RowRule:
@@ -139,18 +145,30 @@ def slot_alerts(slots: DataFrame, threshold_mb: int) -> DataFrame:
     return slots.filter((size >= threshold_mb * MIB) | (~F.col("active") & (size > 10 * MIB)))
 
 
+def memory_alerts(metrics: DataFrame, limit: float, column: str = "ram_percent") -> DataFrame:
+    """Readings whose memory use reaches the limit."""
+    return metrics.filter(F.col(column) >= limit)
+
+
 def threshold_alerts(metrics: DataFrame, rules: Sequence[Mapping], by: Sequence[str] = ("host",)) -> DataFrame:
     """Usage readings at or over a limit.
 
     Rules are ``{rule, target, limit}`` over ``filesystem``, ``mount`` and
-    ``usage_percent``. A blank target or ``all`` means every disk; a target that
-    matches no disk of a host falls back to all disks of that host.
+    ``usage_percent``. A blank target or ``all`` means every disk, a name of the
+    system disk means the root one; a target that matches no disk of a host falls
+    back to all disks of that host.
     """
     def matches(rule) -> Column:
         target = (rule.get("target") or "").strip().lower()
-        if target in ("", "all"):
+        if target in ALL_DISKS:
             return F.lit(True)
-        return F.lower("filesystem").contains(target) | F.lower("mount").contains(target)
+        test = F.lower("filesystem").contains(target) | F.lower("mount").contains(target)
+        if target == "/" or any(name in target for name in ROOT_NAMES):
+            system = (F.col("mount") == "/") | (F.col("filesystem") == ROOT_OVERLAY)
+            for name in ROOT_FILESYSTEMS:
+                system = system | F.col("filesystem").contains(name)
+            test = test | system
+        return test
 
     named = metrics.select("*", *[F.coalesce(matches(r), F.lit(False)).alias(f"__m{i}") for i, r in enumerate(rules)])
     seen = named.groupBy(*by).agg(*[F.max(f"__m{i}").alias(f"__any{i}") for i in range(len(rules))])

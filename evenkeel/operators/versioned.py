@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -49,6 +49,13 @@ def consolidate(sources: Mapping[str, DataFrame], flag: str = "is_deleted", stam
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def consolidate_query(query: Callable[[Mapping[str, DataFrame]], DataFrame],
+                      sources: Mapping[str, Mapping[str, DataFrame]], stamp: Column | None = None) -> DataFrame:
+    """Run one query on each source's own tables and put the results under one another."""
+    return consolidate({name: query(tables) for name, tables in sources.items()},
+                       stamp=stamp if stamp is not None else F.now().cast("timestamp_ntz"))
+
+
 def copy_missing(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Source rows whose key the target lacks, one per key."""
     present = target.select(*keys).distinct()

@@ -67,6 +67,19 @@ def consolidate_customer(t: Tables):
     }).select("source_db", "k", "c_name", "c_acctbal")
 
 
+@query("consolidate_query_orders", """
+SELECT CASE n_regionkey % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS source_db, n_name, count(*) AS customers
+FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY 1, 2""")
+def consolidate_query_orders(t: Tables):
+    def by_nation(tables):
+        joined = tables["customer"].join(tables["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
+        return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"))
+
+    sources = {name: {"customer": t.customer, "nation": t.nation.filter(F.col("n_regionkey") % 2 == rest)}
+               for name, rest in (("even", 0), ("odd", 1))}
+    return versioned.consolidate_query(by_nation, sources).drop("sync_dt")
+
+
 @query("copy_if_empty_customer", """
 SELECT c_nationkey, c_mktsegment, max(c_custkey) AS c_custkey FROM {customer}
 WHERE c_nationkey >= 5 OR c_mktsegment <> 'BUILDING' GROUP BY 1, 2""")

@@ -177,3 +177,10 @@ def test_status_filter_names(spark):
     assert d.filter_status(df, "all").count() == 2 and d.filter_status(df, "Identical").count() == 1
     with pytest.raises(ValueError):
         d.filter_status(df, "other")
+
+
+def test_mappings_find_their_template_by_id(spark):
+    mappings = spark.createDataFrame([("template-7", "own"), ("tpl_x", "own"), ("hand", "own"), ("template-", "own")], "id string, query string")
+    templates = spark.createDataFrame([("7", "seven"), ("tpl_x", " ")], "template_id string, query string")
+    got = {r["id"]: r["query"] for r in d.resolve_mappings(mappings, templates).collect()}
+    assert got == {"template-7": "seven", "tpl_x": "own", "hand": "own", "template-": "own"}

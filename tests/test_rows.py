@@ -111,6 +111,9 @@ def test_usage_falls_back_per_host(spark):
                                   "host string, filesystem string, mount string, usage_percent double, id int")
     got = quality.threshold_alerts(disks, [{"rule": "r", "target": "DATA", "limit": 90}])
     assert ids(got) == [2, 3]
+    root = quality.threshold_alerts(disks, [{"rule": "r", "target": "vda", "limit": 90}])
+    assert ids(root) == [1, 3]
+    assert ids(quality.memory_alerts(disks, 97, "usage_percent")) == [2, 3]
 
 
 def test_bytes(spark):
