@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -22,8 +22,9 @@ _encode = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
 BOXES = ("payload", "data")
 
 
+@lru_cache(maxsize=64)  # boxed text is read for several paths in a row
 def read(text: str | None):
-    """The document, or None if it is not JSON."""
+    """The document, or None if it is not JSON; not to be changed."""
     try:
         return json.loads(text)
     except (TypeError, ValueError):

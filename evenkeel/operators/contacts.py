@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel.functions.values import normalize_phone
-from evenkeel.operators.skew import lookup_join, small_or_none
+from evenkeel.operators.skew import join_unique, small_or_none
 
 SEPARATORS = r"[,;\s]+"
 
@@ -44,8 +44,7 @@ def resolve_recipients(rows: DataFrame, contacts: DataFrame, column: str, bot: s
     tokens = rows.withColumn("token", F.explode(F.split(F.col(f"`{column}`").cast("string"), SEPARATORS))) \
         .filter(F.col("token") != "").withColumn("__phone", normalize_phone(F.col("token")))
     for side, key in ((exact, "token"), (phone, "__phone")):
-        few = small_or_none(side)
-        tokens = tokens.join(few, key, "left") if few is not None else lookup_join(tokens, side, [key], "left", **hot_args)
+        tokens = join_unique(tokens, side, [key], **hot_args)
     best = F.least("__exact", "__by_phone")  # least skips nulls; structs compare by position first
     known = tokens.withColumn("__c", best)
     return known.select(
@@ -78,4 +77,5 @@ def enrich(rows: DataFrame, view: DataFrame, keys: Sequence[str]) -> DataFrame:
     Rows repeat as often as they came in, so the join stays an inner one; the
     planner splits partitions that come out skewed.
     """
-    return rows.select(*keys).join(view, list(keys), "inner")
+    few = small_or_none(view)
+    return rows.select(*keys).join(view if few is None else few, list(keys), "inner")

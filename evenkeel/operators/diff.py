@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from evenkeel.functions.equality import cell_text, is_nested, key_text, norm_eq
-from evenkeel.operators.skew import hot_keys
+from evenkeel.operators.skew import hot_keys, join_unique
 
 MATCH, DIFFERENT, SOURCE_ONLY, TARGET_ONLY = "MATCH", "DIFFERENT", "SOURCE_ONLY", "TARGET_ONLY"
 ROW_NUMBER = "__rn__"
@@ -443,7 +443,7 @@ def resolve_mappings(mappings: DataFrame, templates: DataFrame) -> DataFrame:
         mappings = mappings.withColumn("template_id", template_of(F.col("id")))
     shared = [c for c in templates.columns if c != "template_id" and c in mappings.columns]
     t = templates.select("template_id", *[F.col(c).alias(f"__t_{c}") for c in shared])
-    joined = mappings.join(t, "template_id", "left")
+    joined = join_unique(mappings, t, ["template_id"])
     return joined.select(*[
         F.coalesce(F.nullif(F.trim(f"__t_{c}"), F.lit("")), F.col(c)).alias(c) if c in shared else F.col(c)
         for c in given])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evenkeel.functions.events import node_values, nodes_with_values, orders_in
 from evenkeel.functions.json import bundle_payload, json_path
 from evenkeel.operators.ranking import rank_rows
-from evenkeel.operators.skew import small_or_none
+from evenkeel.operators.skew import join_unique
 
 LANDING_COLUMNS = ("seq", "kode_data", "detail_data", "input_by", "input_dt")
 
@@ -157,15 +157,15 @@ def _listed(ip: Column, rules: Column) -> Column:
 
 
 def classify_events(events: DataFrame, configs: DataFrame) -> DataFrame:
-    """Status of each event against the config of its slug; the first check that fails decides.
+    """Status of each event against the config of its slug (one each); the first check that
+    fails decides.
 
     NOT_FOUND, INACTIVE, UNAUTHORIZED (address, then secret header), INVALID_SCHEMA
     (landing table lacks columns: ``schema_ok`` false), FAILED (``insert_ok`` false on
     the event, if it has that column), else SUCCESS.
     """
     own = configs.select("slug", F.struct(*[c for c in configs.columns if c != "slug"]).alias("__cfg"))
-    few = small_or_none(own)
-    joined = events.join(few if few is not None else own, "slug", "left")
+    joined = join_unique(events, own, ["slug"])
     header = F.try_variant_get(F.try_parse_json("headers_json"), "$", "map<string,string>")
     wanted = F.lower(F.trim("__cfg.secret_name"))
     sent = F.map_values(F.map_filter(header, lambda k, v: F.lower(k) == wanted))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from evenkeel.operators.diff import dedupe_last
+from evenkeel.operators.skew import join_unique
 from evenkeel.sources import snapshots
 
 IDENTICAL, DIFFERENT, SOURCE_ONLY, TARGET_ONLY = "IDENTICAL", "DIFFERENT", "SOURCE_ONLY", "TARGET_ONLY"
@@ -120,7 +122,7 @@ def evolve(df: DataFrame, schema: T.StructType, source: DataFrame | None = None,
     added = [f for f in schema.fields if f.name not in have]
     if source is not None and added and keys:
         fill = source.select(*keys, *[F.col(f.name).cast(f.dataType).alias(f.name) for f in added])
-        df = df.join(fill.dropDuplicates(list(keys)), list(keys), "left")
+        df = join_unique(df, dedupe_last(fill, keys), keys)
         added = []
     df = df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in added}) if added else df
     return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 SHARE = 1.0 / 1000
 MIN_ROWS = 200_000
-BUCKETS = 1 << 16
+BUCKETS = 1 << 12
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = SHARE, min_rows: int = MIN_ROWS) -> DataFrame | None:
@@ -76,3 +76,13 @@ def small_or_none(df: DataFrame, max_rows: int = 100_000) -> DataFrame | None:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return None
+
+
+def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
+                max_rows: int = 100_000, **hot_args) -> DataFrame:
+    """Join to a ``right`` that is unique on ``keys``: by broadcast if it is counted to be
+    small, else as ``lookup_join``."""
+    few = small_or_none(right, max_rows)
+    if few is not None:
+        return left.join(few, list(keys), how)
+    return lookup_join(left, right, keys, how, **hot_args)

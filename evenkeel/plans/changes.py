@@ -154,6 +154,18 @@ def land_changes_orders(t: Tables):
     return changes.unwrap_changes(landed, ORDER_ROW, keep=["table_name"])
 
 
+@query("upsert_stream_orders", """
+SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'F' ELSE 'O' END AS o_orderstatus
+FROM {orders} WHERE o_orderkey % 11 <> 0""")
+def upsert_stream_orders(t: Tables):
+    path = t.scratch("upsert")
+    stream = t.spark.readStream.schema(t.orders.schema).option("pathGlobFilter", "orders.parquet").parquet(t.folder)
+    good, _ = changes.split_bad(order_messages(stream))
+    changes.upsert_stream(changes.unwrap_changes(good, ORDER_ROW), f"{path}/table", ["o_orderkey"],
+                          f"{path}/checkpoint").awaitTermination()
+    return snapshots.read_snapshot(t.spark, f"{path}/table").select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
 @query("dead_letter_orders", """
 SELECT o_orderkey AS "offset", CASE WHEN o_orderkey % 200 = 2 THEN 'replayed' ELSE 'dead' END AS state
 FROM {orders} WHERE o_orderkey % 100 = 2""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions.equality import norm_eq
 from evenkeel.operators import diff as d
-from evenkeel.operators import ranking, versioned
+from evenkeel.operators import ranking, schema, versioned
 from evenkeel.plans.base import Tables, query
 from evenkeel.sources import snapshots
 
@@ -312,6 +312,68 @@ def multi_table_compare(t: Tables):
     return out.withColumn("failed", F.col("error_message").isNotNull()).drop("error_message")
 
 
+# Two catalogs: the given tables, and the same with a column renamed, a type changed and tables missing.
+def _catalogs(t: Tables):
+    left = {"customer": (t.customer, ["c_custkey"]), "supplier": (t.supplier, ["s_suppkey"]), "region": (t.region, ["r_regionkey"])}
+    right = {"customer": (t.customer.withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(12,2)"))
+                          .withColumnRenamed("c_name", "C_NAME"), ["c_custkey"]),
+             "supplier": (t.sql(SUPPLIER_COPY), ["s_suppkey"]), "nation": (t.nation, ["n_nationkey"])}
+    return left, right
+
+
+def _filled(tables: dict, side: str):
+    """How many rows hold a value, per table and column: one pass per table."""
+    out = None
+    for name, (df, _) in tables.items():
+        counts = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns])
+        part = counts.select(F.explode(F.array(*[
+            F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("name"), F.col(c).alias(f"{side}_filled"))
+            for c in df.columns])).alias("r")).select("r.*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_SCHEMA_ROWS = [
+    ("customer", "c_custkey", "c_custkey", "IDENTICAL"), ("customer", "c_name", None, "SOURCE_ONLY"),
+    ("customer", None, "C_NAME", "TARGET_ONLY"), ("customer", "c_nationkey", "c_nationkey", "IDENTICAL"),
+    ("customer", "c_acctbal", "c_acctbal", "DIFFERENT"), ("customer", "c_mktsegment", "c_mktsegment", "IDENTICAL"),
+    *[("supplier", c, c, "IDENTICAL") for c in ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")],
+    *[("region", c, None, "SOURCE_ONLY") for c in ("r_regionkey", "r_name")],
+    *[("nation", None, c, "TARGET_ONLY") for c in ("n_nationkey", "n_name", "n_regionkey")],
+]
+
+
+@query("schema_compare_tables", " UNION ALL ".join(
+    f"SELECT '{table}' AS table_name, '{a or b}' AS name, '{status}' AS status, "
+    f"{f'(SELECT count({a}) FROM {{{table}}})' if a else 'NULL'} AS source_filled, "
+    f"{f'(SELECT count({b}) FROM {{{table}}})' if b else 'NULL'} AS target_filled" for table, a, b, status in _SCHEMA_ROWS))
+def schema_compare_tables(t: Tables):
+    """Columns of two catalogs with their status, and how many rows fill them on each side."""
+    left, right = _catalogs(t)
+    status = schema.schema_compare(schema.catalog_frame(t.spark, left), schema.catalog_frame(t.spark, right))
+    return status.select("table_name", "name", "status").join(_filled(left, "source"), ["table_name", "name"], "left") \
+        .join(_filled(right, "target"), ["table_name", "name"], "left")
+
+
+@query("auto_map_compare", f"""
+WITH sup AS (SELECT CASE WHEN abs(s.s_acctbal - c.s_acctbal) < 1e-9 THEN 'MATCH' ELSE 'DIFFERENT' END AS status
+  FROM {{supplier}} s JOIN ({SUPPLIER_COPY}) c ON s.s_suppkey = c.s_suppkey)
+SELECT 'customer' AS table_name, 'DIFFERENT' AS schema_status, 'c_custkey' AS keys, count(*) AS total_source, 0 AS total_differences FROM {{customer}}
+UNION ALL SELECT 'supplier', 'IDENTICAL', 's_suppkey', count(*), count(*) FILTER (WHERE status = 'DIFFERENT') FROM sup
+UNION ALL SELECT 'region', 'SOURCE_ONLY', 'r_regionkey', NULL, NULL UNION ALL SELECT 'nation', 'TARGET_ONLY', 'n_nationkey', NULL, NULL""")
+def auto_map_compare(t: Tables):
+    """Pair the tables of two catalogs by name, then compare the pairs by the keys found."""
+    left, right = _catalogs(t)
+    a, b = schema.catalog_frame(t.spark, left), schema.catalog_frame(t.spark, right)
+    mapped = schema.auto_map(a, b).collect()  # one row per table
+    pairs = {m["table_name"]: (lambda m=m: (left[m["source_table"]][0], right[m["target_table"]][0], d.DiffSpec(keys=m["keys"])))
+             for m in mapped if m["source_table"] and m["target_table"]}
+    found = d.compare_many(t.spark, pairs).select("table_name", "total_source", "total_differences")
+    named = t.spark.createDataFrame([(m["table_name"], ",".join(m["keys"])) for m in mapped], "table_name string, keys string")
+    return schema.schema_compare_all(a, b).select("table_name", F.col("status").alias("schema_status")) \
+        .join(named, "table_name").join(found, "table_name", "left")
+
+
 @query("run_history_orders", """
 SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS run_day, o_orderstatus AS state FROM {orders}
 WHERE o_custkey % 10 = 3 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50""")

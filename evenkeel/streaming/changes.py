@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming import StreamingQuery
 
 from evenkeel.functions.values import clamp_dates, time_to_timestamp
+from evenkeel.operators.versioned import upsert
 
 # The topic of keep-alive events, and the shape of a change event.
 HEARTBEAT = r".*_dbz_heartbeat"
@@ -102,6 +103,20 @@ def land_changes(stream: DataFrame, path: str, checkpoint: str, dead_letters: st
         .trigger(**(trigger or {"availableNow": True})).start()
 
 
+def upsert_stream(stream: DataFrame, target_path: str, keys: Sequence[str], checkpoint: str,
+                  **trigger) -> StreamingQuery:
+    """Merge a stream of rows with ``version`` and ``is_deleted`` into a snapshot table.
+
+    Within a batch and against the table the highest version wins, so late rows
+    change nothing. A batch that is repeated after a restart is skipped.
+    """
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        upsert(batch.sparkSession, target_path, batch, keys, snapshot=f"batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint) \
+        .trigger(**(trigger or {"availableNow": True})).start()
+
+
 def read_landing(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
     """Landed messages, of one table or of all; other tables' folders are not read."""
     rows = spark.read.parquet(path)

@@ -4,6 +4,9 @@ Each source table lands as versioned rows. A batch of changes does not re-run th
 query over everything: it finds the target keys the batch can touch, recomputes
 the query for those, and appends upserts and deletes. The target's current view
 then equals the query over the current views of the sources.
+
+The key lists in between are written tables: their size is known, so the planner
+broadcasts the small ones and splits skewed partitions of what meets a large one.
 """
 
 from __future__ import annotations
@@ -61,7 +64,7 @@ def populate(landing: Mapping[str, DataFrame], wh: Warehouse, stamp: Column | No
 
 
 def _renamed(rows: DataFrame, old: Sequence[str], new: Sequence[str]) -> DataFrame:
-    return rows.select(*[F.col(f"`{a}`").alias(b) for a, b in zip(old, new)]).distinct()
+    return rows.select(*[F.col(f"`{a}`").alias(b) for a, b in zip(old, new)])
 
 
 def _touched(changed: Mapping[str, DataFrame], landing: Mapping[str, DataFrame], old: DataFrame | None,
@@ -92,13 +95,16 @@ def _views_of(touched: DataFrame, landing: Mapping[str, DataFrame], wh: Warehous
     if driving is None:
         return views(landing, wh)
     keys = list(wh.table_keys[driving])
-    out = {driving: _view(landing[driving].join(_renamed(touched, wh.keys, keys), keys, "left_semi"), keys)}
+    wanted = _renamed(touched, wh.keys, keys)
+    # Used by the query and to cut every other table, so the scan of the landing is done once.
+    out = {driving: written(_view(landing[driving].join(wanted, keys, "left_semi"), keys), "driving")}
     for table, rows in landing.items():
         if table == driving:
             continue
         link, own = list(wh.links[table]), list(wh.table_keys[table])
         if set(link) <= set(out[driving].columns):
-            rows = rows.join(_renamed(out[driving], link, own), own, "left_semi")
+            used = written(_renamed(out[driving], link, own).distinct(), "used")
+            rows = rows.join(used, own, "left_semi")
         out[table] = _view(rows, own)
     return out
 
@@ -115,7 +121,9 @@ def join_refresh(changed: Mapping[str, DataFrame], landing: Mapping[str, DataFra
     keys = list(wh.keys)
     old = None if target is None else current_view(target, keys, sequence=None)
     touched = written(_touched(changed, landing, old, wh), "touched")
-    fresh = wh.query(_views_of(touched, landing, wh)).join(touched, keys, "left_semi")
+    fresh = wh.query(_views_of(touched, landing, wh))
+    if wh.driving() is None:
+        fresh = fresh.join(touched, keys, "left_semi")
     upserts = _stamped(fresh, refresh, F.lit(False), stamp)
     if target is None:
         return upserts
@@ -129,7 +137,8 @@ def run_warehouse(stream: DataFrame, split: Callable[[DataFrame], Mapping[str, D
                   landing_path: str, target_path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Land a stream of changes and refresh the target, batch by batch.
 
-    ``split`` turns a micro-batch into ``{table: rows with version, is_deleted}``.
+    ``split`` turns a micro-batch into ``{table: rows with version, is_deleted}``; the
+    first batch has to name every table, if only with no rows.
     Landing and target keep one folder per batch, overwritten when a batch repeats,
     so a restart neither loses nor doubles anything.
     """
@@ -143,6 +152,7 @@ def run_warehouse(stream: DataFrame, split: Callable[[DataFrame], Mapping[str, D
             rows.withColumn("ingest_seq", F.lit(number).cast("long")).write.mode("overwrite").parquet(
                 f"{landing_path}/{table}/{folder}")
             changed[table] = spark.read.parquet(f"{landing_path}/{table}/{folder}")
+        for table in wh.table_keys:  # also those the batch does not change
             landing[table] = spark.read.parquet(f"{landing_path}/{table}/batch=*")
         target = _before(spark, target_path, number)
         out = join_refresh(changed, landing, target, wh, number)
