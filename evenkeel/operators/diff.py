@@ -381,7 +381,8 @@ def compare_many(spark: SparkSession, mappings: Mapping[str, Callable[[], tuple[
 
     Each mapping is a function giving ``(source, target, spec)``. A failing pair is
     tried once more. With ``history_path`` and ``run_id`` the rows that do not match
-    are stored as JSON, one folder per run and table, rewritten whole on a retry.
+    are stored as JSON, one folder per run and table, rewritten whole on a retry, and
+    the totals of the run are added to ``<history_path>/runs``.
     """
 
     def once(name: str) -> tuple:
@@ -392,7 +393,7 @@ def compare_many(spark: SparkSession, mappings: Mapping[str, Callable[[], tuple[
         else:
             # One comparison: store the rows that differ, then count what was stored.
             # Every target row is compared, so the matches are the target rows left over.
-            folder = f"{history_path}/run_id={run_id}/table_name={name}"
+            folder = f"{history_path}/rows/run_id={run_id}/table_name={name}"
             rows = with_cells(row_diff(source, target, replace(spec, return_matched=False)), spec.numeric)
             data = F.translate(F.to_json("cells"), "\u0000", "")
             rows.select(F.lit(job).alias("job"), "row_key", "status", data.alias("data_json")) \
@@ -413,7 +414,15 @@ def compare_many(spark: SparkSession, mappings: Mapping[str, Callable[[], tuple[
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         results = list(pool.map(guarded, mappings))
     schema = "table_name string, " + ", ".join(f"{c} long" for c in _TOTALS) + ", error_message string"
-    return spark.createDataFrame(results, schema)
+    summary = spark.createDataFrame(results, schema)
+    if history_path and run_id:
+        errors = "; ".join(f"{row[0]}: {row[-1]}" for row in results if row[-1]) or None
+        counts = [c for c in _TOTALS if c.endswith("_count")]
+        summary.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts]).select(
+            F.lit(run_id).alias("id"), F.lit(job).alias("schedule_id"), F.now().alias("run_time"), *counts,
+            F.lit(errors).cast("string").alias("error_message")) \
+            .write.mode("overwrite").parquet(f"{history_path}/runs/run={run_id}")
+    return summary
 
 
 def run_history(runs: DataFrame, job, n: int = 50) -> DataFrame:

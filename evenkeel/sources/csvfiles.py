@@ -57,12 +57,11 @@ def csv_ingest(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"empty CSV file: {path}")
     delimiter = find_delimiter(head["value"])
     options = dict(sep=delimiter, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    header = spark.createDataFrame([(head["value"].removeprefix("﻿"),)], "value string")
-    width = max(1, len(_split_line(head["value"], delimiter)))
-    raw_schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    names = header.select(F.from_csv("value", raw_schema.simpleString()[7:-1].replace(":", " "),
-                                     {k: str(v) for k, v in options.items()}).alias("r")).first()["r"]
-    columns = sanitize_names([n for n in names])
+    width = len(_split_line(head["value"], delimiter))
+    header = spark.createDataFrame([(head["value"].removeprefix("\ufeff"),)], "value string").select(
+        F.from_csv("value", ", ".join(f"_c{i} string" for i in range(width)), {k: str(v) for k, v in options.items()}))
+    names = header.first()[0]
+    columns = sanitize_names(list(names))
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     rows = spark.read.csv(path, schema=schema, header=True, nullValue="\u0000", emptyValue="", mode="PERMISSIVE",
                           enforceSchema=True, **options)

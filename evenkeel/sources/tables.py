@@ -18,7 +18,7 @@ JDBC_URLS = {
     "clickhouse": "jdbc:clickhouse://{host}:{port}/{database}",
 }
 FETCH_SIZE = 10_000
-WRITE_WORDS = re.compile(r"\b(insert|update|delete|drop|alter|create|truncate|grant|revoke|merge|call|copy)\b", re.I)
+WRITE_WORDS = re.compile(r"\b(insert|update|delete|drop|alter|truncate|exec|execute)\s", re.I)
 
 
 @dataclass(frozen=True)

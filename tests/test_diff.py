@@ -167,7 +167,10 @@ def test_compare_many_reports_failures_and_keeps_history(spark, tmp_path):
     rows = {r["table_name"]: r for r in out.collect()}
     assert rows["ab"]["total_differences"] == 3 and rows["ab"]["match_count"] == 0
     assert "gone" in rows["broken"]["error_message"] and next(calls) == 2  # tried twice
-    history = spark.read.parquet(str(tmp_path))
+    history = spark.read.parquet(f"{tmp_path}/rows")
+    run = d.run_history(spark.read.parquet(f"{tmp_path}/runs"), "compare").first()
+    assert (run["different_count"], run["source_only_count"], run["target_only_count"]) == (1, 1, 1)
+    assert run["error_message"].startswith("broken: ConnectionError")
     assert d.run_rows(history, 7, "ab").count() == 3
     assert history.filter(F.col("data_json").contains("\u0000")).count() == 0
 
