@@ -7,6 +7,8 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from evenkeel.functions.equality import BLANKS
+
 # Rows per read, text length per part, least distance of a soft cut, retry delay and rounds.
 CYCLE_CAP = 100
 PART_LENGTH = 4000
@@ -68,7 +70,7 @@ def _parts(text: str | None, longest: int) -> list[str]:
                 if at > LEAST_PART:
                     cut = at
                     break
-        parts.append(rest[:cut].strip())
+        parts.append(rest[:cut].strip(BLANKS))
         rest = rest[cut:].lstrip("\n ")
     return parts
 

@@ -310,7 +310,7 @@ def join_refresh_orders_customer(t: Tables):
     return final.select("o_orderkey", "o_custkey", "o_orderstatus", "c_name", "c_mktsegment")
 
 
-@query("initial_populate_orders_customer", f"SELECT *, 0 AS version FROM ({_FINAL_SALES})")
+@query("initial_populate_orders_customer", f"SELECT *, CAST(0 AS BIGINT) AS version FROM ({_FINAL_SALES})")
 def initial_populate_orders_customer(t: Tables):
     parts = {table: None for table in SALES.table_keys}
     for number, batch in enumerate(_sales_batches(t), 1):
@@ -339,7 +339,7 @@ def resync_missing_orders(t: Tables):
 
 @query("stream_warehouse_orders", """
 SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'F' ELSE 'O' END AS o_orderstatus,
-  CASE WHEN o_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS c_name, NULL AS c_mktsegment FROM {orders} WHERE o_orderkey % 11 <> 0""")
+  CASE WHEN o_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS c_name, CAST(NULL AS VARCHAR) AS c_mktsegment FROM {orders} WHERE o_orderkey % 11 <> 0""")
 def stream_warehouse_orders(t: Tables):
     """Change messages of orders stream into landing and a refreshed target."""
     path = t.scratch("stream")

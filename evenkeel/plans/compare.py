@@ -253,7 +253,7 @@ def row_fingerprint_customer(t: Tables):
 
 # Which buckets differ depends on the hash; every changed key must lie in one of them.
 @query("bucket_checksums_orders", f"""WITH {ORDERS_DIFF}
-SELECT count(*) FILTER (WHERE status = 'SOURCE_ONLY') AS source_only_found, 0 AS buckets_of_equal_tables FROM pair""")
+SELECT count(*) FILTER (WHERE status = 'SOURCE_ONLY') AS source_only_found, CAST(0 AS BIGINT) AS buckets_of_equal_tables FROM pair""")
 def bucket_checksums_orders(t: Tables):
     buckets = 4096
     bad = d.differing_buckets(t.orders, t.sql(ORDERS_COPY), ["o_orderkey"], buckets)

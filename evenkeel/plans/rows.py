@@ -41,7 +41,7 @@ def bind_params_events(t: Tables):
                               params={"least": 100}, system=tables.system_values(sys_user="ana"))
 
 
-@query("preview_orders", "SELECT 200 AS row_count, 6 AS column_count")
+@query("preview_orders", "SELECT CAST(least(200, count(*)) AS BIGINT) AS row_count, 6 AS column_count FROM {orders}")
 def preview_orders(t: Tables):
     shown = tables.preview(t.orders)
     return shown.agg(F.count(F.lit(1)).alias("row_count")).withColumn("column_count", F.lit(len(shown.columns)))
@@ -304,8 +304,8 @@ def high_water_read_events(t: Tables):
 
 @query("high_water_mark_events", """
 SELECT 'first' AS read, (SELECT max(value) FROM {events}) AS mark,
-  (SELECT max(event_id) FROM {events} WHERE value = (SELECT max(value) FROM {events})) AS event_id, 0 AS row_count
-UNION ALL (SELECT 'next', value, event_id, 100 FROM (SELECT value, event_id FROM {events} WHERE value > 20 ORDER BY value, event_id LIMIT 100)
+  (SELECT max(event_id) FROM {events} WHERE value = (SELECT max(value) FROM {events})) AS event_id, CAST(0 AS BIGINT) AS row_count
+UNION ALL (SELECT 'next', value, event_id, count(*) OVER () FROM (SELECT value, event_id FROM {events} WHERE value > 20 ORDER BY value, event_id LIMIT 100)
   ORDER BY value DESC, event_id DESC LIMIT 1)""")
 def high_water_mark_events(t: Tables):
     parts = []
@@ -325,13 +325,29 @@ def render_template_customer(t: Tables):
         .select("c_custkey", "message")
 
 
-@query("split_long_text_documents")
+_REACH = "substr(rest, 1, 4001)"
+_CUT = f"""CASE WHEN length(rest) <= 4000 THEN 4000
+  WHEN length(regexp_extract({_REACH}, '(?s)^(.*)\\n', 1)) > 500 THEN length(regexp_extract({_REACH}, '(?s)^(.*)\\n', 1))
+  WHEN length(regexp_extract({_REACH}, '(?s)^(.*) ', 1)) > 500 THEN length(regexp_extract({_REACH}, '(?s)^(.*) ', 1))
+  ELSE 4000 END"""
+
+
+@query("split_long_text_documents", f"""
+WITH RECURSIVE cutting AS (
+  SELECT doc_id, 0 AS part, '' AS piece, text AS rest FROM {{documents}} WHERE length(text) > 4000
+  UNION ALL
+  SELECT doc_id, part + 1, trim(substr(rest, 1, cut), ' ' || chr(10) || chr(9) || chr(13)),
+    ltrim(substr(rest, cut + 1), ' ' || chr(10)) FROM (SELECT *, {_CUT} AS cut FROM cutting WHERE rest <> '')),
+pieces AS (SELECT doc_id, part, piece, max(part) OVER (PARTITION BY doc_id) AS parts FROM cutting WHERE part > 0)
+SELECT doc_id, parts, part, CASE WHEN parts > 1 THEN piece || chr(10) || chr(10) || '<i>[Bagian ' || CAST(part AS VARCHAR) || '/'
+  || CAST(parts AS VARCHAR) || ']</i>' ELSE piece END AS part_text FROM pieces
+UNION ALL SELECT doc_id, 1, 1, text FROM {{documents}} WHERE length(text) <= 4000""")
 def split_long_text_documents(t: Tables):
     return incremental.split_long_text(t.documents.select("doc_id", "text"), "text").drop("text")
 
 
 @query("split_long_text_totals", """
-SELECT count(*) AS doc_count, sum(CASE WHEN n <= 4000 THEN 1 ELSE 0 END) AS whole_count,
+SELECT count(*) AS doc_count, count(*) FILTER (WHERE n <= 4000) AS whole_count,
   CAST(sum(words) AS BIGINT) AS word_count FROM (SELECT length(text) AS n,
   len(regexp_extract_all(text, '[^ \\n]+')) AS words FROM {documents})""")
 def split_long_text_totals(t: Tables):
