@@ -16,11 +16,12 @@ from evenkeel.operators.skew import join_unique
 
 LANDING_COLUMNS = ("seq", "kode_data", "detail_data", "input_by", "input_dt")
 
-# Default codes of the two ways in, who writes, ids per request.
+# Default codes of the two ways in, ids per request.
 API_CODE, WEBHOOK_CODE = "API_DATA", "WEBHOOK"
-INPUT_BY = "darkosync"
 ID_BATCH = 50
 
+INPUT_BY = "evenkeel"
+
 
 # ---------------------------------------------------------------- landing
 

@@ -35,7 +35,7 @@ def bundle_payload_events(t: Tables):
 
 
 @query("land_json_events", f"""
-SELECT 'EVT' AS kode_data, 'darkosync' AS input_by, '2023-11-14 22:13:20' AS input_dt, count(*) AS row_count,
+SELECT 'EVT' AS kode_data, 'evenkeel' AS input_by, '2023-11-14 22:13:20' AS input_dt, count(*) AS row_count,
   count(*) AS seq_count, true AS seq_in_batch FROM ({PAYLOADS_CHECK}) WHERE trim(payload) <> ''""")
 def land_json_events(t: Tables):
     landed = jsonland.land_json(t.sql(PAYLOADS_SPARK), code="EVT", batch_millis=1700000000000)

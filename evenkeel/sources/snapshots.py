@@ -22,6 +22,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(path_of(path))
 
 
+def folders(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
+    """Names of the folders below ``path`` that start with ``prefix``."""
+    fs, path_of = _fs(spark, path)
+    if not fs.exists(path_of(path)):
+        return []
+    found = [s.getPath().getName() for s in fs.listStatus(path_of(path)) if s.isDirectory()]
+    return sorted(name for name in found if name.startswith(prefix))
+
+
+def swap_in(spark: SparkSession, path: str, fresh: str, name: str, replaced: list[str]) -> None:
+    """Show the folder ``fresh`` as ``name``, then drop the folders it replaces."""
+    fs, path_of = _fs(spark, path)
+    if not fs.rename(path_of(f"{path}/{fresh}"), path_of(f"{path}/{name}")):
+        raise OSError(f"cannot rename {path}/{fresh}")
+    for old in replaced:
+        fs.delete(path_of(f"{path}/{old}"), True)
+
+
 def folder_bytes(spark: SparkSession, path: str) -> int:
     fs, path_of = _fs(spark, path)
     return fs.getContentSummary(path_of(path)).getLength()

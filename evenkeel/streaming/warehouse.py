@@ -11,6 +11,7 @@ broadcasts the small ones and splits skewed partitions of what meets a large one
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -133,12 +134,33 @@ def join_refresh(changed: Mapping[str, DataFrame], landing: Mapping[str, DataFra
     return upserts.unionByName(_stamped(gone, refresh, F.lit(True), stamp), allowMissingColumns=True)
 
 
+def compact_batches(spark: SparkSession, path: str, keys: Sequence[str], sequence: str | None = "ingest_seq",
+                    before: str | None = None) -> int:
+    """Replace the batch folders of a table by one with the latest rows; gives the number replaced.
+
+    ``before`` spares the folders from that name on, such as what a batch that is now
+    repeated wrote. Delete records stay, so that late rows cannot undo them. The new folder shows
+    before the old ones go: in between rows are doubled, which the latest version
+    does not mind. Not to be run while another job reads the folders.
+    """
+    old = [name for name in snapshots.folders(spark, path, "batch=") if before is None or name < before]
+    if len(old) < 2:
+        return 0
+    rows = spark.read.parquet(*[f"{path}/{name}" for name in old])
+    fresh = f"_compact-{uuid.uuid4().hex}"
+    latest_version(rows, keys, sequence=sequence).write.parquet(f"{path}/{fresh}")
+    snapshots.swap_in(spark, path, fresh, f"{old[-1].split('.')[0]}.{fresh[9:]}", old)
+    return len(old)
+
+
 def run_warehouse(stream: DataFrame, split: Callable[[DataFrame], Mapping[str, DataFrame]], wh: Warehouse,
-                  landing_path: str, target_path: str, checkpoint: str, **trigger) -> StreamingQuery:
+                  landing_path: str, target_path: str, checkpoint: str, compact_every: int | None = 100,
+                  **trigger) -> StreamingQuery:
     """Land a stream of changes and refresh the target, batch by batch.
 
     ``split`` turns a micro-batch into ``{table: rows with version, is_deleted}``; the
-    first batch has to name every table, if only with no rows.
+    first batch has to name every table, if only with no rows. Every ``compact_every``
+    batches the folders of all tables are reduced to their latest rows.
     Landing and target keep one folder per batch, overwritten when a batch repeats,
     so a restart neither loses nor doubles anything.
     """
@@ -146,6 +168,10 @@ def run_warehouse(stream: DataFrame, split: Callable[[DataFrame], Mapping[str, D
         spark = batch.sparkSession
         number = batch_id + 1  # 0 is the first fill
         folder = f"batch={number:012d}"
+        if compact_every and number % compact_every == 0:  # nothing else reads between two batches
+            for table, table_keys in wh.table_keys.items():
+                compact_batches(spark, f"{landing_path}/{table}", table_keys, before=folder)
+            compact_batches(spark, target_path, wh.keys, sequence=None, before=folder)
         batch.persist()  # read the source once for all tables
         changed, landing = {}, {}
         for table, rows in split(batch).items():

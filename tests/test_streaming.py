@@ -128,7 +128,8 @@ def test_refresh_appends_only_touched_rows(spark):
     assert len(out) == 10 and {r["name"] for r in out} == {"renamed"}
 
 
-def test_streamed_warehouse_batches(spark, tmp_path):
+@pytest.mark.parametrize("every", [None, 2])
+def test_streamed_warehouse_batches(spark, tmp_path, every):
     source = tmp_path / "in"
 
     def split(batch):
@@ -140,7 +141,8 @@ def test_streamed_warehouse_batches(spark, tmp_path):
 
     def run():
         stream = changes.read_changes(spark, str(source), maxFilesPerTrigger=1)
-        warehouse.run_warehouse(stream, split, WH, str(tmp_path / "landing"), str(tmp_path / "target"), str(tmp_path / "cp")).awaitTermination()
+        warehouse.run_warehouse(stream, split, WH, str(tmp_path / "landing"), str(tmp_path / "target"), str(tmp_path / "cp"),
+                                compact_every=every).awaitTermination()
 
     def send(name, *rows):
         write(source, name, [{"topic": "t", "partition": 0, "offset": 0, "value": json.dumps(r)} for r in rows])
@@ -149,5 +151,26 @@ def test_streamed_warehouse_batches(spark, tmp_path):
     run()
     send("2.json", {"cust": 7, "name": "Ann", "lsn": 3, "gone": False}, {"o_id": 2, "cust": 8, "amount": 6, "lsn": 4, "gone": True})
     run()
+    send("3.json", {"o_id": 2, "cust": 7, "amount": 9, "lsn": 3, "gone": False}, {"o_id": 3, "cust": 7, "amount": 1, "lsn": 6, "gone": False})
+    run()
+    send("4.json", {"cust": 7, "name": "Eve", "lsn": 8, "gone": False})
+    run()
     got = current_view(spark.read.parquet(f"{tmp_path}/target/batch=*"), ["o_id"], sequence=None)
-    assert [(r["o_id"], r["name"]) for r in got.collect()] == [(1, "Ann")]
+    # The late row of order 2 is older than its delete.
+    assert sorted((r["o_id"], r["name"]) for r in got.collect()) == [(1, "Eve"), (3, "Eve")]
+    folders = len(list((tmp_path / "target").glob("batch=*")))
+    assert folders == (4 if every is None else 2)
+
+
+def test_compacting_batches_keeps_the_latest_rows_and_deletes(spark, tmp_path):
+    rows = [(1, "a", 5, False, 1), (1, "b", 4, False, 2), (2, "c", 1, False, 1), (2, "c", 9, True, 3)]
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], "id int, v string, version long, is_deleted boolean, ingest_seq long") \
+            .write.parquet(f"{tmp_path}/t/batch={i}")
+    assert warehouse.compact_batches(spark, f"{tmp_path}/t", ["id"], before="batch=3") == 3
+    left = sorted(p.name for p in (tmp_path / "t").glob("batch=*"))
+    assert len(left) == 2 and left[0].startswith("batch=2.") and left[1] == "batch=3"
+    assert warehouse.compact_batches(spark, f"{tmp_path}/t", ["id"]) == 2
+    got = spark.read.parquet(f"{tmp_path}/t/batch=*")
+    assert sorted((r["id"], r["v"], r["is_deleted"]) for r in got.collect()) == [(1, "a", False), (2, "c", True)]
+    assert warehouse.compact_batches(spark, f"{tmp_path}/t", ["id"]) == 0
