@@ -144,16 +144,26 @@ def route_changes_orders(t: Tables):
     return t.orders.groupBy(changes.route_table(topic, "shop").alias("table_name")).agg(F.count(F.lit(1)).alias("row_count"))
 
 
-@query("land_changes_orders", f"SELECT 'cdc_db_sales_orders' AS table_name, * FROM ({_CHANGES})")
-def land_changes_orders(t: Tables):
-    """A file stream of orders turned into messages, landed with dead letters, then unwrapped."""
+def _landed(t: Tables) -> str:
+    """A file stream of orders turned into messages, landed."""
     path = t.scratch("landing")
     stream = t.spark.readStream.schema(t.orders.schema).option("pathGlobFilter", "orders.parquet").parquet(t.folder)
-    changes.land_changes(order_messages(stream), f"{path}/rows", f"{path}/checkpoint", f"{path}/dead").awaitTermination()
-    landed = changes.read_landing(t.spark, f"{path}/rows", "cdc_db_sales_orders")
+    changes.land_changes(order_messages(stream), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return f"{path}/rows"
+
+
+@query("land_changes_orders", f"SELECT 'cdc_db_sales_orders' AS table_name, * FROM ({_CHANGES})")
+def land_changes_orders(t: Tables):
+    landed = changes.read_landing(t.spark, _landed(t), "cdc_db_sales_orders")
     return changes.unwrap_changes(landed, ORDER_ROW, keep=["table_name"])
 
 
+@query("dead_letters_of_stream", """
+SELECT o_orderkey AS "offset", 'value is not JSON' AS error, true AS timed FROM {orders} WHERE o_orderkey % 100 = 2""")
+def dead_letters_of_stream(t: Tables):
+    return changes.read_dead(t.spark, _landed(t)).select("offset", "error", F.col("failed_at").isNotNull().alias("timed"))
+
+
 @query("upsert_stream_orders", """
 SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'F' ELSE 'O' END AS o_orderstatus
 FROM {orders} WHERE o_orderkey % 11 <> 0""")

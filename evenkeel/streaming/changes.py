@@ -65,11 +65,18 @@ def _as_struct(ddl: str) -> str:
     return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in schema.fields)
 
 
+NOT_JSON = "value is not JSON"
+
+
+def _readable() -> Column:
+    return F.col("value").isNull() | F.try_parse_json("value").isNotNull()
+
+
 def split_bad(messages: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Messages that are JSON (or tombstones), and dead letters with error and time."""
-    ok = F.col("value").isNull() | F.try_parse_json("value").isNotNull()
+    ok = _readable()
     dead = messages.filter(~ok).withColumns({
-        "error": F.lit("value is not JSON"), "failed_at": now if now is not None else F.now()})
+        "error": F.lit(NOT_JSON), "failed_at": now if now is not None else F.now()})
     return messages.filter(ok), dead
 
 
@@ -81,23 +88,20 @@ def replay(dead: DataFrame, repaired: Column | None = None) -> tuple[DataFrame,
     return split_bad(fresh)
 
 
-def land_changes(stream: DataFrame, path: str, checkpoint: str, dead_letters: str | None = None,
-                 base: str = "db", **trigger) -> StreamingQuery:
+LANDED, DEAD = "landed", "dead"
+
+
+def land_changes(stream: DataFrame, path: str, checkpoint: str, base: str = "db", **trigger) -> StreamingQuery:
     """Append messages to a landing folder, partitioned by table; each batch has its own
     folder and is overwritten when repeated, so every message lands once.
 
-    With ``dead_letters`` unreadable messages go there and the others land.
+    Unreadable messages are set aside in the same pass, for ``read_dead``.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("table_name", route_table(F.col("topic"), base))
-        if dead_letters is None:
-            batch.write.mode("overwrite").partitionBy("table_name").parquet(f"{path}/batch={batch_id}")
-            return
-        batch.persist()  # read the source once for both folders
-        good, bad = split_bad(batch)
-        good.write.mode("overwrite").partitionBy("table_name").parquet(f"{path}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{dead_letters}/batch={batch_id}")
-        batch.unpersist()
+        batch.withColumns({
+            "landed_at": F.now().cast("timestamp_ntz"), "table_name": route_table(F.col("topic"), base),
+            "state": F.when(_readable(), F.lit(LANDED)).otherwise(F.lit(DEAD)),
+        }).write.mode("overwrite").partitionBy("state", "table_name").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint) \
         .trigger(**(trigger or {"availableNow": True})).start()
@@ -119,8 +123,14 @@ def upsert_stream(stream: DataFrame, target_path: str, keys: Sequence[str], chec
 
 def read_landing(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
     """Landed messages, of one table or of all; other tables' folders are not read."""
-    rows = spark.read.parquet(path)
-    return (rows if table is None else rows.filter(F.col("table_name") == table)).drop("batch")
+    rows = spark.read.parquet(path).filter(F.col("state") == LANDED)
+    return (rows if table is None else rows.filter(F.col("table_name") == table)).drop("batch", "state")
+
+
+def read_dead(spark: SparkSession, path: str) -> DataFrame:
+    """Messages that could not be read, with error and time."""
+    return spark.read.parquet(path).filter(F.col("state") == DEAD).drop("batch", "state") \
+        .withColumn("error", F.lit(NOT_JSON)).withColumnRenamed("landed_at", "failed_at")
 
 
 def backfill(source: DataFrame, landing: DataFrame, clean: bool = True) -> DataFrame:

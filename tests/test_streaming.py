@@ -29,7 +29,7 @@ def test_landing_survives_restart_and_sets_bad_messages_aside(spark, tmp_path):
 
     def run():
         stream = changes.read_changes(spark, str(source), maxFilesPerTrigger=1)
-        changes.land_changes(stream, out, str(tmp_path / "cp"), str(tmp_path / "dead")).awaitTermination()
+        changes.land_changes(stream, out, str(tmp_path / "cp")).awaitTermination()
 
     write(source, "1.json", [message("c", 1, {"id": 1, "v": "a"}), message("c", 2, {"id": 2, "v": "b"}),
                              {"topic": "srv.sales.items", "value": "{bad"}, {"topic": "srv.sales.items", "value": None}])
@@ -41,7 +41,7 @@ def test_landing_survives_restart_and_sets_bad_messages_aside(spark, tmp_path):
     assert landed(spark, out).count() == 4
     now = {(r["id"], r["v"]) for r in current_view(landed(spark, out), ["id"]).collect()}
     assert now == {(2, "b2")}
-    dead = spark.read.parquet(f"{tmp_path}/dead/batch=*")
+    dead = changes.read_dead(spark, out)
     assert [r["value"] for r in dead.collect()] == ["{bad"] and dead.first()["failed_at"] is not None
     assert changes.unwrap_changes(changes.read_landing(spark, out, "cdc_db_sales_items"), ROW).count() == 4
     assert changes.read_landing(spark, out, "cdc_db_sales_others").count() == 0
