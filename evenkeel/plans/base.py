@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.session import ensure_checkpoint_dir
+from evenkeel.session import ensure_checkpoint_dir, send_package
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -23,6 +23,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        send_package(spark)
 
     @functools.cache
     def __getattr__(self, name: str) -> DataFrame:

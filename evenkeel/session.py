@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -58,3 +59,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_sent: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per application.
+
+    For sessions started without ``--py-files``: Spark serves the archive from the
+    driver to all executors.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _sent:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    place = os.path.join(tempfile.mkdtemp(prefix="evenkeel-package-"), "evenkeel")
+    archive = shutil.make_archive(place, "zip", os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(archive)
+    _sent.add(app)
