@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evenkeel.llm.shared import prepare
 
@@ -48,3 +49,22 @@ def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     from evenkeel.llm.packing import pack_documents
 
     return pack_documents(table(spark, folder, "documents"), WORD_LEVEL, capacity=2048, end_id=0)
+
+
+@query
+def op9_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    from evenkeel.llm.winnowing import fingerprint_documents, shown
+
+    found = fingerprint_documents(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", shown(F.col("chosen")).alias("fingerprint"),
+        shown(F.col("edited_chosen")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query
+def op10_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in forty shards of near equal bytes."""
+    from evenkeel.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, folder, "documents"), shards=40)
