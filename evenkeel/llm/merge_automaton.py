@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from evenkeel.llm.shared import by_batch, documents, prepare
-from evenkeel.llm.tokens import LONG, PieceMemory, groups
+from evenkeel.llm.tokens import LONG, PieceMemory, groups, shown_bytes
 
 ROWS = "doc_id long, ids binary, decoded string"
 _WIDE = 20  # bits for a token's number
@@ -257,10 +257,7 @@ class AutomatonTokenizer:
 @functools.lru_cache(maxsize=1)
 def byte_of() -> dict[str, int]:
     """The byte that each character of a byte-level label stands for."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    shown = dict.fromkeys(plain)
-    rest = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+    return {c: b for b, c in shown_bytes().items()}
 
 
 @functools.lru_cache(maxsize=1)

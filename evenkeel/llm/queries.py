@@ -68,3 +68,32 @@ def op10_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
     from evenkeel.llm.sharding import shard_documents
 
     return shard_documents(table(spark, folder, "documents"), shards=40)
+
+
+@query
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A score for each document, by a model that never saw the held-out fifth."""
+    from evenkeel.llm.toxicity import fit, score_documents
+
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    model = fit(docs, labels, fold != 0)
+    return score_documents(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_line_crf(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts and the field's verdict for each document."""
+    from evenkeel.llm.line_crf import fit, judge
+
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return judge(docs, fit(docs, labels))
+
+
+@query
+def op6_count_min(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of each document without the passages of earlier ones."""
+    from evenkeel.llm.count_min import remove_repeats
+
+    left = remove_repeats(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -18,6 +18,7 @@ from __future__ import annotations
 import array
 import functools
 import itertools
+import json
 import os
 import re
 from collections.abc import Iterable, Sequence
@@ -27,12 +28,16 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces remembered in each of two generations.
-REMEMBERED = 350_000
+REMEMBERED = 450_000
 #: Pieces longer than this are not remembered.
 LONG = 200
 
 # Fixed characters: printable ASCII and word characters are never white space.
 _PLAIN = re.compile(r"[\x21-\x7e\w](?:.*[\x21-\x7e\w])?", re.DOTALL)
+# Pieces of Latin letters, common signs and line breaks: their pre-split words can be told here.
+_LETTERS, _SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[.,!?;:#$%&*|()\-]+"
+_KNOWN = re.compile(f"(?:{_LETTERS}(?:{_SIGNS})?|{_SIGNS})(?:\n(?:{_LETTERS}(?:{_SIGNS})?|{_SIGNS}))*")
+_PARTS = re.compile(f"{_LETTERS}|{_SIGNS}|\n")
 _SAFE = re.compile(r"(?<=[\x21-\x7e\w])(?= )|(?<! )(?= [\x21-\x7e\w])")
 
 
@@ -75,6 +80,36 @@ class TextEncoder:
         self.memory = PieceMemory()
 
         self.loose = PieceMemory(REMEMBERED // 4)
+        self.model, self.signs = self.tokenizer.model, {}
+        self.lower = not self.spaced
+        told = json.loads(self.tokenizer.to_str())
+        #: Whether the file's rules are those that ``_told`` follows.
+        self.plain = told["normalizer"] is None and self.spaced or self._is_word_file(told)
+
+    @staticmethod
+    def _is_word_file(told: dict) -> bool:
+        steps = (told["normalizer"] or {}).get("normalizers", [])
+        splits = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+        return [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["behavior"] == "Removed"
+
+    def _part(self, word: str, spaced: bool) -> bytes:
+        """Ids of one pre-split word by the library's model."""
+        letters = word.isalpha()
+        found = (self.memory.young.get(word) if spaced or not self.spaced else None) if letters else self.signs.get((word, spaced))
+        if found is None:
+            text = (" " + word if spaced else word.lower() if self.lower else word).encode().decode("latin-1").translate(shown_bytes())
+            found = array.array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
+            if not letters and len(self.signs) < 10_000:
+                self.signs[(word, spaced)] = found
+        return found
+
+    def _told(self, piece: str) -> bytes:
+        """Ids of a piece of known kind: letters, signs and line breaks are words of their own."""
+        first = piece[:1] == " "
+        parts = _PARTS.findall(piece)
+        if not self.spaced:
+            return b"".join([self._part(w, False) for w in parts if w != "\n"])
+        return b"".join([self._part(w, i == 0 and not first) for i, w in enumerate(parts)])
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         ids = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -87,9 +122,10 @@ class TextEncoder:
         """
         bare = [p[1:] if p[:1] == " " else p for p in pieces]
         fit = [len(p) <= LONG and _PLAIN.fullmatch(p) is not None and not any(s in p for s in self.special) for p in bare]
-        texts = [p[1:] if p[:1] == " " else " " + p if self.spaced else p for p, ok in zip(pieces, fit) if ok]
+        told = [self.plain and ok and _KNOWN.fullmatch(p) is not None for p, ok in zip(bare, fit)]
+        texts = [p[1:] if p[:1] == " " else " " + p if self.spaced else p for p, ok, known in zip(pieces, fit, told) if ok and not known]
         made = iter(self._ask(texts))
-        return [next(made) if ok else None for ok in fit]
+        return [self._told(p) if known else next(made) if ok else None for p, ok, known in zip(pieces, fit, told)]
 
     def _slow(self, text: str) -> bytes:
         """A text with odd spaces, very long pieces or special tokens: cut at safe spaces, if at all."""
@@ -117,6 +153,14 @@ class TextEncoder:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def shown_bytes() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
     """One encoder for each worker process and file."""
