@@ -97,3 +97,11 @@ def op6_count_min(spark: SparkSession, folder: str) -> DataFrame:
 
     left = remove_repeats(table(spark, folder, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op5_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose shingle sets are alike by 85 percent."""
+    from evenkeel.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85)

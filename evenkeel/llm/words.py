@@ -42,8 +42,8 @@ class Chunk(NamedTuple):
     offsets: np.ndarray
 
 
-def chunks(column: pa.Array, most: int = CHUNK) -> Iterator[Chunk]:
-    """Cut a string column into chunks of whole documents; nulls are empty texts."""
+def chunks(column: pa.Array, most: int = CHUNK, rows: int = 256) -> Iterator[Chunk]:
+    """Cut a string column into chunks of at most ``rows`` whole documents; nulls are empty texts."""
     if column.null_count:
         column = column.fill_null("")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
@@ -53,7 +53,7 @@ def chunks(column: pa.Array, most: int = CHUNK) -> Iterator[Chunk]:
     first = 0
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
-        last = min(last, len(column))
+        last = min(last, first + rows, len(column))
         yield Chunk(first, last, data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first])
         first = last
 
