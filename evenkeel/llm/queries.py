@@ -105,3 +105,11 @@ def op5_minhash(spark: SparkSession, folder: str) -> DataFrame:
     from evenkeel.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85)
+
+
+@query
+def op1_masked_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    """The pseudo-likelihood of each document under a network trained on all of them."""
+    from evenkeel.llm.masked_lm import pseudo_likelihood
+
+    return pseudo_likelihood(table(spark, folder, "documents"))
