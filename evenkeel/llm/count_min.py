@@ -20,7 +20,7 @@ starts in a document with a smaller doc_id. Four steps, with one shuffle of the
 Cases: null, empty and blank texts and texts of fewer words than a window lose nothing; rows with
 a null doc_id are kept as they are and remove nothing; rows that repeat a doc_id are one document
 to each other (equal ids are not smaller); an empty table gives no rows. Kept words are joined by
-one space. Further columns can be carried along.
+one space (see ``rejoin``). Further columns can be carried along.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenkeel.llm.shared import documents, prepare
+from evenkeel.llm.shared import documents, extended, prepare
 from evenkeel.llm.words import U64, WORD, Hasher, chunks, cover, mix, spans, windows
 
 WIDTH, GRAM = 13, 8
@@ -197,7 +197,7 @@ def _exact(bits: int, width: int, gram: int):
     return run
 
 
-def _remove(width: int, others: tuple[str, ...]):
+def _remove(width: int, others: tuple[str, ...], rejoin: bool):
     """The last pass: drop the words that decided windows cover."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +219,8 @@ def _remove(width: int, others: tuple[str, ...]):
                         flags = cover(b - a, hit, width)
                         removed = int(flags.sum())
                         split = [w for w, drop in zip(split, flags.tolist()) if not drop]
-                    texts.append(b" ".join(split).decode())
+                    whole = held[chunk.offsets[i]:chunk.offsets[i + 1]]
+                    texts.append((b" ".join(split) if removed or rejoin else whole).decode())
                     n_words.append(int(b - a))
                     n_removed.append(removed)
             yield pa.RecordBatch.from_arrays(
@@ -229,8 +230,11 @@ def _remove(width: int, others: tuple[str, ...]):
     return run
 
 
-def remove_repeats(docs: DataFrame, *others: str, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, text (the kept words), n_words and n_removed of each document, and other columns."""
+def remove_repeats(docs: DataFrame, *others: str, width: int = WIDTH, gram: int = GRAM, rejoin: bool = True) -> DataFrame:
+    """doc_id, text (the kept words), n_words and n_removed of each document, and other columns.
+
+    Without ``rejoin`` a text that loses nothing stays as it is, with its white space.
+    """
     prepare(docs.sparkSession)
     held = documents(docs, *others)
     given = held.where(F.col("doc_id").isNotNull())
@@ -244,6 +248,5 @@ def remove_repeats(docs: DataFrame, *others: str, width: int = WIDTH, gram: int
     later = found.withColumn("_least", least).where(F.col("decided").isNotNull() | (F.col("doc_id") > F.col("_least")))
     gone = later.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("decided").isNull(), F.col("h1"))).alias("_gone"), F.collect_list("decided").alias("_blobs"))
-    kinds = {f.name: f.dataType.simpleString() for f in held.schema}
-    schema = "doc_id long, text string, n_words long, n_removed long" + "".join(f", `{c}` {kinds[c]}" for c in others)
-    return held.join(gone, "doc_id", "left").mapInArrow(_remove(width, others), schema)
+    schema = extended("doc_id long, text string, n_words long, n_removed long", held, others)
+    return held.join(gone, "doc_id", "left").mapInArrow(_remove(width, others, rejoin), schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.shared import by_batch, documents, prepare
+from evenkeel.llm.shared import by_batch, documents, extended, prepare
 from evenkeel.llm.words import U64, WORD, Chunk, Hasher, chunks, cover, mix, spans, table, windows
 
 #: The bound of the labelled sample, and of the lines taken from each of its documents.
@@ -240,6 +240,5 @@ def judge(docs: DataFrame, field: Field, share: float = SHARE, *others: str) ->
         return [batch.column(0), *(pa.array(c.astype(np.int64)) for c in counted), pa.array(failed), pa.array(kept), pa.array(held), *(batch.column(c) for c in others)]
 
     rows = documents(docs, *others)
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, kept boolean, content_words long"
-    return by_batch(rows, work, schema + "".join(f", `{c}` {kinds[c]}" for c in others))
+    return by_batch(rows, work, extended(schema, rows, others))

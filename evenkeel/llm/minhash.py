@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm.components import components
-from evenkeel.llm.shared import by_batch, documents, prepare
+from evenkeel.llm.shared import by_batch, documents, extended, prepare
 from evenkeel.llm.words import LOWER, U64, WORD, Chunk, Hasher, chunks, mix, spans, windows
 from evenkeel.session import written
 
@@ -104,8 +104,7 @@ def signatures(docs: DataFrame, shingle: int, percent: int, *others: str) -> Dat
         first, second = np.concatenate(prints, axis=1)
         return [batch.column(0), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(first), pa.array(second), pa.array(held, pa.binary()), *(batch.column(c) for c in others)]
 
-    kinds = {f.name: f.dataType.simpleString() for f in held.schema}
-    return by_batch(held, work, "doc_id long, n_shingles long, c long, d long, sig binary" + "".join(f", `{c}` {kinds[c]}" for c in others))
+    return by_batch(held, work, extended("doc_id long, n_shingles long, c long, d long, sig binary", held, others))
 
 
 def least_equal(percent: int, size: int) -> list[tuple[int, int]]:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evenkeel.llm.shared import by_batch, documents, prepare
 from evenkeel.llm.tokens import encoder, groups
@@ -173,7 +174,7 @@ def pack(cut: DataFrame, capacity: int = 2048, keys: tuple[str, ...] = ("doc_id"
     order = Window.partitionBy("length", "_bucket").orderBy(*keys)
     ranked = bucketed.withColumn("_row", F.row_number().over(order)).join(sizes, ["length", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_row") - 1).drop("_bucket", "_before", "_row")
-    kept = [c for c in cut.columns]
+    kept = cut.columns
 
     def place(batch: pa.RecordBatch) -> list:
         lengths = np.asarray(batch.column("length"))
@@ -183,8 +184,7 @@ def pack(cut: DataFrame, capacity: int = 2048, keys: tuple[str, ...] = ("doc_id"
         times = table[at, 2]
         return [batch.column(c) for c in kept] + [pa.array(table[at, 3] + run // times), pa.array(table[at, 4] + run % times * lengths)]
 
-    kinds = {f.name: f.dataType.simpleString() for f in cut.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", sequence_id long, offset long"
+    schema = StructType([*cut.schema.fields, *StructType.fromDDL("sequence_id long, offset long").fields])
     return by_batch(ranked.select(*kept, "_rank"), place, schema)
 
 

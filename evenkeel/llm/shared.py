@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evenkeel.session import send_package
 
@@ -26,14 +27,21 @@ def prepare(spark: SparkSession) -> None:
 def documents(df: DataFrame, *others: str) -> DataFrame:
     """The columns the operators read: ``doc_id`` and ``text``, whatever else the table has.
 
-    ``others`` name further columns that are wanted. A null text stays null.
+    ``others`` name further columns that are wanted (the two may be among them). A null text stays null.
     """
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                     *(c for c in others if c not in ("doc_id", "text")))
 
 
-def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], list], schema: str) -> DataFrame:
+def extended(ddl: str, held: DataFrame, others: Sequence[str]) -> StructType:
+    """A schema of the columns in ``ddl`` and of further columns of ``held``."""
+    return StructType([*StructType.fromDDL(ddl).fields, *(held.schema[c] for c in others)])
+
+
+def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], list], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with a function from one batch to the arrays of the result's columns."""
-    names = [part.strip().split()[0].strip("`") for part in schema.split(",")]
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

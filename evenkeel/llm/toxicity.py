@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.shared import by_batch, documents, prepare
+from evenkeel.llm.shared import by_batch, documents, extended, prepare
 from evenkeel.llm.words import LETTER, Hasher, Spans, chunks, spans
 
 #: The bound of the labelled sample.
@@ -196,6 +196,4 @@ def score_documents(docs: DataFrame, model: Model, *others: str) -> DataFrame:
         return [batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), *(batch.column(c) for c in others)]
 
     held = documents(docs, *others)
-    kinds = {f.name: f.dataType.simpleString() for f in held.schema}
-    schema = "doc_id long, score double, predicted int" + "".join(f", `{c}` {kinds[c]}" for c in others)
-    return by_batch(held, work, schema)
+    return by_batch(held, work, extended("doc_id long, score double, predicted int", held, others))
