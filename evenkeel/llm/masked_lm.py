@@ -265,9 +265,9 @@ def score_documents(docs: DataFrame, found: Units, flat: np.ndarray) -> DataFram
             units, at = _units_with_edges(found, words, hashes)
             logs = log_probabilities(net, tables, units, at)
             counts.append(np.diff(words.first))
-            sums.append(np.bincount(words.owners(), logs, len(words.first) - 1))
+            sums.append(np.bincount(words.owners(), logs, len(words.first) - 1).astype(float))
         n, total = np.concatenate(counts).astype(np.int64), np.concatenate(sums)
-        return [batch.column(0), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)]
+        return [batch.column(0), pa.array(n), pa.array(total, pa.float64()), pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)]
 
     return by_batch(documents(docs), work, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from evenkeel.llm.shared import by_batch, documents, prepare
-from evenkeel.llm.tokens import LONG, PieceMemory, groups, shown_bytes
+from evenkeel.llm.tokens import KNOWN, LONG, PARTS, REMEMBERED, PieceMemory, groups, is_word_file, lowered, shown_bytes
 
 ROWS = "doc_id long, ids binary, decoded string"
 _WIDE = 20  # bits for a token's number
@@ -75,8 +75,13 @@ class MergeAutomaton:
         # The gadgets. Children were pushed in order of time, so the latest is numbered first.
         ranges: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         opened: list[int] = [0] * n  # children made so far
+        never = [False] * n  # tokens without an arc: an earlier merge always comes first
         for k, (u, v) in enumerate(parts):
             w = first + k
+            if never[u] or never[v] or any(lo <= self.place[v] < hi for lo, hi in ranges[u]):
+                never[w] = True
+                opened[u] += 1
+                continue
             ranges[w] = ranges[v].copy()
             later = children[v][opened[v]:]  # built on v from now on
             ranges[u].append((int(self.place[v]), int(last[later[0]]) if later else int(self.place[v]) + 1))
@@ -93,7 +98,7 @@ class MergeAutomaton:
             keys.extend(state << _WIDE | lo for lo, _ in merged)
             ends.extend(hi for _, hi in merged)
         self.keys, self.ends = np.array(keys, np.int64), np.array(ends, np.int64)
-        self._prefixes()
+        self._prefixes(never)
 
     def _symbols(self, label: str) -> list[str]:
         if self.suffix and label.endswith(self.suffix) and len(label) > len(self.suffix):
@@ -101,7 +106,7 @@ class MergeAutomaton:
             return [*bare[:-1], bare[-1] + self.suffix]
         return list(label)
 
-    def _prefixes(self) -> None:
+    def _prefixes(self, never: list[bool]) -> None:
         """The table of token prefixes: (prefix, symbol) to a longer prefix, and its token."""
         spelled = [self._symbols(t) for t in self.labels]
         self.symbol: dict[str, int] = {}
@@ -118,7 +123,7 @@ class MergeAutomaton:
                     nodes[key] = len(token)
                     token.append(-1)
                 node = nodes[key]
-            token[node] = t
+            token[node] = -1 if never[t] else t
         self.n_symbols = len(self.symbol) + 1
         step = np.array([(a * self.n_symbols + s, node) for (a, s), node in nodes.items()], np.int64).reshape(-1, 2)
         step = step[np.argsort(step[:, 0])]
@@ -202,22 +207,32 @@ class AutomatonTokenizer:
             raise ValueError("only byte-level decoders, or none")
         if not self.bytes and self.split is not None and told["pre_tokenizer"].get("type") == "ByteLevel":
             raise ValueError("spaces matter to this file, but its decoder drops them")
-        self.memory = PieceMemory()
+        self.plain = is_word_file(told)
+        self.memory, self.words = PieceMemory(REMEMBERED // 2), {}
 
     def _words(self, text: str) -> list[str]:
+        """The pre-split words of a piece, in the characters that stand for bytes."""
+        if self.plain and KNOWN.fullmatch(text):
+            return [w.lower().encode().decode("latin-1").translate(shown_bytes()) for w in PARTS.findall(text) if w != "\n"]
         text = self.normalize.normalize_str(text) if self.normalize else text
         return [w for w, _ in self.split.pre_tokenize_str(text)] if text else []
 
     def _make(self, pieces: list[str]) -> list[tuple[bytes, str]]:
         split = [self._words(p) for p in pieces]
-        new = list(dict.fromkeys(w for words in split for w in words))
-        known = dict(zip(new, self.automaton.encode_words(new)))
+        new = list(dict.fromkeys(w for words in split for w in words if w not in self.words))
         labels, ids, joint = self.automaton.labels, self.automaton.ids, "" if self.bytes else " "
+        if len(self.words) > REMEMBERED // 2:
+            self.words = {}
+            new = list(dict.fromkeys(w for words in split for w in words))
+        for word, tokens in zip(new, self.automaton.encode_words(new)):
+            self.words[word] = ids[tokens].astype("<u4").tobytes(), joint.join([labels[t] for t in tokens.tolist()])
         out = []
         for words in split:
-            numbers = [known[w] for w in words]
-            tokens = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-            out.append((ids[tokens].astype("<u4").tobytes(), joint.join([labels[t] for t in tokens])))
+            if len(words) == 1:
+                out.append(self.words[words[0]])
+            else:
+                known = [self.words[w] for w in words]
+                out.append((b"".join([a for a, _ in known]), joint.join([b for _, b in known])))
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
@@ -227,6 +242,7 @@ class AutomatonTokenizer:
         """
         plans = []
         for text in texts:
+            text = lowered(text) if self.plain and not any(s in text for s in self.special) else text
             segments, at = [], 0
             for m in self.cut.finditer(text) if self.cut and any(s in text for s in self.special) else ():
                 segments += [(text[at:m.start()], None), ("", m.group())]

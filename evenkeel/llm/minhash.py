@@ -231,7 +231,10 @@ def near_duplicates(docs: DataFrame, *others: str, shingle: int = 5, percent: in
     """doc_id, n_shingles, component_id and kept of each row, and other columns."""
     prepare(docs.sparkSession)
     size = bands_for(percent) * ROWS
-    rows = written(signatures(docs, shingle, percent, *others), "signatures")
+    # Other columns travel in one struct, so that none clashes with a column of ours.
+    docs = documents(docs).withColumn("_others", F.lit(0)) if not others else docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("_others"))
+    rows = written(signatures(docs, shingle, percent, "_others"), "signatures")
     known = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = written(known.groupBy("c", "d", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     reps = classes.select("c", "rep")
@@ -275,4 +278,5 @@ def near_duplicates(docs: DataFrame, *others: str, shingle: int = 5, percent: in
     linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c"))
     out = rows.withColumn("c", linked).join(found, "c", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *others)
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+                      *(F.col(f"_others.`{c}`").alias(c) for c in others))

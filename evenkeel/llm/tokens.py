@@ -36,8 +36,8 @@ LONG = 200
 _PLAIN = re.compile(r"[\x21-\x7e\w](?:.*[\x21-\x7e\w])?", re.DOTALL)
 # Pieces of Latin letters, common signs and line breaks: their pre-split words can be told here.
 _LETTERS, _SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[.,!?;:#$%&*|()\-]+"
-_KNOWN = re.compile(f"(?:{_LETTERS}(?:{_SIGNS})?|{_SIGNS})(?:\n(?:{_LETTERS}(?:{_SIGNS})?|{_SIGNS}))*")
-_PARTS = re.compile(f"{_LETTERS}|{_SIGNS}|\n")
+KNOWN = re.compile(f"(?:{_LETTERS}(?:{_SIGNS})?|{_SIGNS})(?:\n(?:{_LETTERS}(?:{_SIGNS})?|{_SIGNS}))*")
+PARTS = re.compile(f"{_LETTERS}|{_SIGNS}|\n")
 _SAFE = re.compile(r"(?<=[\x21-\x7e\w])(?= )|(?<! )(?= [\x21-\x7e\w])")
 
 
@@ -63,6 +63,27 @@ class PieceMemory:
         return self.young
 
 
+def lowered(text: str) -> str:
+    """Lower case for files that make it anyway, so that fewer pieces are new.
+
+    Only for texts of Latin-1 characters, where it is the same for each character alone and
+    changes nothing about the normal form.
+    """
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
+def is_word_file(told: dict) -> bool:
+    """Whether a file makes words lower case, splits them by kind and drops white space."""
+    steps = (told["normalizer"] or {}).get("normalizers", [])
+    splits = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return ([x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+            and splits[0]["behavior"] == "Removed")
+
+
 class TextEncoder:
     """Ids of texts as the library's ``encode(text, add_special_tokens=False)`` gives them."""
 
@@ -84,13 +105,7 @@ class TextEncoder:
         self.lower = not self.spaced
         told = json.loads(self.tokenizer.to_str())
         #: Whether the file's rules are those that ``_told`` follows.
-        self.plain = told["normalizer"] is None and self.spaced or self._is_word_file(told)
-
-    @staticmethod
-    def _is_word_file(told: dict) -> bool:
-        steps = (told["normalizer"] or {}).get("normalizers", [])
-        splits = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
-        return [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["behavior"] == "Removed"
+        self.plain = told["normalizer"] is None and self.spaced or is_word_file(told)
 
     def _part(self, word: str, spaced: bool) -> bytes:
         """Ids of one pre-split word by the library's model."""
@@ -106,7 +121,7 @@ class TextEncoder:
     def _told(self, piece: str) -> bytes:
         """Ids of a piece of known kind: letters, signs and line breaks are words of their own."""
         first = piece[:1] == " "
-        parts = _PARTS.findall(piece)
+        parts = PARTS.findall(piece)
         if not self.spaced:
             return b"".join([self._part(w, False) for w in parts if w != "\n"])
         return b"".join([self._part(w, i == 0 and not first) for i, w in enumerate(parts)])
@@ -122,7 +137,7 @@ class TextEncoder:
         """
         bare = [p[1:] if p[:1] == " " else p for p in pieces]
         fit = [len(p) <= LONG and _PLAIN.fullmatch(p) is not None and not any(s in p for s in self.special) for p in bare]
-        told = [self.plain and ok and _KNOWN.fullmatch(p) is not None for p, ok in zip(bare, fit)]
+        told = [self.plain and ok and KNOWN.fullmatch(p) is not None for p, ok in zip(bare, fit)]
         texts = [p[1:] if p[:1] == " " else " " + p if self.spaced else p for p, ok, known in zip(pieces, fit, told) if ok and not known]
         made = iter(self._ask(texts))
         return [self._told(p) if known else next(made) if ok else None for p, ok, known in zip(pieces, fit, told)]
@@ -137,6 +152,8 @@ class TextEncoder:
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned integers."""
+        if self.lower and self.plain:
+            texts = [t if any(s in t for s in self.special) else lowered(t) for t in texts]
         split = [t.split(" ") if t else [] for t in texts]
         for pieces in split:
             if pieces:
