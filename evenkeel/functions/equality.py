@@ -12,6 +12,9 @@ from pyspark.sql import Column, functions as F, types as T
 TOLERANCE = 1e-9
 BLANKS = "".join(chr(code) for code in range(0x21))
 
+# A number as text: whole digits, digits behind the point, exponent.
+NUMBER_TEXT = r"^-?(?=\.?\d)(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?$"
+
 _TEMPORAL = (T.TimestampType, T.TimestampNTZType)
 _NESTED = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
 
@@ -77,28 +80,25 @@ def _same_number(a: Column, b: Column, ta: T.DataType, tb: T.DataType, numeric:
     return result
 
 
-def _plain_decimal(text: Column) -> Column:
-    """Canonical digits of a plain decimal text: no leading or trailing zeros, no -0."""
-    whole = F.regexp_replace(F.regexp_extract(text, r"^-?(\d*)", 1), r"^0+", "")
-    frac = F.regexp_replace(F.regexp_extract(text, r"\.(\d*)$", 1), r"0+$", "")
-    digits = F.concat(whole, F.lit("."), frac)
-    return F.when(text.startswith("-") & (digits != "."), F.concat(F.lit("-"), digits)).otherwise(digits)
+def _digits(text: Column) -> tuple[Column, Column]:
+    """Canonical significant digits (signed, empty for zero) and the place of the point before them.
+
+    ``0.digits * 10 ** place`` is the number, so two texts are one number if both agree,
+    whatever their length and exponent.
+    """
+    part = lambda i: F.regexp_extract(text, NUMBER_TEXT, i)
+    whole, digits = part(1), F.concat(part(1), part(2))
+    power = F.coalesce(F.nullif(part(3), F.lit("")).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    bare = F.regexp_replace(digits, "^0+", "")
+    place = F.length(whole) - (F.length(digits) - F.length(bare)) + power
+    held = F.regexp_replace(bare, "0+$", "")
+    signed = F.when(text.startswith("-") & (held != ""), F.concat(F.lit("-"), held)).otherwise(held)
+    return signed, F.when(held == "", F.lit(0).cast("decimal(38,0)")).otherwise(place)
 
 
 def _same_numeric_text(a: Column, b: Column) -> Column:
-    # Up to 19 characters without exponent fit a decimal(38,18) whole; longer ones compare by their digits.
-    short = F.greatest(F.length(a), F.length(b)) <= 19
-    looks = r"^[0-9.\-]"
-    plain = r"^-?(\d+\.?\d*|\.\d+)$"
-    whole = T.DecimalType(38, 18)
-    marked = F.contains(a, F.lit("+")) | F.contains(b, F.lit("+")) | F.contains(F.lower(F.concat(a, b)), F.lit("e"))
-    return (
-        F.when(short & ~marked, F.coalesce(a.try_cast(whole) == b.try_cast(whole), F.lit(False)))
-        .when(a.rlike(plain) & b.rlike(plain), _plain_decimal(a) == _plain_decimal(b))
-        .when(a.rlike(looks) & b.rlike(looks),
-              F.coalesce(a.try_cast("double") == b.try_cast("double"), F.lit(False)))
-        .otherwise(F.lit(False))
-    )
+    (x, at), (y, bt) = _digits(a), _digits(b)
+    return a.rlike(NUMBER_TEXT) & b.rlike(NUMBER_TEXT) & (x == y) & (at == bt)
 
 
 def _truth_of_number(flag: Column, number: Column) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel.functions.values import normalize_phone
-from evenkeel.operators.skew import join_unique, small_or_none
+from evenkeel.operators.skew import join_unique
 
 SEPARATORS = r"[,;\s]+"
 
@@ -29,7 +29,7 @@ def _first_by(contacts: DataFrame, keys: Sequence[Column], position: str) -> Dat
 
 
 def resolve_recipients(rows: DataFrame, contacts: DataFrame, column: str, bot: str,
-                       position: str = "contact_id", **hot_args) -> DataFrame:
+                       position: str = "contact_id") -> DataFrame:
     """One row per recipient token of ``column``.
 
     A token is a contact's chat id, phone, or the same phone in another notation,
@@ -44,7 +44,7 @@ def resolve_recipients(rows: DataFrame, contacts: DataFrame, column: str, bot: s
     tokens = rows.withColumn("token", F.explode(F.split(F.col(f"`{column}`").cast("string"), SEPARATORS))) \
         .filter(F.col("token") != "").withColumn("__phone", normalize_phone(F.col("token")))
     for side, key in ((exact, "token"), (phone, "__phone")):
-        tokens = join_unique(tokens, side, [key], **hot_args)
+        tokens = join_unique(tokens, side, [key])
     best = F.least("__exact", "__by_phone")  # least skips nulls; structs compare by position first
     known = tokens.withColumn("__c", best)
     return known.select(
@@ -77,5 +77,4 @@ def enrich(rows: DataFrame, view: DataFrame, keys: Sequence[str]) -> DataFrame:
     Rows repeat as often as they came in, so the join stays an inner one; the
     planner splits partitions that come out skewed.
     """
-    few = small_or_none(view)
-    return rows.select(*keys).join(view if few is None else few, list(keys), "inner")
+    return rows.select(*keys).join(view, list(keys), "inner")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -71,6 +72,7 @@ def _target_names(source_cols: Sequence[str], target: DataFrame) -> dict[str, st
     return {name: by_lower.get(name.lower()) for name in source_cols}
 
 
+NUMERIC = "evenkeel.numeric"
 _BITS = 30  # null flags of this many key columns fit one int
 # Types whose values are equal exactly when their texts are.
 _NATIVE_KEYS = (T.IntegralType, T.StringType, T.DateType, T.BooleanType)
@@ -87,8 +89,8 @@ def _key_parts(df: DataFrame, names: Sequence[str | None], native: Sequence[bool
         if native[i] and name is not None:
             dtype = types[name]
             default = {T.StringType: F.lit(""), T.BooleanType: F.lit(False),
-                       T.DateType: F.lit("1970-01-01").cast("date")}.get(type(dtype), F.lit(0).cast(dtype))
-            value = col
+                       T.DateType: F.lit("1970-01-01").cast("date")}.get(type(dtype), F.lit(0).cast("long"))
+            value = col.cast("long") if isinstance(dtype, T.IntegralType) else col
         else:
             value = key_text(col, types[name]) if name is not None else col
             default = F.lit("")
@@ -154,16 +156,26 @@ def duplicate_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def row_diff(source: DataFrame, target: DataFrame, spec: DiffSpec) -> DataFrame:
     """Match rows by key and give each a status.
 
+    How numbers compare (``spec.numeric``) is noted on the status column, so that cells and
+    reports of this diff compare the same way.
+
     Columns: ``row_key``, ``status``, then ``s_<column>`` and ``t_<column>`` for every
     compared column. A repeated source key keeps its last row; each repeated target
     row is compared on its own. Columns the target lacks read as null.
     """
+    return _matched(source, target, spec, "full_outer")
+
+
+def _matched(source: DataFrame, target: DataFrame, spec: DiffSpec, how: str) -> DataFrame:
+    """``row_diff`` by a full outer join, or by a left join that leaves target-only rows out."""
     cols = compared_columns(source, spec.exclude)
     keys = resolve_keys(spec, source)
     t_name = _target_names([*cols, *keys], target)
     s_types, t_types = _types(source), _types(target)
-    native = [t_name[k] is not None and s_types[k] == t_types[t_name[k]]
-              and isinstance(s_types[k], _NATIVE_KEYS) for k in keys]
+    # Keys of one type, and whole numbers of any two widths, match as they are; others as text.
+    native = [t_name[k] is not None and (
+        s_types[k] == t_types[t_name[k]] and isinstance(s_types[k], _NATIVE_KEYS)
+        or isinstance(s_types[k], T.IntegralType) and isinstance(t_types[t_name[k]], T.IntegralType)) for k in keys]
 
     s_cols = [F.col(f"`{c}`").alias(f"s_{c}") for c in cols]
     t_cols = [(F.col(f"`{t_name[c]}`") if t_name[c] else F.lit(None).cast(s_types[c])).alias(f"t_{c}")
@@ -174,18 +186,19 @@ def row_diff(source: DataFrame, target: DataFrame, spec: DiffSpec) -> DataFrame:
     here = F.lit(True)
     t = target.select(*t_parts, here.alias("__t"), *t_cols)
 
-    if spec.unique_keys or (spec.declared_keys and not spec.keys):
+    if spec.unique_keys:
         s = source.select(*s_parts, here.alias("__s"), *s_cols)
-        joined = s.join(t, on, "full_outer")
+        joined = s.join(t, on, how)
     else:
         order = [c for c in spec.sort if c in s_types]
         helpers = [f"__sort{i}" for i in range(len(order))]
         extra = [F.col(f"`{c}`").alias(h) for c, h in zip(order, helpers)]
         s = dedupe_last(source.select(*s_parts, *extra, *s_cols), on, helpers)
         s = s.drop(*helpers).withColumn("__s", here)
-        hot = hot_keys(t, on, **spec.hot_key_args)
+        # Only a full outer join cannot be split at skewed keys by the planner.
+        hot = hot_keys(t, on, **spec.hot_key_args) if how == "full_outer" else None
         if hot is None:
-            joined = s.join(t, on, "full_outer")
+            joined = s.join(t, on, how)
         else:
             # A hot target key exists on the target, so its source row is never source-only:
             # the hot rows need only a left join to at most one source row per hot key.
@@ -207,7 +220,7 @@ def row_diff(source: DataFrame, target: DataFrame, spec: DiffSpec) -> DataFrame:
     )
     out = joined.select(
         _row_key(keys).alias("row_key"),
-        status.alias("status"),
+        status.alias("status", metadata={NUMERIC: spec.numeric}),
         *[F.col(f"`{side}_{c}`") for c in cols for side in ("s", "t")],
     )
     return out if spec.return_matched else out.filter(F.col("status") != MATCH)
@@ -230,14 +243,20 @@ def source_driven_diff(source: DataFrame, target: DataFrame, spec: DiffSpec,
             source = source.filter(getattr(F.col(f"`{first}`"), test)(F.lit(bound)))
             if same_type:
                 target = target.filter(getattr(F.col(f"`{other}`"), test)(F.lit(bound)))
-    return row_diff(source, target, spec).filter(F.col("status") != TARGET_ONLY)
+    return _matched(source, target, spec, "left")
 
 
 def _diff_columns(diff: DataFrame) -> list[str]:
     return [name[2:] for name in diff.columns if name.startswith("s_") and f"t_{name[2:]}" in diff.columns]
 
 
-def _cell_structs(diff: DataFrame, numeric: str) -> list[Column]:
+def _numeric(diff: DataFrame, given: str | None) -> str:
+    """How numbers of this diff compare: as given, else as the diff was made."""
+    return given or diff.schema["status"].metadata.get(NUMERIC, "double")
+
+
+def _cell_structs(diff: DataFrame, numeric: str | None) -> list[Column]:
+    numeric = _numeric(diff, numeric)
     types = _types(diff)
     one_sided = F.col("status").isin(SOURCE_ONLY, TARGET_ONLY)
     cells = []
@@ -251,7 +270,7 @@ def _cell_structs(diff: DataFrame, numeric: str) -> list[Column]:
     return cells
 
 
-def cell_diff(diff: DataFrame, include_matches: bool = False, numeric: str = "double") -> DataFrame:
+def cell_diff(diff: DataFrame, include_matches: bool = False, numeric: str | None = None) -> DataFrame:
     """One record per compared cell; every cell of a one-sided row is different.
 
     Matching rows are dropped before the cells are laid out unless asked for.
@@ -261,13 +280,14 @@ def cell_diff(diff: DataFrame, include_matches: bool = False, numeric: str = "do
         .select("row_key", "status", "cell.*")
 
 
-def with_cells(diff: DataFrame, numeric: str = "double") -> DataFrame:
+def with_cells(diff: DataFrame, numeric: str | None = None) -> DataFrame:
     """Row form: ``row_key``, ``status`` and an array of cells."""
     return diff.select("row_key", "status", F.array(*_cell_structs(diff, numeric)).alias("cells"))
 
 
-def render_cells(diff: DataFrame, numeric: str = "double") -> DataFrame:
+def render_cells(diff: DataFrame, numeric: str | None = None) -> DataFrame:
     """Report text per column: a different cell shows both sides, an equal one its value."""
+    numeric = _numeric(diff, numeric)
     types = _types(diff)
     out = []
     for c in _diff_columns(diff):
@@ -393,7 +413,7 @@ def compare_many(spark: SparkSession, mappings: Mapping[str, Callable[[], tuple[
         else:
             # One comparison: store the rows that differ, then count what was stored.
             # Every target row is compared, so the matches are the target rows left over.
-            folder = f"{history_path}/rows/run_id={run_id}/table_name={name}"
+            folder = f"{history_path}/rows/run_id={run_id}/table_name={quote(name, safe='')}"
             rows = with_cells(row_diff(source, target, replace(spec, return_matched=False)), spec.numeric)
             data = F.translate(F.to_json("cells"), "\u0000", "")
             rows.select(F.lit(job).alias("job"), "row_key", "status", data.alias("data_json")) \
@@ -408,7 +428,7 @@ def compare_many(spark: SparkSession, mappings: Mapping[str, Callable[[], tuple[
             try:
                 return once(name)
             except Exception as error:  # one failing table must not stop the rest
-                failure = f"{type(error).__name__}: {str(error)[:500]}"
+                failure = f"{type(error).__name__}: {str(error)}"
         return (name, *([None] * len(_TOTALS)), failure)
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
@@ -451,7 +471,9 @@ def resolve_mappings(mappings: DataFrame, templates: DataFrame) -> DataFrame:
     if "template_id" not in given:
         mappings = mappings.withColumn("template_id", template_of(F.col("id")))
     shared = [c for c in templates.columns if c != "template_id" and c in mappings.columns]
-    t = templates.select("template_id", *[F.col(c).alias(f"__t_{c}") for c in shared])
+    # One template an id, also where an id repeats: the least by its columns.
+    one = templates.groupBy("template_id").agg(F.min(F.struct(*shared)).alias("__t")) if shared else templates.select("template_id").distinct()
+    t = one.select("template_id", *[F.col(f"__t.`{c}`").alias(f"__t_{c}") for c in shared])
     joined = join_unique(mappings, t, ["template_id"])
     return joined.select(*[
         F.coalesce(F.nullif(F.trim(f"__t_{c}"), F.lit("")), F.col(c)).alias(c) if c in shared else F.col(c)

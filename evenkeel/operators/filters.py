@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from evenkeel.functions.json import let
 
@@ -65,8 +65,9 @@ def structured_filter(df: DataFrame, filters: Iterable[Mapping] | None) -> DataF
 
 
 def _is_date(text) -> bool:
+    """Whether the whole text is a date, or a date and a time of day."""
     try:
-        datetime.date.fromisoformat(str(text)[:10])
+        datetime.datetime.fromisoformat(str(text).strip())
         return True
     except ValueError:
         return False
@@ -76,14 +77,19 @@ def range_query(df: DataFrame, date_column: str | None = None, start=None, end=N
                 extra_where: str | None = None, limit: int | None = None) -> DataFrame:
     """Rows with ``start <= date_column <= end`` and an extra condition, up to ``limit``.
 
-    An unsafe column name or a value that is no date is ignored.
+    An unsafe column name or a value that is no date is ignored. A plain date as the end of a
+    range over timestamps takes in all of that day.
     """
     if date_column and FIELD_NAME.fullmatch(date_column):
         dtype = df.schema[date_column].dataType
         if start and _is_date(start):
-            df = df.filter(F.col(date_column) >= F.lit(str(start)).cast(dtype))
+            df = df.filter(F.col(date_column) >= F.lit(str(start).strip()).cast(dtype))
         if end and _is_date(end):
-            df = df.filter(F.col(date_column) <= F.lit(str(end)).cast(dtype))
+            last = str(end).strip()
+            if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)) and len(last) == 10:
+                df = df.filter(F.col(date_column) < F.date_add(F.lit(last).cast("date"), 1).cast(dtype))
+            else:
+                df = df.filter(F.col(date_column) <= F.lit(last).cast(dtype))
     if extra_where and extra_where.strip():
         df = df.filter(F.expr(extra_where))
     return df.limit(limit) if limit else df

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel.functions.equality import BLANKS
 
-# Rows per read, text length per part, least distance of a soft cut, retry delay and rounds.
+# Rows per read in the watched service, text length per part, least distance of a soft cut, retry delay and rounds.
 CYCLE_CAP = 100
 PART_LENGTH = 4000
 LEAST_PART = 500
@@ -29,16 +29,21 @@ def parse_mark(text: str | None):
         return clean
 
 
-def high_water_read(df: DataFrame, column: str, mark=None, key: Sequence[str] = (), cap: int = CYCLE_CAP,
+def high_water_read(df: DataFrame, column: str, mark=None, key: Sequence[str] = (), cap: int | None = None,
                     manual: bool = False) -> tuple[DataFrame, DataFrame]:
     """New rows above a mark, and a one-row frame ``mark`` (plus the keys) to store.
 
     Without a mark, unless ``manual``, the first read only takes the highest value
-    and gives no rows. ``mark`` is a value of ``column``, or a tuple ``(value,
-    *key values)``: with ``key`` columns rows tied with the last mark at the cap
-    are read next time instead of being lost.
+    and gives no rows. ``mark`` is a value of ``column``; with ``key`` columns, whose
+    values with ``column`` name one row, it is the full tuple ``(value, *key values)``.
+
+    ``cap`` bounds the rows of one read, and no row is lost to it: with keys the rest of
+    a run of equal values is read next time; without them a read goes on to the end of
+    the run it has begun, and so may be longer than the cap.
     """
     order = [column, *key]
+    if mark is not None and key and not (isinstance(mark, tuple) and len(mark) == len(order)):
+        raise ValueError(f"with keys the mark is a tuple of {len(order)} values")
     marks = [F.col(c).alias(n) for c, n in zip(order, ["mark", *key])]
     if mark is None and not manual:
         top = df.select(*marks).filter(F.col("mark").isNotNull()).orderBy(*[F.desc(n) for n in ["mark", *key]]).limit(1)
@@ -52,7 +57,11 @@ def high_water_read(df: DataFrame, column: str, mark=None, key: Sequence[str] =
         if len(values) > 1:
             rows = rows.filter(F.struct(*order[: len(values)]) > F.struct(
                 *[F.lit(v).cast(df.schema[c].dataType).alias(c) for v, c in zip(values, order)]))
-    rows = rows.orderBy(*order).limit(cap)
+    if cap is not None and key:
+        rows = rows.orderBy(*order).limit(cap)
+    elif cap is not None:
+        highest = rows.select(F.col(column).alias("v")).orderBy("v").limit(cap).agg(F.max("v")).first()[0]
+        rows = rows.filter(F.col(column) <= F.lit(highest))
     last = rows.select(*marks).orderBy(*[F.desc(n) for n in ["mark", *key]]).limit(1)
     return rows, last
 

@@ -26,21 +26,29 @@ INPUT_BY = "evenkeel"
 # ---------------------------------------------------------------- landing
 
 def land_json(payloads: DataFrame, column: str = "payload", code: str = API_CODE, batch_millis: int | None = None,
-              input_by: str = INPUT_BY, blank: str | None = None) -> DataFrame:
+              input_by: str = INPUT_BY, blank: str | None = None, above: int | None = None) -> DataFrame:
     """Payloads as landing rows ``seq, kode_data, detail_data, input_by, input_dt``.
 
-    ``seq`` is the batch time in milliseconds times 1000 plus a number unique in the
-    batch; numbering needs no global sort. Blank payloads give no row unless
+    ``seq`` runs densely from the batch time in milliseconds times 1000, or from just over
+    ``above`` if that is higher: pass the largest ``seq`` that the landing holds
+    (``highest_seq``), and no number is ever given twice. Blank payloads give no row unless
     ``blank`` says what they read as.
     """
     base = batch_millis if batch_millis is not None else int(time.time() * 1000)
+    start = max(base * 1000 - 1, above if above is not None else 0)
     bundled = bundle_payload(F.col(column), blank)
-    return payloads.select(bundled.alias("detail_data")).filter(F.col("detail_data").isNotNull()).select(
-        (F.lit(base * 1000) + F.monotonically_increasing_id()).alias("seq"),
+    rows = payloads.select(bundled.alias("detail_data")).filter(F.col("detail_data").isNotNull())
+    return rank_rows(rows, (), ["detail_data"], "__n").select(
+        (F.lit(start) + F.col("__n")).alias("seq"),
         F.lit(code).alias("kode_data"), "detail_data", F.lit(input_by).alias("input_by"),
         F.timestamp_millis(F.lit(base)).cast("timestamp_ntz").alias("input_dt"))
 
 
+def highest_seq(landing: DataFrame) -> int | None:
+    """The largest number given so far, for the next ``land_json``."""
+    return landing.agg(F.max("seq")).first()[0]
+
+
 def _typed(item: Column, key: str, kind: str) -> Column:
     text = F.try_variant_get(item, json_path(key), "string")
     kind = kind.lower()
@@ -56,35 +64,41 @@ def _typed(item: Column, key: str, kind: str) -> Column:
 
 def flatten_items(landing: DataFrame, code: str, fields: Sequence[Mapping[str, str]],
                   stamp: Column | None = None) -> DataFrame:
-    """Rows of one code: every item of the first element's ``data`` list becomes a row.
+    """Rows of one code: every item of each element's ``data`` list becomes a row.
 
     A field is ``{name, type, jsonKey}``. Numbers that do not parse read as zero,
     missing text as empty, a boolean that does not parse as false.
     """
     document = F.try_parse_json("detail_data")
-    items = F.try_variant_get(document, "$[0].data", "array<variant>")
-    rows = landing.filter(F.col("kode_data") == code).select("kode_data", F.explode(items).alias("item"))
+    elements = F.explode(F.try_variant_get(document, "$", "array<variant>"))
+    bundles = landing.filter(F.col("kode_data") == code).select("kode_data", elements.alias("element"))
+    items = F.try_variant_get("element", "$.data", "array<variant>")
+    rows = bundles.select("kode_data", F.explode(items).alias("item"))
     out = [_typed(F.col("item"), f.get("jsonKey") or f["name"], f.get("type", "String"))
            .alias(re.sub(r"[^a-zA-Z0-9_]", "_", f["name"])) for f in fields]
     return rows.select("kode_data", *out, (stamp if stamp is not None else F.now()).cast("string").alias("sync_dt"))
 
 
 def infer_json_schema(landing: DataFrame, code: str | None = None) -> DataFrame:
-    """Field names and types of the items, from all rows of a code.
+    """Field names and types of all items, from all rows of a code.
 
-    An item is the first of ``[0].data[]``, else ``[0]``, else the first of
-    ``data[]``, else the object. Mixed or nested fields read as String.
+    The items are those of the ``data`` list of each element, or of the object; without
+    such a list the element, or the object, is the item. Mixed or nested fields read as String.
     """
     rows = landing.filter((F.col("kode_data") == code) if code else F.lit(True))
-    v = F.try_parse_json("detail_data")
-    item = F.coalesce(*[F.try_variant_get(v, path, "map<string,variant>")
-                        for path in ("$[0].data[0]", "$[0]", "$.data[0]", "$")])
+    document = F.try_parse_json("detail_data")
+    listed = lambda v: F.coalesce(v, F.array())
+    whole = F.coalesce(F.try_variant_get(document, "$", "array<variant>"), F.array(document))
+    elements = rows.select(F.explode(listed(whole)).alias("element"))
+    inner = F.try_variant_get("element", "$.data", "array<variant>")
+    items = elements.select(F.explode(F.when(F.size(inner) > 0, inner).otherwise(F.array("element"))).alias("v"))
+    item = F.try_variant_get("v", "$", "map<string,variant>")
     entry = F.explode(F.map_entries(item)).alias("e")
     kind = F.schema_of_variant("e.value")
     name = (F.when(kind == "BOOLEAN", "Bool").when(kind == "BIGINT", "Int64")
             .when(kind.startswith("DECIMAL") | (kind == "DOUBLE") | (kind == "FLOAT"), "Float64")
             .when(kind == "VOID", None).otherwise("String"))
-    seen = rows.select(entry).select(F.col("e.key").alias("name"), name.alias("type"))
+    seen = items.select(entry).select(F.col("e.key").alias("name"), name.alias("type"))
     kinds = seen.groupBy("name").agg(F.collect_set("type").alias("t"))  # at most four types each
     both = (F.when(F.size("t") == 1, F.col("t")[0])
             .when(F.array_size(F.array_except("t", F.array(F.lit("Int64"), F.lit("Float64")))) == 0,
@@ -165,7 +179,8 @@ def classify_events(events: DataFrame, configs: DataFrame) -> DataFrame:
     (landing table lacks columns: ``schema_ok`` false), FAILED (``insert_ok`` false on
     the event, if it has that column), else SUCCESS.
     """
-    own = configs.select("slug", F.struct(*[c for c in configs.columns if c != "slug"]).alias("__cfg"))
+    # One config a slug, also where a slug repeats: the least by its columns.
+    own = configs.groupBy("slug").agg(F.min(F.struct(*[c for c in configs.columns if c != "slug"])).alias("__cfg"))
     joined = join_unique(events, own, ["slug"])
     header = F.try_variant_get(F.try_parse_json("headers_json"), "$", "map<string,string>")
     wanted = F.lower(F.trim("__cfg.secret_name"))

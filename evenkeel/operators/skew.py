@@ -71,18 +71,10 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return joined
 
 
-def small_or_none(df: DataFrame, max_rows: int = 100_000) -> DataFrame | None:
-    """A broadcast hint for ``df`` if it has at most ``max_rows`` rows, else None."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return None
+def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join to a ``right`` that is unique on ``keys``.
 
-
-def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
-                max_rows: int = 100_000, **hot_args) -> DataFrame:
-    """Join to a ``right`` that is unique on ``keys``: by broadcast if it is counted to be
-    small, else as ``lookup_join``."""
-    few = small_or_none(right, max_rows)
-    if few is not None:
-        return left.join(few, list(keys), how)
-    return lookup_join(left, right, keys, how, **hot_args)
+    The planner broadcasts a small right side by its bytes and splits skewed partitions of
+    the left, so nothing is counted beforehand.
+    """
+    return left.join(right, list(keys), how)

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evenkeel.operators.diff import DIFFERENT, SOURCE_ONLY, TARGET_ONLY, dedupe_last
-from evenkeel.operators.skew import lookup_join
+from evenkeel.session import written
 from evenkeel.sources import snapshots
 
 INSERT, UPDATE, DELETE = "INSERT", "UPDATE", "DELETE"
@@ -32,16 +32,23 @@ def current_view(df: DataFrame, keys: Sequence[str], version: str = "version",
     return latest_version(df, keys, version, sequence).filter(~F.col(flag).cast("boolean"))
 
 
-def consolidate(sources: Mapping[str, DataFrame], flag: str = "is_deleted", stamp: Column | None = None) -> DataFrame:
+def consolidate(sources: Mapping[str, DataFrame], flag: str = "is_deleted", stamp: Column | None = None,
+                keys: Sequence[str] = (), version: str = "version", sequence: str | None = "ingest_seq") -> DataFrame:
     """One frame over many sources, tagged ``source_db``, without deleted rows.
 
+    With ``keys`` a source that carries versions is a landing: its latest rows are picked
+    first, so that a delete hides the older versions of its key. Without keys the sources
+    are taken to hold one row per key already.
+
     Versions of different databases do not compare, so keep ``source_db`` in the
     key of anything that picks a latest version. ``stamp`` adds ``sync_dt`` where
     a source has none.
     """
     parts = []
     for name, df in sources.items():
-        if flag in df.columns:
+        if keys and flag in df.columns and version in df.columns:
+            df = current_view(df, keys, version, sequence, flag)
+        elif flag in df.columns:
             df = df.filter(F.col(flag).isNull() | ~F.col(flag).cast("boolean"))
         if stamp is not None and "sync_dt" not in df.columns:
             df = df.withColumn("sync_dt", stamp)
@@ -88,14 +95,18 @@ def sync_plan(diff: DataFrame, keys: Sequence[str]) -> DataFrame:
     return plan
 
 
-def apply_plan(target: DataFrame, plan: DataFrame, keys: Sequence[str], **hot_args) -> DataFrame:
-    """The target after the plan. Target columns the plan does not carry keep their values."""
+def apply_plan(target: DataFrame, plan: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The target after the plan. Target columns the plan does not carry keep their values.
+
+    Null keys are matched as in the comparison: null to null.
+    """
     plan = dedupe_last(plan, keys, ["op"])
     carried = [c for c in plan.columns if c != "op" and c not in keys]
     types = {f.name: f.dataType for f in target.schema.fields}
-    renamed = plan.select(*[F.col(f"`{k}`").cast(types[k]).alias(k) for k in keys], F.col("op").alias("__op"),
+    renamed = plan.select(*[F.col(f"`{k}`").cast(types[k]).alias(f"__key_{k}") for k in keys], F.col("op").alias("__op"),
                           *[F.col(f"`{c}`").alias(f"__new_{c}") for c in carried])
-    merged = lookup_join(target, renamed, list(keys), "left", **hot_args)
+    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`__key_{k}`")) for k in keys])
+    merged = target.join(renamed, same, "left")
     updated = F.coalesce(F.col("__op") == UPDATE, F.lit(False))
     kept = merged.filter(F.coalesce(F.col("__op") != DELETE, F.lit(True))).select(*[
         (F.when(updated, F.col(f"`__new_{c}`").cast(types[c])).otherwise(F.col(f"`{c}`")).alias(c)
@@ -113,27 +124,30 @@ def plan_counts(plan: DataFrame) -> DataFrame:
 def apply_sync(spark: SparkSession, target_path: str, plan: DataFrame, keys: Sequence[str]) -> dict[str, int]:
     """Apply a plan to a snapshot table; readers see all of it or none of it."""
     target = snapshots.read_snapshot(spark, target_path)
+    # Written once: the counts, the merge and the inserts read it, not the comparison.
+    plan = written(dedupe_last(plan, keys, ["op"]), "sync-plan")
     counts = plan_counts(plan).first().asDict()
     snapshots.write_snapshot(apply_plan(target, plan, keys), target_path)
     return counts
 
 
 def upsert(spark: SparkSession, target_path: str, changes: DataFrame, keys: Sequence[str],
-           version: str = "version", sequence: str | None = "ingest_seq", flag: str = "is_deleted",
-           snapshot: str | None = None) -> str:
-    """Merge versioned changes into a snapshot table and drop deleted keys.
+           version: str = "version", sequence: str | None = "ingest_seq") -> str:
+    """Merge versioned changes into a snapshot table: the latest version of each key.
 
-    Pass the micro-batch number as ``snapshot``: a replay of the batch that is
-    already current is then skipped.
+    Delete records stay in the table, as they must hide older rows that come late; read it
+    with ``read_upserted``. The result does not depend on the order of batches, and a
+    repeated batch changes nothing.
     """
-    current = snapshots.current_version(spark, target_path)
-    if snapshot is not None and current == snapshot:
-        return current
     merged = changes
-    if current is not None:
+    if snapshots.current_version(spark, target_path) is not None:
         merged = snapshots.read_snapshot(spark, target_path).unionByName(changes, allowMissingColumns=True)
-    return snapshots.write_snapshot(latest_version(merged, keys, version, sequence)
-                                    .filter(~F.col(flag).cast("boolean")), target_path, snapshot)
+    return snapshots.write_snapshot(latest_version(merged, keys, version, sequence), target_path)
+
+
+def read_upserted(spark: SparkSession, target_path: str, flag: str = "is_deleted") -> DataFrame:
+    """The rows of a table kept by ``upsert`` that are not deleted."""
+    return snapshots.read_snapshot(spark, target_path).filter(~F.col(flag).cast("boolean"))
 
 
 # ---------------------------------------------------------------- compaction
@@ -171,6 +185,6 @@ def compact_many(spark: SparkSession, tables: Mapping[str, tuple[str, Sequence[s
             sizes = compact(spark, path, keys)
             rows.append((name, "DONE", sizes["bytes_before"], sizes["bytes_after"], sizes["bytes_freed"], None))
         except Exception as error:  # report and go on with the other tables
-            rows.append((name, "FAILED", None, None, None, str(error)[:500]))
+            rows.append((name, "FAILED", None, None, None, str(error)))
     return spark.createDataFrame(
         rows, "table_name string, state string, bytes_before long, bytes_after long, bytes_freed long, error string")

@@ -290,6 +290,22 @@ def apply_sync_orders(t: Tables):
     return snapshots.read_snapshot(t.spark, path).drop("o_totalprice", "o_orderdate")
 
 
+@query("sync_null_keys", """
+SELECT 'MATCH' AS status, count(*) AS row_count FROM {supplier}""")
+def sync_null_keys(t: Tables):
+    """A sync of rows with null keys, after which a second comparison finds only matches."""
+    path = t.scratch("sync")
+    source = t.supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_nationkey")).alias("nation"), "s_name", "s_acctbal")
+    target = source.filter("s_suppkey % 4 <> 0").withColumn("s_acctbal", F.when(
+        F.col("s_suppkey") % 5 != 0, F.col("s_acctbal"))).unionByName(source.limit(1).withColumn("s_suppkey", F.lit(-1).cast(source.schema["s_suppkey"].dataType)))
+    snapshots.write_snapshot(target, path)
+    spec = d.DiffSpec(keys=["s_suppkey", "nation"])
+    plan = versioned.sync_plan(d.row_diff(source, snapshots.read_snapshot(t.spark, path), spec), spec.keys)
+    versioned.apply_sync(t.spark, path, plan, spec.keys)
+    again = d.row_diff(source, snapshots.read_snapshot(t.spark, path), spec)
+    return again.groupBy("status").agg(F.count(F.lit(1)).alias("row_count"))
+
+
 @query("multi_table_compare", f"""
 WITH {ORDERS_DIFF},
 sup AS (SELECT s.s_suppkey AS a, c.s_suppkey AS b, s.s_acctbal AS x, c.s_acctbal AS y

@@ -85,6 +85,15 @@ def flatten_dedupe_events(t: Tables):
     return diff.dedupe_last(rows, ["the_note", "qty"], ["id"])
 
 
+@query("land_json_twice", f"""
+SELECT 2 * count(*) AS row_count, 2 * count(*) AS seq_count FROM ({PAYLOADS_CHECK}) WHERE trim(payload) <> ''""")
+def land_json_twice(t: Tables):
+    """Two batches a millisecond apart never share a number."""
+    first = jsonland.land_json(t.sql(PAYLOADS_SPARK), batch_millis=1700000000000)
+    second = jsonland.land_json(t.sql(PAYLOADS_SPARK), batch_millis=1700000000001, above=jsonland.highest_seq(first))
+    return first.union(second).agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct("seq").alias("seq_count"))
+
+
 @query("infer_json_schema_events", """
 SELECT unnest(['id', 'amount', 'vip', 'note', 'qty', 'tags']) AS name,
   unnest(['Int64', 'Float64', 'Bool', 'String', 'String', 'String']) AS type, unnest([n, n, n, n, n, n]) AS found

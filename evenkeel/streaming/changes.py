@@ -89,19 +89,24 @@ def replay(dead: DataFrame, repaired: Column | None = None) -> tuple[DataFrame,
 
 
 LANDED, DEAD = "landed", "dead"
+LANDING_SALTS = 4
 
 
 def land_changes(stream: DataFrame, path: str, checkpoint: str, base: str = "db", **trigger) -> StreamingQuery:
-    """Append messages to a landing folder, partitioned by table; each batch has its own
-    folder and is overwritten when repeated, so every message lands once.
+    """Append messages to a landing folder, partitioned by table; each batch of each stream has
+    its own folder and is overwritten when repeated, so every message lands once, also when
+    several streams, or one with a new checkpoint, share the folder.
 
     Unreadable messages are set aside in the same pass, for ``read_dead``.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumns({
+        stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        # Rows of one table meet in few tasks, over salts, so that a batch writes few files.
+        salted = batch.repartition(route_table(F.col("topic"), base), F.pmod(F.xxhash64("value"), F.lit(LANDING_SALTS)))
+        salted.withColumns({
             "landed_at": F.now().cast("timestamp_ntz"), "table_name": route_table(F.col("topic"), base),
             "state": F.when(_readable(), F.lit(LANDED)).otherwise(F.lit(DEAD)),
-        }).write.mode("overwrite").partitionBy("state", "table_name").parquet(f"{path}/batch={batch_id}")
+        }).write.mode("overwrite").partitionBy("state", "table_name").parquet(f"{path}/stream={stream_id}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint) \
         .trigger(**(trigger or {"availableNow": True})).start()
@@ -111,11 +116,11 @@ def upsert_stream(stream: DataFrame, target_path: str, keys: Sequence[str], chec
                   **trigger) -> StreamingQuery:
     """Merge a stream of rows with ``version`` and ``is_deleted`` into a snapshot table.
 
-    Within a batch and against the table the highest version wins, so late rows
-    change nothing. A batch that is repeated after a restart is skipped.
+    Within a batch and against the table the highest version wins, so late rows and a
+    batch that is repeated after a restart change nothing. Read it with ``read_upserted``.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        upsert(batch.sparkSession, target_path, batch, keys, snapshot=f"batch={batch_id}")
+        upsert(batch.sparkSession, target_path, batch, keys)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint) \
         .trigger(**(trigger or {"availableNow": True})).start()
@@ -124,12 +129,12 @@ def upsert_stream(stream: DataFrame, target_path: str, keys: Sequence[str], chec
 def read_landing(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
     """Landed messages, of one table or of all; other tables' folders are not read."""
     rows = spark.read.parquet(path).filter(F.col("state") == LANDED)
-    return (rows if table is None else rows.filter(F.col("table_name") == table)).drop("batch", "state")
+    return (rows if table is None else rows.filter(F.col("table_name") == table)).drop("stream", "batch", "state")
 
 
 def read_dead(spark: SparkSession, path: str) -> DataFrame:
     """Messages that could not be read, with error and time."""
-    return spark.read.parquet(path).filter(F.col("state") == DEAD).drop("batch", "state") \
+    return spark.read.parquet(path).filter(F.col("state") == DEAD).drop("stream", "batch", "state") \
         .withColumn("error", F.lit(NOT_JSON)).withColumnRenamed("landed_at", "failed_at")
 
 
@@ -137,11 +142,30 @@ def backfill(source: DataFrame, landing: DataFrame, clean: bool = True) -> DataF
     """Source rows as landing rows of version 0: they fill gaps and never beat a real change.
 
     Only columns the landing table has (in any case) are taken, in its types; clock
-    text goes to a timestamp column, and dates out of range are moved in.
+    text goes to a timestamp column, and dates out of range are moved in. Rows with a value
+    that its column cannot take are left out; ``backfill_rejects`` gives those.
     """
+    rows, fits, extra = _backfill(source, landing)
+    rows = rows.filter(fits).select(*[c for c in rows.columns if c != REJECTED])
+    return (clamp_dates(rows) if clean else rows).withColumns(extra)
+
+
+REJECTED = "__rejected"
+
+
+def backfill_rejects(source: DataFrame, landing: DataFrame, now: Column | None = None) -> DataFrame:
+    """Source rows, as JSON, that ``backfill`` leaves out, with the columns at fault and the time."""
+    rows, fits, _ = _backfill(source, landing)
+    error = F.concat(F.lit("no fitting value for "), F.array_join(f"{REJECTED}.columns", ", "))
+    return rows.filter(~fits).select(F.col(f"{REJECTED}.value").alias("value"), error.alias("error"),
+                                     (now if now is not None else F.now()).alias("failed_at"))
+
+
+def _backfill(source: DataFrame, landing: DataFrame) -> tuple[DataFrame, Column, dict[str, Column]]:
+    """Converted rows with what was rejected in them, the test of a fit, and the fixed columns."""
     by_lower = {c.lower(): c for c in reversed(source.columns)}
     have = {f.name: f.dataType for f in source.schema.fields}
-    cols = []
+    cols, wrong = [], []
     for f in landing.schema.fields:
         name = by_lower.get(f.name.lower())
         if name is None or f.name in ("version", "is_deleted", "ingest_seq"):
@@ -149,10 +173,12 @@ def backfill(source: DataFrame, landing: DataFrame, clean: bool = True) -> DataF
         value = F.col(f"`{name}`")
         if isinstance(have[name], T.StringType) and isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             value = time_to_timestamp(value)
-        cols.append(value.cast(f.dataType).alias(f.name))
-    rows = source.select(*cols)
-    rows = clamp_dates(rows) if clean else rows
+        value = value.try_cast(f.dataType)
+        cols.append(value.alias(f.name))
+        wrong.append(F.when(F.col(f"`{name}`").isNotNull() & value.isNull(), F.lit(f.name)))
+    faults = F.array_compact(F.array(*wrong)) if wrong else F.array().cast("array<string>")
+    rows = source.select(*cols, F.struct(faults.alias("columns"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in source.columns])).alias("value")).alias(REJECTED))
     extra = {"version": F.lit(0).cast("long"), "is_deleted": F.lit(False)}
     if "ingest_seq" in landing.columns:
         extra["ingest_seq"] = F.lit(0).cast("long")
-    return rows.withColumns(extra)
+    return rows, F.size(f"{REJECTED}.columns") == 0, extra

@@ -173,28 +173,36 @@ def run_warehouse(stream: DataFrame, split: Callable[[DataFrame], Mapping[str, D
                 compact_batches(spark, f"{landing_path}/{table}", table_keys, before=folder)
             compact_batches(spark, target_path, wh.keys, sequence=None, before=folder)
         batch.persist()  # read the source once for all tables
-        changed, landing = {}, {}
-        for table, rows in split(batch).items():
-            rows.withColumn("ingest_seq", F.lit(number).cast("long")).write.mode("overwrite").parquet(
-                f"{landing_path}/{table}/{folder}")
-            changed[table] = spark.read.parquet(f"{landing_path}/{table}/{folder}")
-        for table in wh.table_keys:  # also those the batch does not change
-            landing[table] = spark.read.parquet(f"{landing_path}/{table}/batch=*")
-        target = _before(spark, target_path, number)
-        out = join_refresh(changed, landing, target, wh, number)
-        out.write.mode("overwrite").parquet(f"{target_path}/{folder}")
-        batch.unpersist()
+        try:
+            changed, landing = {}, {}
+            for table, rows in split(batch).items():
+                rows.withColumn("ingest_seq", F.lit(number).cast("long")).write.mode("overwrite").parquet(
+                    f"{landing_path}/{table}/{folder}")
+                changed[table] = spark.read.parquet(f"{landing_path}/{table}/{folder}")
+            for table in wh.table_keys:  # also those the batch does not change
+                # Columns that came later are read too.
+                landing[table] = spark.read.option("mergeSchema", True).parquet(f"{landing_path}/{table}/batch=*")
+            target = _before(spark, target_path, number)
+            out = join_refresh(changed, landing, target, wh, number)
+            out.write.mode("overwrite").parquet(f"{target_path}/{folder}")
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint) \
         .trigger(**(trigger or {"availableNow": True})).start()
 
 
 def _before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    """The target as it was before batch ``number``; a half-written repeat is not read."""
+    """The target as it was before batch ``number``, from folders that were written to their end.
+
+    None if there is none yet, also when the first write broke off.
+    """
     if not snapshots.exists(spark, path):
         return None
-    rows = spark.read.parquet(f"{path}/batch=*").filter(F.col("version") < number)
-    return rows
+    whole = [f for f in snapshots.folders(spark, path, "batch=") if snapshots.exists(spark, f"{path}/{f}/_SUCCESS")]
+    if not whole:
+        return None
+    return spark.read.parquet(*[f"{path}/{f}" for f in whole]).filter(F.col("version") < number)
 
 
 def resync(mode: str, landing: Mapping[str, DataFrame], target: DataFrame, wh: Warehouse,

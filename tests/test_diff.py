@@ -99,9 +99,9 @@ def test_many_key_columns_keep_nulls_apart(spark):
     assert got == [("MATCH", 0), ("SOURCE_ONLY", 1), ("TARGET_ONLY", 1)]
 
 
-def test_declared_keys_need_no_duplicate_handling(spark):
+def test_unique_keys_need_no_duplicate_handling(spark):
     a = spark.range(5).select("id", F.lit("x").alias("v"))
-    plan = d.row_diff(a, a, d.DiffSpec(declared_keys=["id"]))._jdf.queryExecution().executedPlan().toString()
+    plan = d.row_diff(a, a, d.DiffSpec(keys=["id"], unique_keys=True))._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan
 
 
@@ -187,3 +187,20 @@ def test_mappings_find_their_template_by_id(spark):
     templates = spark.createDataFrame([("7", "seven"), ("tpl_x", " ")], "template_id string, query string")
     got = {r["id"]: r["query"] for r in d.resolve_mappings(mappings, templates).collect()}
     assert got == {"template-7": "seven", "tpl_x": "own", "hand": "own", "template-": "own"}
+
+
+def test_numeric_mode_reaches_cells_and_reports(spark):
+    make = lambda v: spark.sql(f"SELECT 1 AS k, CAST('{v}' AS DECIMAL(38,20)) AS v")
+    a, b = make("1.00000000000000000001"), make("1.00000000000000000002")
+    diff = d.row_diff(a, b, d.DiffSpec(keys=["k"], numeric="exact"))
+    assert diff.first()["status"] == d.DIFFERENT
+    assert {(r["column"], r["is_different"]) for r in d.cell_diff(diff).collect()} == {("k", False), ("v", True)}
+    assert "[TGT]" in d.render_cells(diff).first()["v"]
+    assert d.row_diff(a, b, d.DiffSpec(keys=["k"])).first()["status"] == d.MATCH
+
+
+def test_declared_keys_that_repeat_keep_the_last_row(spark):
+    source = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
+    target = spark.createDataFrame([(1, "b")], "k bigint, v string")
+    got = d.row_diff(source, target, d.DiffSpec(declared_keys=["k"])).collect()
+    assert [(r["row_key"], r["status"]) for r in got] == [("1", d.MATCH)]

@@ -80,3 +80,13 @@ def test_exact_numbers(spark):
     df = spark.createDataFrame([(2 ** 53, 2 ** 53 + 1)], "a long, b long")
     t = df.schema["a"].dataType
     assert df.select(norm_eq(F.col("a"), F.col("b"), t, t, numeric="exact")).first()[0] is False
+
+
+@pytest.mark.parametrize("text, number, same", [
+    ("1e0", "1.00000000000000000001", False), ("1e0", "1.00000000000000000000", True), ("-2.50E+1", "-25", True), ("0e9", "-0.0", True),
+    ("1e-20", "0.00000000000000000001", True), ("+5", "5", False), ("12345678901234567890.5", "12345678901234567890.50", True), (".5", "0.5", True)])
+def test_number_texts_compare_by_digits(spark, text, number, same):
+    row = spark.sql(f"SELECT '{text}' AS a, CAST('{number}' AS DECIMAL(38,20 )) AS b" if len(number) < 30 and "1234567890" not in number
+                    else f"SELECT '{text}' AS a, CAST('{number}' AS DECIMAL(38,2)) AS b")
+    types = {f.name: f.dataType for f in row.schema.fields}
+    assert row.select(norm_eq(F.col("a"), F.col("b"), types["a"], types["b"])).first()[0] is same

@@ -137,6 +137,18 @@ def test_high_water_loses_no_tied_rows(spark):
         seen += got
         mark = tuple(last.first())
     assert seen == list(range(50))
+    with pytest.raises(ValueError):
+        incremental.high_water_read(df, "v", 3, ["id"])
+    for cap in (None, 1, 9, 10):  # without keys a read ends only at the end of a run
+        seen, mark = [], -1
+        while True:
+            rows, last = incremental.high_water_read(df, "v", mark, cap=cap)
+            got = [r["id"] for r in rows.collect()]
+            if not got:
+                break
+            seen += got
+            mark = last.first()["mark"]
+        assert sorted(seen) == list(range(50))
     assert incremental.parse_mark(" 12 ") == 12 and incremental.parse_mark("") == 0 and incremental.parse_mark("x") == "x"
 
 
@@ -174,6 +186,33 @@ def test_flatten_reads_odd_values(spark):
     assert sorted(got) == [(-5, 0.0, True, '{"k":[1]}'), (0, 0.0, False, "")]
 
 
+def test_every_element_and_item_counts(spark):
+    docs = spark.createDataFrame([("c", '[{"data": [{"a": 1}, {"a": 2, "b": "x"}]}, {"data": [{"a": 3}]}]'), ("c", '[{"z": true}, {"y": 1}]'),
+                                  ("c", '{"data": [{"w": 1.5}]}')], "kode_data string, detail_data string")
+    rows = jsonland.flatten_items(docs, "c", [{"name": "a", "type": "Int64"}]).collect()
+    assert sorted(r["a"] for r in rows) == [1, 2, 3]
+    found = {r["name"]: r["type"] for r in jsonland.infer_json_schema(docs).collect()}
+    assert found == {"a": "Int64", "b": "String", "z": "Bool", "y": "Int64", "w": "Float64"}
+
+
+def test_numbers_of_batches_never_meet(spark):
+    df = spark.range(3000).select(F.to_json(F.struct("id")).alias("payload"))
+    first = jsonland.land_json(df, batch_millis=5)
+    second = jsonland.land_json(df, batch_millis=6, above=jsonland.highest_seq(first))
+    assert first.union(second).select("seq").distinct().count() == 6000
+    assert first.agg(F.min("seq"), F.max("seq")).first()[:] == (5000, 7999) and second.agg(F.min("seq")).first()[0] == 8000
+
+
+def test_range_takes_whole_dates(spark):
+    from evenkeel.operators.filters import range_query
+
+    df = spark.sql("SELECT timestamp_ntz'1997-12-31 10:00:00' AS at, date'1997-12-31' AS day")
+    assert range_query(df, "at", "1997-01-01x", "1997-12-31").count() == 1
+    assert range_query(df, "at", None, "1997-12-30").count() == 0
+    assert range_query(df, "at", "1997-12-31T10:00:00", "1997-12-31 10:00:00").count() == 1
+    assert range_query(df, "day", "1997-12-31", "1997-12-31").count() == 1
+
+
 def test_infer_schema_forms(spark):
     docs = spark.createDataFrame([('[{"data": [{"a": 1, "n": null}]}]',), ('[{"a": 2.5, "b": true}]',),
                                   ('{"data": [{"c": "x"}]}',), ('{"d": [1]}',), ("bad",)], "detail_data string")
@@ -202,10 +241,18 @@ def test_match_leaves_out_zero_scores(spark):
     assert [(r["id"], r["probe_id"], r["score"]) for r in got.collect()] == [(1, "9", 100.0)]
 
 
-def test_match_refuses_many_probes(spark):
-    records = spark.range(1).select("id", F.lit("x").alias("name"))
+def test_blocked_matches_are_some_of_all(spark):
+    rows = [(i, f"name{i % 17}{'x' * (i % 3)}", f"city{i % 5}", i % 4) for i in range(60)]
+    records = spark.createDataFrame(rows, "id int, name string, city string, area int")
+    probes = records.withColumnRenamed("id", "probe_id")
     with pytest.raises(ValueError):
-        matching.match_records(records, spark.range(2000).select(F.col("id").alias("probe_id"), F.lit("x").alias("name")), ["name"])
+        matching.match_records(records, probes, ["name"])
+    key = lambda df: {(r["id"], r["probe_id"], round(r["score"], 9)) for r in df.collect()}
+    every = key(matching.match_records(records, [r.asDict() for r in probes.collect()], ["name", "city"], 60))
+    blocked = key(matching.match_records(records, probes, ["name", "city"], 60, block_on=["area"]))
+    assert blocked == {(i, p, s) for i, p, s in every if i % 4 == int(p) % 4} and blocked < every
+    ranked = [(r["probe_id"], -r["score"]) for r in matching.best_first(matching.match_records(records, probes, ["name"], 60, block_on=["area"])).collect()]
+    assert ranked == sorted(ranked)
 
 
 def test_first_contact_in_list_order_counts(spark):

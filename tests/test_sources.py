@@ -63,11 +63,13 @@ def test_upsert_is_idempotent_and_ignores_late_events(spark, tmp_path):
     path = str(tmp_path / "u")
     schema_ = "k int, v string, version long, ingest_seq long, is_deleted boolean"
     make = lambda rows: spark.createDataFrame(rows, schema_)
-    versioned.upsert(spark, path, make([(1, "a", 5, 1, False), (2, "b", 5, 1, False)]), ["k"], snapshot="b=1")
+    versioned.upsert(spark, path, make([(1, "a", 5, 1, False), (2, "b", 5, 1, False)]), ["k"])
     batch = make([(1, "late", 4, 2, False), (2, "b", 6, 2, True), (3, "c", 1, 2, False)])
     for _ in range(2):
-        versioned.upsert(spark, path, batch, ["k"], snapshot="b=2")
-    assert sorted((r["k"], r["v"]) for r in snapshots.read_snapshot(spark, path).collect()) == [(1, "a"), (3, "c")]
+        versioned.upsert(spark, path, batch, ["k"])
+    assert sorted((r["k"], r["v"]) for r in versioned.read_upserted(spark, path).collect()) == [(1, "a"), (3, "c")]
+    versioned.upsert(spark, path, make([(2, "late", 5, 9, False)]), ["k"])  # older than the delete
+    assert sorted((r["k"], r["v"]) for r in versioned.read_upserted(spark, path).collect()) == [(1, "a"), (3, "c")]
 
 
 @pytest.mark.parametrize("name, pattern, want", [

@@ -174,3 +174,11 @@ def test_compacting_batches_keeps_the_latest_rows_and_deletes(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/t/batch=*")
     assert sorted((r["id"], r["v"], r["is_deleted"]) for r in got.collect()) == [(1, "a", False), (2, "c", True)]
     assert warehouse.compact_batches(spark, f"{tmp_path}/t", ["id"]) == 0
+
+
+def test_backfill_sets_bad_values_aside(spark):
+    landing = spark.createDataFrame([], "k long, v string, version long, is_deleted boolean")
+    source = spark.createDataFrame([("1", "a"), ("x", "b"), (None, "c")], "k string, v string")
+    assert sorted((r["k"] or 0, r["v"]) for r in changes.backfill(source, landing).collect()) == [(0, "c"), (1, "a")]
+    (bad,) = changes.backfill_rejects(source, landing).collect()
+    assert bad["error"] == "no fitting value for k" and '"x"' in bad["value"] and bad["failed_at"] is not None
