@@ -1,198 +1,222 @@
-"""Looking into event documents of any depth: their objects, and values by path.
+"""Looking into event documents of any depth: their objects, and values by path, as variants.
 
-Events nest without a fixed schema, hold JSON as text inside JSON, and spell names
-in several styles, which fixed column expressions cannot follow. The documents go
-through Arrow in batches; only the values asked for come back.
+A document's objects are found level by level: a frame keeps, for each event, the objects found
+and those still to be opened, and grows by one level until no event has any left. Values are
+looked up in the *roots* of an object: the object itself, and the JSON texts that it boxes in
+``payload`` or ``data``, to any depth. All of it is Column expressions; nothing visits Python.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
-from functools import cache, lru_cache
+import re
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from evenkeel.functions.json import name_variants
+from evenkeel.functions.json import let, name_variants
 
-TEXT = T.StringType()
-_encode = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False).encode
-# Where events keep their content.
+# Where events keep their content, their orders, an order's status and its id.
 BOXES = ("payload", "data")
-
-
-@lru_cache(maxsize=64)  # boxed text is read for several paths in a row
-def read(text: str | None):
-    """The document, or None if it is not JSON; not to be changed."""
-    try:
-        return json.loads(text)
-    except (TypeError, ValueError):
-        return None
-
-
-def objects(node, unwrap: bool = True) -> Iterator[dict]:
-    """The objects rules look at: list elements, ``data`` and ``orders`` below an object,
-    and, with ``unwrap``, JSON kept as text in ``payload`` or ``data``."""
-    if isinstance(node, list):
-        for child in node:
-            yield from objects(child, unwrap)
-    elif isinstance(node, dict):
-        if unwrap:
-            for box in BOXES:
-                if isinstance(node.get(box), str):
-                    yield from objects(read(node[box]), unwrap)
-        yield node
-        yield from objects(node.get("data"), unwrap)
-        if isinstance(node.get("orders"), list) or not unwrap:
-            yield from objects(node.get("orders"), unwrap)
-
-
-@cache
-def _spellings(name: str) -> tuple[tuple[str, ...], frozenset[str]]:
-    forms = tuple(name_variants(name))
-    return forms, frozenset(form.lower() for form in forms)
-
-
-@cache
-def _tokens(path: str) -> tuple[str, ...]:
-    parts = path.replace("[", ".").replace("]", "").split(".")
-    return tuple(part.strip() for part in parts if part.strip())
-
-
-def field(node, name: str):
-    """A field by its name, snake or camel form, else in any case; None if missing."""
-    if not isinstance(node, dict):
-        return None
-    forms, lower = _spellings(name)
-    for form in forms:
-        if node.get(form) is not None:
-            return node[form]
-    return next((v for k, v in node.items() if k.lower() in lower), None)
-
-
-def as_text(value) -> str:
-    if value is None:
-        return ""
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, (dict, list)):
-        return _encode(value)
-    return str(value)
-
-
-def _opened(node):
-    """An object whose ``payload`` is JSON text is read as that JSON."""
-    if isinstance(node, dict) and isinstance(node.get("payload"), str):
-        inner = read(node["payload"])
-        return node if inner is None else inner
-    return node
-
-
-def walk(node, tokens: Sequence[str]):
-    """Follow a dotted path; a list without an index goes to its first element."""
-    for token in tokens:
-        node = _opened(node)
-        while isinstance(node, list):
-            if token.isdigit() and int(token) < len(node):
-                break
-            if not node:
-                return None
-            node = _opened(node[0])
-        if isinstance(node, list):
-            node = node[int(token)]
-            continue
-        found = field(node, token)
-        if found is None and isinstance(node, dict):
-            box = next((node[b] for b in BOXES if isinstance(node.get(b), dict)), None)
-            found = field(box, token)
-        if found is None:
-            return None
-        node = found
-    return node
-
-
-def value_at(node, path: str) -> str:
-    """Text at a path, or empty: the name on the object, in its ``payload`` and ``data``
-    (also when these are JSON text), then the path step by step."""
-    if not path or not isinstance(node, (dict, list)):
-        return ""
-    inside = [node[b] for b in BOXES if node.get(b) is not None] if isinstance(node, dict) else []
-    own = field(node, path)
-    if own is None and not inside and isinstance(node, dict) and _tokens(path) == (path,):
-        return ""
-    for found in (own, *(field(box, path) for box in inside)):
-        if found is not None and not isinstance(found, (dict, list)):
-            text = as_text(found)
-            if text:
-                return text
-    for box in inside:
-        if isinstance(box, str):
-            found = value_at(read(box), path)
-            if found:
-                return found
-    end = walk(node, _tokens(path))
-    if isinstance(end, list) and end:
-        return "" if isinstance(end[0], (dict, list)) else as_text(end[0])
-    return as_text(end)
-
-
-def node_values(payload: Column, paths: Sequence[str]) -> Column:
-    """Array with one entry per object of a document: its text at each of the paths."""
-    wanted = [path.strip() for path in paths]
-
-    @F.pandas_udf(T.ArrayType(T.ArrayType(TEXT)))
-    def look(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: [[value_at(node, path) for path in wanted] for node in objects(read(text))])
-
-    return look(payload)
-
-
-def nodes_with_values(payload: Column, paths: Sequence[str]) -> Column:
-    """As ``node_values``, with the object itself as JSON in front."""
-    wanted = [path.strip() for path in paths]
-
-    @F.pandas_udf(T.ArrayType(T.ArrayType(TEXT)))
-    def look(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: [
-            [as_text(node), *(value_at(node, path) for path in wanted)] for node in objects(read(text))])
-
-    return look(payload)
-
-
-def path_value(payload: Column, path: str) -> Column:
-    """Text at a path of a JSON document, or empty."""
-    wanted = path.strip()
-
-    @F.pandas_udf(TEXT)
-    def look(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: value_at(read(text), wanted))
-
-    return look(payload)
-
-
-# Where an order keeps its status and its id, by preference.
+ORDERS = "orders"
 STATUS_FIELDS = ("orderStatus", "status", "order_status")
 ID_FIELDS = ("orderId", "order_id")
 
+MAP, LIST = "map<string,variant>", "array<variant>"
+
+
+def as_map(v: Column) -> Column:
+    return F.try_variant_get(v, "$", MAP)
+
+
+def as_list(v: Column) -> Column:
+    return F.try_variant_get(v, "$", LIST)
+
+
+def _present(v: Column) -> Column:
+    """A JSON null is a missing value."""
+    return F.when(~F.is_variant_null(v), v)
+
+
+def _scalar(v: Column) -> Column:
+    """Text of a value that is neither an object nor a list; null for those."""
+    return F.when(as_map(v).isNull() & as_list(v).isNull(), F.try_variant_get(v, "$", "string"))
+
+
+def _text(v: Column) -> Column:
+    return F.coalesce(_scalar(v), F.to_json(v))
+
+
+def _boxed(v: Column) -> Column:
+    """The document in a text that holds an object or a list."""
+    return let(F.try_parse_json(_scalar(v)), lambda d: F.when(as_map(d).isNotNull() | as_list(d).isNotNull(), d))
+
+
+def _own(m: Column, name: str) -> Column:
+    """A field of a map of fields: by its name, its snake or camel form, else in any case."""
+    forms = name_variants(name)
+    loose = F.map_values(F.map_filter(m, lambda k, _: F.lower(k).isin([f.lower() for f in forms])))
+    return F.coalesce(*[_present(m[form]) for form in forms], _present(F.get(loose, F.lit(0))))
+
+
+def _grown(df: DataFrame, start: Column, step: Callable[[Column], Column], keep: Callable[[Column], Column], out: str) -> DataFrame:
+    """Add ``out``: what ``keep`` gives of each entry that is reached from ``start`` by ``step``.
+
+    ``step`` gives the entries below one entry. One pass over the events for each level.
+    """
+    df = df.withColumns({"__open": start, out: F.lit(None)})
+    empty = F.slice(F.transform("__open", keep), 1, 0)
+    df = df.withColumn(out, empty)
+    while not df.where(F.size("__open") > 0).isEmpty():
+        found = F.concat(F.col(out), F.filter(F.transform("__open", keep), lambda e: e.isNotNull()))
+        below = F.flatten(F.transform("__open", step))
+        df = df.withColumn("__found", found).withColumn("__open", F.filter(below, lambda e: e.isNotNull()))
+        df = df.withColumn(out, F.col("__found")).drop("__found")
+    return df.drop("__open")
+
+
+def with_objects(events: DataFrame, payload: str, unwrap: bool = True, out: str = "__nodes") -> DataFrame:
+    """Add the objects that rules look at, as an array of variants.
+
+    Those are the elements of lists, ``data`` and ``orders`` below an object, and, with
+    ``unwrap``, JSON kept as text in ``payload`` or ``data``. A text that is not JSON has none.
+    """
+    def below(v: Column) -> Column:
+        def children(m: Column) -> Column:
+            boxes = [_boxed(m[b]) for b in BOXES] if unwrap else []
+            orders = F.when(as_list(m[ORDERS]).isNotNull() | F.lit(not unwrap), _present(m[ORDERS]))
+            inner = [F.when(as_map(x).isNotNull() | as_list(x).isNotNull(), x) for x in (_present(m["data"]), orders)]
+            return F.array(*boxes, *inner)
+
+        return F.coalesce(as_list(v), let(as_map(v), lambda m: F.when(m.isNotNull(), children(m))), F.array().cast(LIST))
+
+    start = F.filter(F.array(F.try_parse_json(F.col(f"`{payload}`"))), lambda v: v.isNotNull())
+    return _grown(events, start, below, lambda v: F.when(as_map(v).isNotNull(), v), out)
+
+
+def _steps(path: str) -> list[str]:
+    return [part.strip() for part in re.split(r"[.\[\]]", path) if part.strip()]
+
+
+def _first(v: Column) -> Column:
+    """A list's first element, anything else as it is; lists in lists are opened twice."""
+    once = lambda x: F.when(as_list(x).isNotNull(), F.get(as_list(x), F.lit(0))).otherwise(x)
+    return let(let(v, once), once)
+
+
+def _step(v: Column, step: str) -> Column:
+    """One step of a path: an index of a list, or a name in an object or in its boxes."""
+    def named(m: Column) -> Column:
+        boxes = [let(as_map(_present(m[b])), lambda inner: F.when(inner.isNotNull(), _own(inner, step))) for b in BOXES]
+        return F.when(m.isNotNull(), F.coalesce(_own(m, step), *boxes))
+
+    def by_name(x: Column) -> Column:
+        opened = let(_first(x), lambda o: F.coalesce(_boxed(as_map(o)["payload"]), o))
+        return let(as_map(_first(opened)), named)
+
+    if not step.isdigit():
+        return by_name(v)
+    return let(v, lambda x: let(as_list(x), lambda items: F.when(
+        F.size(items) > int(step), F.get(items, F.lit(int(step)))).otherwise(by_name(x))))
+
+
+def _walker(step: str) -> Callable[[Column], Column]:
+    return lambda v: _step(v, step)
+
+
+def _end_text(v: Column) -> Column:
+    """Text at the end of a path: of a list its first element, unless that is nested."""
+    return let(v, lambda x: let(as_list(x), lambda items: F.when(
+        F.size(items) > 0, F.coalesce(_scalar(F.get(items, F.lit(0))), F.lit(""))).otherwise(_text(x))))
+
+
+def _at_once(m: Column, path: str) -> Column:
+    """A plain value of that name in a map of fields, or in the objects in its boxes."""
+    def filled(v: Column) -> Column:
+        return F.nullif(_scalar(v), F.lit(""))
+
+    boxes = [let(as_map(_present(m[b])), lambda inner: F.when(inner.isNotNull(), filled(_own(inner, path)))) for b in BOXES]
+    return F.coalesce(filled(_own(m, path)), *boxes)
+
+
+_ROOT = "struct<rank:string,v:variant>"
+
+
+def with_values(df: DataFrame, node: str, paths: Sequence[str], out: str) -> DataFrame:
+    """Add ``out``: for each object in the array of variants ``node`` its texts at ``paths``.
+
+    A text is looked for by name in the object, then in the objects in its ``payload`` and
+    ``data``, then in JSON texts there in the same way, then by following the path. The rank of
+    a root says in which order its answers count: by name before what it boxes, by path after.
+    """
+    paths = [p.strip() for p in paths]
+
+    def boxes(root: Column) -> Column:
+        held = as_map(root["v"])
+        inside = [F.when(held.isNotNull(), _boxed(held[b])) for b in BOXES]
+        return F.array(*[F.when(x.isNotNull(), F.struct(F.concat(root["rank"], F.lit(mark)).alias("rank"), x.alias("v")))
+                         for mark, x in zip("ab", inside)])
+
+    def answers(path: str) -> Column:
+        """From each root what it says by name, and what it says by path (``__w``)."""
+        def both(root: Column, walked: Column) -> Column:
+            named = let(as_map(root["v"]), lambda m: F.when(m.isNotNull(), _at_once(m, path)))
+            return F.array(F.struct(F.concat(root["rank"], F.lit("0")).alias("rank"), named.alias("text")),
+                           F.struct(F.concat(root["rank"], F.lit("z")).alias("rank"), _end_text(walked).alias("text")))
+
+        given = F.flatten(F.zip_with("__roots", "__w", both))
+        return F.filter(given, lambda a: F.coalesce(a["text"], F.lit("")) != "")
+
+    # Roots of all objects of an event grow together; the first mark is the object's number.
+    start = F.transform(F.col(node), lambda v, i: F.struct(F.format_string("%09d", i).alias("rank"), v.alias("v")))
+    grown = _grown(df, start, boxes, lambda r: r, "__roots")
+    for k, path in enumerate(paths):
+        if path:
+            # A step is a column of its own, from all roots at once.
+            grown = grown.withColumn("__w", F.transform("__roots", lambda r: r["v"]))
+            for step in _steps(path):
+                grown = grown.withColumn("__w", F.transform("__w", _walker(step)))
+            grown = grown.withColumn(f"__a{k}", answers(path)).drop("__w")
+
+    def best(k: int, number: Column) -> Column:
+        mine = F.filter(f"__a{k}", lambda a: F.substring(a["rank"], 1, 9) == number)
+        return F.coalesce(F.array_min(mine)["text"], F.lit(""))
+
+    def texts(v: Column, i: Column) -> Column:
+        number = F.format_string("%09d", i)
+        return F.array(*[best(k, number) if p else F.lit("") for k, p in enumerate(paths)]).cast("array<string>")
+
+    found = grown.withColumn(out, F.transform(F.col(node), texts))
+    return found.drop("__roots", *[f"__a{k}" for k in range(len(paths))])
+
+
+def node_values(events: DataFrame, payload: str, paths: Sequence[str]) -> DataFrame:
+    """One row per object of an event: its columns, the object as JSON ``node``, its texts ``values``."""
+    found = with_values(with_objects(events, payload), "__nodes", paths, "__values")
+    pairs = F.explode(F.arrays_zip(F.transform("__nodes", lambda v: F.to_json(v)).alias("node"), F.col("__values").alias("values")))
+    rows = found.select(*[F.col(f"`{c}`") for c in events.columns], pairs.alias("__e"))
+    return rows.select(*[F.col(f"`{c}`") for c in events.columns], F.col("__e")["node"].alias("node"), F.col("__e")["values"].alias("values"))
 
-def order_of(node: dict) -> list[str]:
-    """Status and id of an order object: of its ``payload`` if that is an object, else its own."""
-    body = node["payload"] if isinstance(node.get("payload"), dict) else node
 
-    def first(*places) -> str:
-        return next((as_text(place[name]) for place, name in places if place.get(name) is not None), "")
+def path_values(events: DataFrame, payload: str, paths: dict[str, str]) -> DataFrame:
+    """The events with the text at a path of the whole document in each named column, or empty."""
+    whole = F.filter(F.array(F.try_parse_json(F.col(f"`{payload}`"))), lambda v: as_map(v).isNotNull() | as_list(v).isNotNull())
+    found = with_values(events.withColumn("__doc", whole), "__doc", list(paths.values()), "__values")
+    texts = {name: F.coalesce(F.get(F.get("__values", F.lit(0)), F.lit(i)), F.lit("")) for i, name in enumerate(paths)}
+    return found.withColumns(texts).drop("__doc", "__values")
 
-    return [first(*((body, name) for name in STATUS_FIELDS), (node, STATUS_FIELDS[0])).strip(),
-            first(*((body, name) for name in ID_FIELDS), *((node, name) for name in ID_FIELDS)).strip()]
 
+def order_rows(events: DataFrame, payload: str) -> DataFrame:
+    """``status`` and ``order_id`` of every object of the events that carries an order id.
 
-def orders_in(payload: Column) -> Column:
-    """Array of ``[status, id]``, one per object of a document that carries an order id."""
+    Fields are those of the object in ``payload`` if there is one, else the object's own.
+    """
+    def first(*places: Column) -> Column:
+        return F.trim(F.coalesce(*[let(_present(p), lambda x: F.when(x.isNotNull(), _text(x))) for p in places], F.lit("")))
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(TEXT)))
-    def look(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: [
-            pair for pair in map(order_of, objects(read(text), unwrap=False)) if pair[1]])
+    def pair(v: Column) -> Column:
+        return let(as_map(v), lambda m: let(F.coalesce(as_map(m["payload"]), m), lambda body: F.struct(
+            first(*[body[n] for n in STATUS_FIELDS], m[STATUS_FIELDS[0]]).alias("status"),
+            first(*[body[n] for n in ID_FIELDS], *[m[n] for n in ID_FIELDS]).alias("order_id"))))
 
-    return look(payload)
+    found = with_objects(events, payload, unwrap=False)
+    return found.select(F.explode(F.transform("__nodes", pair)).alias("o")).select("o.*").filter(F.col("order_id") != "")

@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evenkeel.functions.events import node_values, nodes_with_values, orders_in
+from evenkeel.functions.events import node_values, order_rows
 from evenkeel.functions.json import bundle_payload, json_path
 from evenkeel.operators.ranking import rank_rows
 from evenkeel.operators.skew import join_unique
@@ -124,33 +124,38 @@ def _rule_test(rules: Sequence[Mapping[str, str]], values: Column, first: int =
 
 
 def match_events(events: DataFrame, rules: Sequence[Mapping[str, str]], payload: str = "payload") -> DataFrame:
-    """Objects of the events that meet all rules ``{key, value}``, as column ``node``."""
-    found = nodes_with_values(F.col(f"`{payload}`"), [r["key"] for r in rules])
-    nodes = events.withColumn("__e", F.explode(found))
-    return nodes.filter(_rule_test(rules, F.col("__e"), 1)).withColumn("node", F.col("__e")[0]).drop("__e")
+    """Objects of the events that meet all rules ``{key, value}``, as column ``node`` (JSON)."""
+    nodes = node_values(events, payload, [r["key"] for r in rules])
+    return nodes.filter(_rule_test(rules, F.col("values"))).drop("values")
 
 
 def extract_params(events: DataFrame, rules: Sequence[Mapping[str, str]], mappings: Sequence[Mapping[str, str]],
                    by: Sequence[str] = (), payload: str = "payload") -> DataFrame:
     """Distinct parameter rows of the matching objects, one column per mapping ``{target, source}``.
 
-    Empty values read as null and objects giving none are left out. ``pk`` and
-    ``value`` repeat the first value unless a mapping gives them.
+    Empty values read as null and objects giving none are left out; without mappings a match
+    gives one row of no parameters. ``pk`` and ``value`` repeat the first value, and ``orderId``
+    the value of ``order_id`` or ``orderIds``, unless a mapping gives them.
     """
     paths = [*(r["key"] for r in rules), *(m["source"] for m in mappings)]
-    nodes = events.select(*by, F.explode(node_values(F.col(f"`{payload}`"), paths)).alias("__e"))
-    values = F.col("__e")
-    params = {m["target"]: F.nullif(F.trim(values[len(rules) + i]), F.lit("")) for i, m in enumerate(mappings)}
-    found = nodes.filter(_rule_test(rules, values)).select(*by, *[c.alias(n) for n, c in params.items()])
-    found = found.dropna("all", subset=list(params))
+    nodes = node_values(events.select(*dict.fromkeys([*by, payload])), payload, paths).withColumn("__values", F.col("values"))
+    found = nodes.filter(_rule_test(rules, F.col("__values")))
+    params = {m["target"]: F.nullif(F.trim(F.col("__values")[len(rules) + i]), F.lit("")) for i, m in enumerate(mappings)}
+    if not params:
+        none = F.lit(None).cast("string")
+        return found.select(*by, none.alias("pk"), none.alias("value")).dropDuplicates()
+    found = found.select(*by, *[c.alias(n) for n, c in params.items()]).dropna("all", subset=list(params))
+    order = next((n for n in ("order_id", "orderIds") if n in params), None)
+    if order and "orderId" not in params:
+        found = found.withColumn("orderId", F.col(order))
     first = F.coalesce(*[F.col(f"`{n}`") for n in params])
     return found.withColumns({n: first for n in ("pk", "value") if n not in params}).dropDuplicates()
 
 
 def order_ids(events: DataFrame, status: str | None, payload: str = "payload") -> DataFrame:
     """Distinct ids of the orders whose status is wanted, wherever they sit in the events."""
-    orders = events.select(F.explode(orders_in(F.col(f"`{payload}`"))).alias("o"))
-    return orders.filter(value_matches(F.col("o")[0], status)).select(F.col("o")[1].alias("order_id")).distinct()
+    orders = order_rows(events, payload)
+    return orders.filter(value_matches(F.col("status"), status)).select("order_id").distinct()
 
 
 def id_batches(ids: DataFrame, column: str = "order_id", size: int = ID_BATCH) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenkeel.functions import json as js
-from evenkeel.functions.events import path_value
+from evenkeel.functions.events import path_values
 from evenkeel.operators import diff, jsonland, schema
 from evenkeel.plans.base import Tables, query
 
@@ -117,25 +117,29 @@ def events_with_orders(t: Tables):
     return t.sql(f"SELECT event_id, {text} AS payload FROM {{events}}")
 
 
-@query("match_events_orders", """
-SELECT event_id, count(*) AS node_count FROM (
-  SELECT event_id FROM {events} WHERE event_id % 6 IN (0, 1, 4)
-  UNION ALL SELECT event_id FROM {events} WHERE event_id % 6 = 3 UNION ALL SELECT event_id FROM {events} WHERE event_id % 6 = 3) GROUP BY 1""")
+# The matching objects of each event, as JSON: for boxed text both the outer object and the inner one.
+_NODES = """
+SELECT event_id, '{"orderId":"A' || CAST(event_id AS VARCHAR) || '","order_status":"PAID"}' AS node FROM {events} WHERE event_id % 6 = 0
+UNION ALL SELECT event_id, '{"payload":{"orderId":"B' || CAST(event_id AS VARCHAR) || '","orderStatus":"paid "}}' FROM {events} WHERE event_id % 6 = 1
+UNION ALL SELECT event_id, '{"data":"{\\"orderStatus\\": \\"PAID\\", \\"orderId\\": \\"E' || CAST(event_id AS VARCHAR) || '\\"}"}' FROM {events} WHERE event_id % 6 = 3
+UNION ALL SELECT event_id, '{"orderId":"E' || CAST(event_id AS VARCHAR) || '","orderStatus":"PAID"}' FROM {events} WHERE event_id % 6 = 3
+UNION ALL SELECT event_id, '{"ORDERSTATUS":"Paid","orderid":' || CAST(event_id AS VARCHAR) || '}' FROM {events} WHERE event_id % 6 = 4"""
+
+
+@query("match_events_orders", _NODES)
 def match_events_orders(t: Tables):
     found = jsonland.match_events(events_with_orders(t), [{"key": "orderStatus", "value": "paid, done"}, {"key": "any", "value": "*"}])
-    return found.groupBy("event_id").agg(F.count(F.lit(1)).alias("node_count"))
+    return found.select("event_id", "node")
 
 
 @query("path_value_events", """
 SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'PAID' WHEN 1 THEN 'paid ' WHEN 3 THEN 'PAID' ELSE '' END AS status,
   CASE event_id % 6 WHEN 2 THEN 'C' || CAST(event_id AS VARCHAR) ELSE '' END AS first_id,
-  CASE event_id % 6 WHEN 2 THEN 'D' || CAST(event_id AS VARCHAR) ELSE '' END AS second_id FROM {events} WHERE event_id % 6 < 4""")
+  CASE event_id % 6 WHEN 2 THEN 'D' || CAST(event_id AS VARCHAR) ELSE '' END AS second_id,
+  CASE event_id % 6 WHEN 4 THEN CAST(event_id AS VARCHAR) ELSE '' END AS listed_id FROM {events}""")
 def path_value_events(t: Tables):
-    v = F.col("payload")
-    return events_with_orders(t).filter("event_id % 6 < 4").select(
-        "event_id", path_value(v, "orderStatus").alias("status"),
-        F.when(F.col("event_id") % 6 == 2, path_value(v, "data.orderId")).otherwise("").alias("first_id"),
-        path_value(v, "data[1].order_id").alias("second_id"))
+    return path_values(events_with_orders(t), "payload", {
+        "status": "orderStatus", "first_id": "data.orderId", "second_id": "data[1].order_id", "listed_id": "orders[0].orderId"}).drop("payload")
 
 
 @query("extract_params_events", """
@@ -146,7 +150,7 @@ UNION ALL SELECT event_id, CAST(event_id AS VARCHAR), 'Paid', CAST(event_id AS V
 def extract_params_events(t: Tables):
     return jsonland.extract_params(
         events_with_orders(t), [{"key": "order_status", "value": "PAID"}],
-        [{"target": "order_id", "source": "orderId"}, {"target": "state", "source": "orderStatus"}], by=["event_id"]).drop("value")
+        [{"target": "order_id", "source": "orderId"}, {"target": "state", "source": "orderStatus"}], by=["event_id"]).drop("value", "orderId")
 
 
 _IDS = """SELECT CASE event_id % 6 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' END || CAST(event_id AS VARCHAR) AS order_id

@@ -93,23 +93,43 @@ EVENT = {
 }
 
 
-@pytest.mark.parametrize("path, want", [
-    ("orderId", "o1"), ("ORDER_ID", "o1"), ("flag", "true"), ("a.b[1].c", ""), ("inner", "deep"), ("deeper", "1.5"), ("none", ""), ("missing", ""), ("list", ""), ("", ""),
-])
-def test_value_at(path, want):
-    assert events.value_at(events.read(json.dumps(EVENT)), path) == want
+def _values(spark, event, paths):
+    df = spark.createDataFrame([(json.dumps(event),)], "payload string")
+    return events.path_values(df, "payload", {f"p{i}": p for i, p in enumerate(paths)}).drop("payload").first()[:]
 
 
-@pytest.mark.parametrize("path, want", [
-    ("a.b[1].c", "six"), ("a.b.c", "5"), ("a.b[9].c", ""), ("a.b.0.c", "5"), ("list.1", "q"), ("list", "p"), ("obj", '{"x":1}'), ("x", ""), ("obj.x", "1"),
-])
-def test_steps_without_boxed_text(path, want):
-    assert events.value_at(events.read(json.dumps(EVENT | {"payload": None})), path) == want
+def test_values_by_name_and_path(spark):
+    wanted = {"orderId": "o1", "ORDER_ID": "o1", "flag": "true", "a.b[1].c": "", "inner": "deep", "deeper": "1.5", "none": "",
+              "missing": "", "list": "", "": ""}
+    assert dict(zip(wanted, _values(spark, EVENT, list(wanted)))) == wanted
 
 
-def test_objects_at_any_depth():
+def test_steps_without_boxed_text(spark):
+    wanted = {"a.b[1].c": "six", "a.b.c": "5", "a.b[9].c": "", "a.b.0.c": "5", "list.1": "q", "list": "p", "obj": '{"x":1}', "x": "", "obj.x": "1"}
+    assert dict(zip(wanted, _values(spark, EVENT | {"payload": None}, list(wanted)))) == wanted
+
+
+def test_values_in_text_in_text(spark):
+    event = {"found": "here"}
+    for i in range(5):
+        event = {"payload" if i % 2 else "data": json.dumps(event)}
+    assert _values(spark, event, ["found", "absent"]) == ("here", "")
+
+
+def test_objects_at_any_depth(spark):
     deep = {"id": 0}
-    for i in range(1, 40):
+    for i in range(1, 12):
         deep = {"id": i, "data": [deep]} if i % 2 else {"id": i, "orders": [deep]}
-    assert len(list(events.objects(deep))) == 40
-    assert list(events.objects(events.read("not json"))) == []
+    df = spark.createDataFrame([(json.dumps(deep),), ("not json",), (None,), ("[]",)], "payload string")
+    found = events.node_values(df, "payload", ["id"]).collect()
+    assert sorted(int(r["values"][0]) for r in found) == list(range(12))
+
+
+def test_no_mappings_give_a_row_without_parameters(spark):
+    from evenkeel.operators import jsonland
+
+    df = spark.createDataFrame([('{"a": "x", "order_id": 7}',), ('{"a": "y"}',)], "payload string")
+    rule = [{"key": "a", "value": "x"}]
+    assert jsonland.extract_params(df, rule, []).collect()[0][:] == (None, None)
+    (row,) = jsonland.extract_params(df, rule, [{"target": "order_id", "source": "orderId"}]).collect()
+    assert row.asDict() == {"order_id": "7", "orderId": "7", "pk": "7", "value": "7"}
