@@ -20,9 +20,9 @@ _LATEST = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id O
   FROM ({LANDING})) WHERE rn = 1"""
 
 
-@query("latest_version_events", f"SELECT user_id, event_type, value, version, is_deleted, ingest_seq FROM ({_LATEST})")
+@query("latest_version_events", f"SELECT user_id, event_type, value, props, version, is_deleted, ingest_seq FROM ({_LATEST})")
 def latest_version_events(t: Tables):
-    return versioned.latest_version(t.sql(_LANDING_SPARK), ["user_id"]).drop("props")
+    return versioned.latest_version(t.sql(_LANDING_SPARK), ["user_id"])
 
 
 @query("upsert_late_rows", """

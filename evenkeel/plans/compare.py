@@ -269,16 +269,19 @@ def bucket_checksums_orders(t: Tables):
 @query("sync_plan_orders", f"""WITH {ORDERS_DIFF}
 SELECT CASE status WHEN 'SOURCE_ONLY' THEN 'INSERT' WHEN 'DIFFERENT' THEN 'UPDATE' ELSE 'DELETE' END AS op,
   k AS o_orderkey, s_o_custkey AS o_custkey, s_o_orderstatus AS o_orderstatus, s_o_totalprice AS o_totalprice,
-  s_o_orderpriority AS o_orderpriority FROM pair WHERE status <> 'MATCH'""")
+  s_o_orderpriority AS o_orderpriority, {_STAMP.format(c='s_o_orderdate')} AS o_orderdate FROM pair WHERE status <> 'MATCH'""")
 def sync_plan_orders(t: Tables):
-    return versioned.sync_plan(orders_diff(t, return_matched=False), ["o_orderkey"]).drop("o_orderdate")
+    plan = versioned.sync_plan(orders_diff(t, return_matched=False), ["o_orderkey"])
+    return plan.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 # After the sync only what counts as equal may still differ from the source.
 @query("apply_sync_orders", f"""WITH {ORDERS_DIFF}
 SELECT k AS o_orderkey, CASE WHEN status = 'MATCH' THEN t_o_custkey ELSE s_o_custkey END AS o_custkey,
   CASE WHEN status = 'MATCH' THEN t_o_orderstatus ELSE s_o_orderstatus END AS o_orderstatus,
-  CASE WHEN status = 'MATCH' THEN t_o_orderpriority ELSE s_o_orderpriority END AS o_orderpriority
+  CASE WHEN status = 'MATCH' THEN t_o_orderpriority ELSE s_o_orderpriority END AS o_orderpriority,
+  CAST(CASE WHEN status = 'MATCH' THEN t_o_totalprice ELSE s_o_totalprice END AS DOUBLE) AS o_totalprice,
+  {_STAMP.format(c="CASE WHEN status = 'MATCH' THEN t_o_orderdate ELSE s_o_orderdate END")} AS o_orderdate
 FROM pair WHERE status <> 'TARGET_ONLY'""")
 def apply_sync_orders(t: Tables):
     path = t.scratch("sync")
@@ -287,7 +290,8 @@ def apply_sync_orders(t: Tables):
         d.row_diff(t.orders, snapshots.read_snapshot(t.spark, path), replace(ORDER_KEY, return_matched=False)),
         ["o_orderkey"])
     versioned.apply_sync(t.spark, path, plan, ["o_orderkey"])
-    return snapshots.read_snapshot(t.spark, path).drop("o_totalprice", "o_orderdate")
+    return snapshots.read_snapshot(t.spark, path).withColumns({
+        "o_totalprice": F.col("o_totalprice").cast("double"), "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")})
 
 
 @query("sync_null_keys", """

@@ -423,18 +423,18 @@ def resolve_recipients_orders(t: Tables):
 @query("fixed_recipients_orders", f"""
 SELECT o_orderkey, chat_id, recipient_phone FROM {{orders}}, (
   SELECT chat_id, phone_number AS recipient_phone FROM ({CONTACTS.replace('{text}', 'VARCHAR')}) WHERE contact_id IN (3, 14)
-  UNION ALL SELECT 'none', '-') WHERE o_totalprice > 490000""")
+  UNION ALL SELECT 'none', '-')""")
 def fixed_recipients_orders(t: Tables):
-    return contacts.fixed_recipients(t.orders.filter("o_totalprice > 490000"), t.sql(CONTACTS.replace("{text}", "STRING")),
+    return contacts.fixed_recipients(t.orders, t.sql(CONTACTS.replace("{text}", "STRING")),
                                      "3, 14;none").select("o_orderkey", "chat_id", "recipient_phone")
 
 
 @query("enrich_by_lookup_orders", """
-SELECT o_custkey, c_name, s_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey
-  JOIN {supplier} ON s_nationkey = c_nationkey WHERE c_acctbal > 8000""")
+SELECT o_custkey, c_name, c_acctbal, n_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+  JOIN {nation} ON n_nationkey = c_nationkey""")
 def enrich_by_lookup_orders(t: Tables):
-    view = t.sql("""SELECT c_custkey AS o_custkey, c_name, s_name FROM {customer} JOIN {supplier} ON s_nationkey = c_nationkey
-      WHERE c_acctbal > 8000""")
+    view = t.sql("""SELECT c_custkey AS o_custkey, c_name, c_acctbal, n_name FROM {customer}
+      JOIN {nation} ON n_nationkey = c_nationkey""")
     return contacts.enrich(t.orders, view, ["o_custkey"])
 
 
