@@ -8,13 +8,14 @@
    compared batch by batch: with ``m`` of ``n`` equal, the posterior of the similarity is
    Beta(m + 1, n - m + 1), and a pair goes as soon as it is at the threshold with a probability
    under ``MISS``. Survivors are verified on the full sets, each class with its best centre first.
-4. Links merge classes into components. A bucket that still holds several components is opened:
-   its members outside the most frequent component are compared with all members, in blocks of
-   signatures, so that no link between different components is left out. These survivors, and the
-   centres not yet tried, are verified exactly as well where they would join two components.
+4. Links merge classes into components. The members of buckets that still hold several
+   components make groups, by the most frequent component; members of other components are
+   compared with all of their group, in blocks, by signatures and then by the full sets, so that
+   no link between different components is left out. Centres not yet tried are verified as well
+   where they would join two components.
 
-A component's links within itself are not all verified, as they would not change it. Work within
-a bucket grows with the members that a centre did not link, not with the square of the bucket.
+A component's links within itself are not all verified, as they would not change it. Work within a
+group grows with its members times those that no centre has linked, not with its square.
 
 Cases: null, empty and blank texts have no set and are linked with nothing; rows that repeat a
 doc_id are each linked by their own text; rows with a null doc_id are linked with nothing and
@@ -179,52 +180,68 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return found.where(F.col("c") == F.col("own")).groupBy("c").agg(F.first("set").alias("set"))
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two full sets (sorted) are alike by so many percent."""
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked, by their full sets."""
     side = lambda name: sets.select(F.col("c").alias(name), F.col("set").alias(f"set_{name}"))
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
 
     def work(batch: pa.RecordBatch) -> list:
-        linked = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            linked.append(100 * shared >= percent * (len(both) - shared))
+        sets = ([np.frombuffer(v.as_buffer(), U64) for v in batch.column(i)] for i in (2, 3))
+        linked = [_linked(x, y, percent) for x, y in zip(*sets)]
         return [batch.column(0), batch.column(1), pa.array(linked, pa.bool_())]
 
     return by_batch(joined, work, "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
-def _open_pairs(members: DataFrame, percent: int, size: int) -> DataFrame:
-    """Survivors between the outsiders of open buckets and all members, compared in blocks.
+def _group_links(members: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links (a, b) between the outsiders of each group and all of its members.
 
-    ``members`` has key, n (size of the bucket), c, label, main (its most frequent label), sig.
+    ``members`` has group (the label most of it has), n (its size), c, label, n_shingles, sig and
+    set. Outsiders, whose label is another, meet all members in blocks: signatures are compared
+    first, survivors by their full sets there and then. One link for each outsider and label is
+    enough, as links are only counted on to join components.
     """
     bounds = least_equal(percent, size)
-    blocks = members.withColumn("block", F.pmod(F.xxhash64("c"), F.ceil(F.col("n") / BLOCK)).cast("int"))
-    packed = F.collect_list(F.struct("c", "label", "n_shingles", "sig"))
-    everyone = blocks.groupBy("key", "block").agg(packed.alias("all_"))
-    outside = blocks.where(F.col("label") != F.col("main")).groupBy("key", F.col("block").alias("other")).agg(packed.alias("out_"))
-
-    def parts(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    count = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = members.withColumn("block", F.pmod(F.xxhash64("c"), count).cast("int"))
+    packed = F.collect_list(F.struct("c", "label", "n_shingles", "sig", "set"))
+    everyone = blocks.groupBy("group", "block").agg(packed.alias("all_"))
+    outside = blocks.where(F.col("label") != F.col("group")).groupBy("group", F.col("block").alias("other")).agg(
+        packed.alias("out_"), F.first("n").alias("n"))
+    # Each block of outsiders goes to each block of its group, so no task gathers a group.
+    outside = outside.select("group", "out_", F.explode(F.sequence(F.lit(0), count - 1)).alias("block"))
+
+    def parts(lists: pa.Array) -> tuple:
         flat = lists.flatten()
-        return (*(np.asarray(flat.field(i)) for i in range(3)), _stack(flat.field(3), size))
+        sets = [np.frombuffer(v.as_buffer(), U64) for v in flat.field(4)]
+        return (*(np.asarray(flat.field(i)) for i in range(3)), _stack(flat.field(3), size), sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                c, label, count, sig = parts(batch.column(0).slice(row, 1))
-                c2, label2, count2, sig2 = parts(batch.column(1).slice(row, 1))
-                fits = 100 * np.minimum(count[:, None], count2) >= percent * np.maximum(count[:, None], count2)
-                i, j = np.nonzero((label[:, None] != label2) & (c[:, None] != c2) & fits)
+                c, label, counts, sig, sets = parts(batch.column(0).slice(row, 1))
+                c2, label2, counts2, sig2, sets2 = parts(batch.column(1).slice(row, 1))
+                fits = 100 * np.minimum(counts[:, None], counts2) >= percent * np.maximum(counts[:, None], counts2)
+                i, j = np.nonzero((label[:, None] != label2) & fits)
                 alive, equal = _agreeing(sig[i], sig2[j], bounds)
-                a, b = c[i[alive]], c2[j[alive]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(equal)], names=["a", "b", "equal"])
+                best = alive[np.argsort(-equal, kind="stable")]
+                found: dict[tuple[int, int], tuple[int, int]] = {}
+                for x, y in zip(i[best].tolist(), j[best].tolist()):
+                    if (x, label2[y]) not in found and _linked(sets[x], sets2[y], percent):
+                        found[x, label2[y]] = int(c[x]), int(c2[y])
+                if found:
+                    a, b = zip(*found.values())
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    joined = outside.join(everyone, "key").select("out_", "all_")
-    return joined.mapInArrow(run, "a long, b long, equal long")
+    return outside.join(everyone, ["group", "block"]).select("out_", "all_").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *others: str, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -250,26 +267,28 @@ def near_duplicates(docs: DataFrame, *others: str, shingle: int = 5, percent: in
     links = written(_verified(best, sets, percent), "verified")
     labels = components(links)
 
-    # Buckets that still hold several components, and centres not yet tried.
+    # Buckets that still hold several components: their members make groups, by the most frequent one.
     label = labels.select(F.col("node").alias("c"), F.col("root").alias("label"))
-    members = buckets.join(centres.where("n > 2").select("key", "n"), "key").join(label, "c", "left")
-    members = written(members.select("key", "n", "c", F.coalesce("label", "c").alias("label")), "members")
-    counted = members.groupBy("key", "label").agg(F.count("*").alias("held"))
-    opened = counted.groupBy("key").agg(F.max_by("label", F.struct("held", "label")).alias("main"), F.count("*").alias("kinds"))
-    inside = members.join(opened.where("kinds > 1").select("key", "main"), "key")
-    inside = inside.join(classes.select("c", "n_shingles", "sig"), "c")
-    more = _open_pairs(inside, percent, size).unionByName(survivors).select("a", "b").distinct()
-    side = lambda name: label.select(F.col("c").alias(name), F.col("label").alias(f"label_{name}"))
-    more = more.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
-    more = written(more.where(apart).select("a", "b").join(links.withColumn("_done", F.lit(True)), ["a", "b"], "left_anti").join(best, ["a", "b"], "left_anti"), "more")
-    lacking = more.select(F.col("a").alias("c")).union(more.select(F.col("b").alias("c"))).distinct().join(sets.select("c"), "c", "left_anti")
-    lacking = written(lacking.join(reps, "c"), "lacking")
+    held = buckets.join(centres.where("n > 2").select("key"), "key").join(label, "c", "left")
+    held = written(held.select("key", "c", F.coalesce("label", "c").alias("label")), "members")
+    counted = held.groupBy("key", "label").agg(F.count("*").alias("n"))
+    opened = counted.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("group"), F.count("*").alias("kinds"))
+    inside = held.join(opened.where("kinds > 1").select("key", "group"), "key").select("group", "c", "label").distinct()
+    inside = written(inside, "groups")
+    lacking = written(inside.select("c").distinct().join(sets.select("c"), "c", "left_anti").join(reps, "c"), "lacking")
     if not lacking.isEmpty():
         sets = sets.unionByName(written(_full_sets(docs, lacking, shingle), "sets"))
+    sizes = inside.groupBy("group").agg(F.count("*").alias("n"))
+    full = inside.join(sizes, "group").join(classes.select("c", "n_shingles", "sig"), "c").join(sets, "c")
+    joining = written(_group_links(full, percent, size), "joining")
+
+    # Centres not yet tried, where they would join two components.
+    side = lambda name: label.select(F.col("c").alias(name), F.col("label").alias(f"label_{name}"))
+    rest = survivors.select("a", "b").join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    rest = written(rest.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"), "rest")
+    more = joining.unionByName(written(_verified(rest, sets, percent), "verified"))
     if not more.isEmpty():
-        links = links.unionByName(written(_verified(more, sets, percent), "verified"))
-        labels = components(links)
+        labels = components(links.unionByName(more))
 
     roots = reps.join(labels.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     roots = written(roots, "roots")
