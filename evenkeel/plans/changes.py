@@ -373,6 +373,43 @@ def resync_missing_orders(t: Tables):
     return snapshots.read_snapshot(t.spark, path).drop("sync_dt", "version", "is_deleted")
 
 
+@query("resync_full_orders", """
+SELECT o_orderkey, o_custkey, o_orderstatus, c_name, c_mktsegment FROM {orders} LEFT JOIN {customer} ON o_custkey = c_custkey""")
+def resync_full_orders(t: Tables):
+    """A target that is out of step is filled anew."""
+    def as_landing(df):
+        return df.withColumns({"version": F.lit(1).cast("long"), "is_deleted": F.lit(False), "ingest_seq": F.lit(1).cast("long")})
+
+    landing = {"orders": as_landing(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")),
+               "customer": as_landing(t.customer.select("c_custkey", "c_name", "c_mktsegment"))}
+    wrong = warehouse.populate(landing, SALES).filter("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("wrong"))
+    return warehouse.resync("full", landing, wrong, SALES).drop("sync_dt", "version", "is_deleted")
+
+
+@query("read_changes_orders", f"SELECT 'cdc_db_sales_orders' AS table_name, * FROM ({_CHANGES})")
+def read_changes_orders(t: Tables):
+    """Messages in files, read as a stream and landed."""
+    path = t.scratch("messages")
+    order_messages(t.orders).write.json(f"{path}/files", ignoreNullFields=False)
+    stream = changes.read_changes(t.spark, f"{path}/files", maxFilesPerTrigger=2)
+    changes.land_changes(stream, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return changes.unwrap_changes(changes.read_landing(t.spark, f"{path}/rows", "cdc_db_sales_orders"), ORDER_ROW, keep=["table_name"])
+
+
+@query("row_or_dead_letter", f"""
+SELECT 'row' AS state, NULL AS error, count(*) AS message_count FROM ({_CHANGES})
+UNION ALL SELECT 'dead', 'value is not JSON', count(*) FROM {{orders}} WHERE o_orderkey % 100 = 2
+UNION ALL SELECT 'dead', 'event does not fit the table', 3 * count(*) FROM {{orders}} WHERE o_orderkey % 9 = 0""")
+def row_or_dead_letter(t: Tables):
+    """Events with a wrong type, without a row, or of another shape are set aside, not lost."""
+    wrong = F.array(F.lit('{"op": "c", "after": {"o_orderkey": "oops"}}'), F.lit('{"op": "c"}'), F.lit("[1]"))
+    misfits = t.orders.filter("o_orderkey % 9 = 0").select(
+        F.lit("server.sales.orders").alias("topic"), F.lit(0).alias("partition"), F.col("o_orderkey").alias("offset"), F.explode(wrong).alias("value"))
+    good, dead = changes.split_bad(order_messages(t.orders).unionByName(misfits), row_schema=ORDER_ROW)
+    rows = changes.unwrap_changes(good, ORDER_ROW).select(F.lit("row").alias("state"), F.lit(None).cast("string").alias("error"))
+    return rows.union(dead.select(F.lit("dead"), "error")).groupBy("state", "error").agg(F.count(F.lit(1)).alias("message_count"))
+
+
 @query("stream_warehouse_orders", """
 SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'F' ELSE 'O' END AS o_orderstatus,
   CASE WHEN o_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS c_name, CAST(NULL AS VARCHAR) AS c_mktsegment FROM {orders} WHERE o_orderkey % 11 <> 0""")

@@ -438,6 +438,22 @@ def enrich_by_lookup_orders(t: Tables):
     return contacts.enrich(t.orders, view, ["o_custkey"])
 
 
+@query("detect_query_keys_lines", """
+SELECT l_orderkey AS my_o_orderkey, count(*) AS row_count FROM {lineitem} GROUP BY 1""")
+def detect_query_keys_lines(t: Tables):
+    """The key of a query's output, found by the name of its table's key."""
+    rows = t.sql("SELECT l_linenumber, l_orderkey AS my_o_orderkey, l_quantity FROM {lineitem}")
+    keys = schema.detect_keys(rows.columns, ["o_orderkey"])
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"))
+
+
+@query("sanitize_columns_customer", """
+SELECT c_custkey AS c_custkey, c_name AS the_name, c_acctbal AS balance FROM {customer}""")
+def sanitize_columns_customer(t: Tables):
+    rows = t.customer.select("c_custkey", F.col("c_name").alias("The Name"), F.col("c_acctbal").alias("Balance"))
+    return csvfiles.sanitize_columns(rows)
+
+
 # ---------------------------------------------------------------- monitoring
 
 

@@ -39,6 +39,14 @@ def route_table(topic: Column, base: str) -> Column:
         .otherwise(topic)
 
 
+def _envelope(row_schema: T.StructType | str) -> str:
+    """The schema of a change event of a table."""
+    row = row_schema if isinstance(row_schema, str) else ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in row_schema.fields)
+    return f"struct<op:string, before:struct<{_as_struct(row)}>, after:struct<{_as_struct(row)}>, " \
+           f"source:struct<lsn:bigint>, ts_ms:bigint"
+
+
 def unwrap_changes(messages: DataFrame, row_schema: T.StructType | str, keep: Sequence[str] = ()) -> DataFrame:
     """Rows of the changed table with ``version`` and ``is_deleted``.
 
@@ -46,10 +54,7 @@ def unwrap_changes(messages: DataFrame, row_schema: T.StructType | str, keep: Se
     dropped. ``version`` is the log position. Unreadable events are dropped here;
     ``split_bad`` sets them aside first.
     """
-    row = row_schema if isinstance(row_schema, str) else ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in row_schema.fields)
-    envelope = f"struct<op:string, before:struct<{_as_struct(row)}>, after:struct<{_as_struct(row)}>, " \
-               f"source:struct<lsn:bigint>, ts_ms:bigint>"
+    envelope = _envelope(row_schema) + ">"
     live = messages.filter(F.col("value").isNotNull() & ~F.col("topic").rlike(rf"^{HEARTBEAT}$"))
     event = live.select(*keep, F.from_json("value", envelope).alias("e"))
     # The generator keeps the parsed event in one place; a filter would move below it and parse again.
@@ -65,19 +70,32 @@ def _as_struct(ddl: str) -> str:
     return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in schema.fields)
 
 
-NOT_JSON = "value is not JSON"
+NOT_JSON, NOT_FITTING = "value is not JSON", "event does not fit the table"
+_CORRUPT = "__corrupt"
 
 
 def _readable() -> Column:
     return F.col("value").isNull() | F.try_parse_json("value").isNotNull()
 
 
-def split_bad(messages: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Messages that are JSON (or tombstones), and dead letters with error and time."""
-    ok = _readable()
-    dead = messages.filter(~ok).withColumns({
-        "error": F.lit(NOT_JSON), "failed_at": now if now is not None else F.now()})
-    return messages.filter(ok), dead
+def split_bad(messages: DataFrame, now: Column | None = None,
+              row_schema: T.StructType | str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Messages that are JSON (or tombstones), and dead letters with error and time.
+
+    With ``row_schema`` events that do not fit the table are dead letters as well: values of
+    another type, and events without a row before or after. Every message that is neither a
+    tombstone nor a keep-alive event is then either a row or a dead letter.
+    """
+    if row_schema is None:
+        error = F.when(~_readable(), F.lit(NOT_JSON))
+    else:
+        event = F.from_json("value", _envelope(row_schema) + f", {_CORRUPT}:string>", {"columnNameOfCorruptRecord": _CORRUPT})
+        apart = F.col("value").isNull() | F.col("topic").rlike(rf"^{HEARTBEAT}$")
+        fits = event[_CORRUPT].isNull() & F.coalesce(event["after"], event["before"]).isNotNull()
+        error = F.when(apart, None).when(~_readable(), NOT_JSON).when(~F.coalesce(fits, F.lit(False)), NOT_FITTING)
+    marked = messages.withColumn("error", error.cast("string"))
+    dead = marked.filter(F.col("error").isNotNull()).withColumn("failed_at", now if now is not None else F.now())
+    return marked.filter(F.col("error").isNull()).drop("error"), dead
 
 
 def replay(dead: DataFrame, repaired: Column | None = None) -> tuple[DataFrame, DataFrame]:
