@@ -6,8 +6,8 @@ with an L1 penalty that chooses few features, then on these without it, and with
 each labelled sentence that names a group, the group's term is swapped for another of its list,
 and the square of the score's change is penalised. A neutral mention then says nothing.
 
-Training takes a bounded sample: ``SAMPLE`` labelled documents with the least hashes of their id.
-Labels are read for training alone; a score depends on the text and the model.
+Training takes a bounded sample: ``SAMPLE`` labelled documents with the least hashes of their id,
+at most a third of them toxic; both kinds weigh the same in all. Labels are read for training alone; a score depends on the text and the model.
 
 Cases: null and empty texts get the score of a text without features; labels that are null or
 not 0 or 1 are left out; of several labels of one id the largest counts; without labels of both
@@ -29,7 +29,7 @@ from evenkeel.llm.shared import by_batch, documents, extended, prepare
 from evenkeel.llm.words import LETTER, Hasher, Spans, chunks, spans
 
 #: The bound of the labelled sample.
-SAMPLE = 12_000
+SAMPLE = 6_000
 TABLE_BITS = 20
 PREFIXES = (4, 5, 6)
 #: A feature of fewer sampled documents gets no weight.
@@ -111,15 +111,17 @@ def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[str, str
     flat = Model(float(np.log(share / (1 - share))), np.zeros(0, np.int64), np.zeros(0))
     if not len(labels) or labels.min() == labels.max():
         return flat
-    held = np.bincount(np.concatenate(rows), minlength=1 << TABLE_BITS)
+    held = np.zeros(1 << TABLE_BITS, np.int32)
+    for places in rows:  # distinct within a document
+        held[places] += 1
     known = np.flatnonzero((held >= LEAST_DOCUMENTS) & (held <= len(rows) // 2 + LEAST_DOCUMENTS))
     if not len(known):
         return flat
-    number = np.full(1 << TABLE_BITS, -1)
+    number = np.full(1 << TABLE_BITS, -1, np.int32)
     number[known] = np.arange(len(known))
-    cols = number[np.concatenate(rows)]
-    docs = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    docs, cols = docs[cols >= 0], cols[cols >= 0]
+    parts = [number[places] for places in rows]
+    parts = [p[p >= 0] for p in parts]
+    cols, docs = np.concatenate(parts), np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p in parts])
     # A swap's change of the score: weights of the new features less those of the old.
     sides = [features_of([p[s] for p in pairs]) for s in (0, 1)] if pairs else [[], []]
     change = [(k, c, sign) for sign, side in zip((-1.0, 1.0), sides) for k, places in enumerate(side) for c in number[places] if c >= 0]
@@ -130,7 +132,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[str, str
 
     def descend(open_: np.ndarray, l1: float, l2: float) -> tuple[np.ndarray, float]:
         """Accelerated proximal gradients over the features that are open."""
-        d, c = docs[open_[cols]], cols[open_[cols]]
+        d, c = (docs, cols) if open_.all() else (docs[open_[cols]], cols[open_[cols]])
         size = np.sqrt(np.bincount(d, minlength=n).max() + 1)
         step = 1 / (0.25 * size + penalty * 4 + l2)
         w, bias = np.zeros(len(known)), 0.0
@@ -163,7 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None) -> Model:
         labels = labels.where(use)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(SAMPLE)
+    least = lambda kind, n: known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(n)
+    sample = least(1, SAMPLE // 3).union(least(0, SAMPLE - SAMPLE // 3))
     texts = documents(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
 
     def gather(batch: pa.RecordBatch) -> list:
