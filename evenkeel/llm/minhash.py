@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.components import components
-from evenkeel.llm.shared import by_batch, documents, extended, prepare
+from evenkeel.llm.components import components, steps_down
+from evenkeel.llm.shared import Scratch, by_batch, documents, extended, prepare
 from evenkeel.llm.words import LOWER, U64, WORD, Chunk, Hasher, chunks, mix, spans, windows
 from evenkeel.session import written
 
@@ -247,53 +247,53 @@ def _group_links(members: DataFrame, percent: int, size: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, *others: str, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row, and other columns."""
     prepare(docs.sparkSession)
-    size = bands_for(percent) * ROWS
+    size, scratch = bands_for(percent) * ROWS, Scratch(docs.sparkSession)
     # Other columns travel in one struct, so that none clashes with a column of ours.
     docs = documents(docs).withColumn("_others", F.lit(0)) if not others else docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("_others"))
     rows = written(signatures(docs, shingle, percent, "_others"), "signatures")
     known = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = written(known.groupBy("c", "d", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    classes = scratch.written(known.groupBy("c", "d", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     reps = classes.select("c", "rep")
     buckets = _buckets(classes, size)
-    centres = written(buckets.groupBy("key").agg(F.min("c").alias("b"), F.count("*").alias("n")).where("n > 1"), "centres")
+    centres = scratch.written(buckets.groupBy("key").agg(F.min("c").alias("b"), F.count("*").alias("n")).where("n > 1"), "centres")
     pairs = buckets.withColumnRenamed("c", "a").join(centres.select("key", "b"), "key").where("a != b")
-    survivors = written(_survivors(pairs.groupBy("a", "b").agg(F.count("*").alias("bands")).drop("bands"), classes, percent, size), "survivors")
+    survivors = scratch.written(_survivors(pairs.groupBy("a", "b").agg(F.count("*").alias("bands")).drop("bands"), classes, percent, size), "survivors")
 
     # Each class with its best centre first.
     best = survivors.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
     involved = survivors.select(F.col("a").alias("c")).union(survivors.select(F.col("b").alias("c"))).distinct()
-    sets = written(_full_sets(docs, involved.join(reps, "c"), shingle), "sets")
-    links = written(_verified(best, sets, percent), "verified")
-    labels = components(links)
+    sets = scratch.written(_full_sets(docs, involved.join(reps, "c"), shingle), "sets")
+    links = scratch.written(_verified(best, sets, percent), "verified")
 
-    # Buckets that still hold several components: their members make groups, by the most frequent one.
-    label = labels.select(F.col("node").alias("c"), F.col("root").alias("label"))
+    # Buckets that still hold several parts: their members make groups, by the most frequent one.
+    # A few steps from centre to centre tell most parts; a part told twice is only compared again.
+    tied = steps_down(links.select(F.col("a").alias("node"), F.col("b").alias("parent")), 3)
+    label = scratch.written(tied.select(F.col("node").alias("c"), F.col("parent").alias("label")), "labels")
     held = buckets.join(centres.where("n > 2").select("key"), "key").join(label, "c", "left")
-    held = written(held.select("key", "c", F.coalesce("label", "c").alias("label")), "members")
+    held = scratch.written(held.select("key", "c", F.coalesce("label", "c").alias("label")), "members")
     counted = held.groupBy("key", "label").agg(F.count("*").alias("n"))
     opened = counted.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("group"), F.count("*").alias("kinds"))
     inside = held.join(opened.where("kinds > 1").select("key", "group"), "key").select("group", "c", "label").distinct()
-    inside = written(inside, "groups")
-    lacking = written(inside.select("c").distinct().join(sets.select("c"), "c", "left_anti").join(reps, "c"), "lacking")
+    inside = scratch.written(inside, "groups")
+    lacking = scratch.written(inside.select("c").distinct().join(sets.select("c"), "c", "left_anti").join(reps, "c"), "lacking")
     if not lacking.isEmpty():
-        sets = sets.unionByName(written(_full_sets(docs, lacking, shingle), "sets"))
+        sets = sets.unionByName(scratch.written(_full_sets(docs, lacking, shingle), "sets"))
     sizes = inside.groupBy("group").agg(F.count("*").alias("n"))
     full = inside.join(sizes, "group").join(classes.select("c", "n_shingles", "sig"), "c").join(sets, "c")
-    joining = written(_group_links(full, percent, size), "joining")
+    joining = scratch.written(_group_links(full, percent, size), "joining")
 
     # Centres not yet tried, where they would join two components.
     side = lambda name: label.select(F.col("c").alias(name), F.col("label").alias(f"label_{name}"))
     rest = survivors.select("a", "b").join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rest = written(rest.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"), "rest")
-    more = joining.unionByName(written(_verified(rest, sets, percent), "verified"))
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    rest = scratch.written(rest.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"), "rest")
+    labels = components(links.unionByName(joining).unionByName(_verified(rest, sets, percent)))
 
     roots = reps.join(labels.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    roots = written(roots, "roots")
+    roots = scratch.written(roots, "roots")
     least = roots.groupBy("root").agg(F.min("rep").alias("component"))
-    found = written(roots.join(written(least, "least"), "root").select("c", "component"), "components")
+    found = written(roots.join(scratch.written(least, "least"), "root").select("c", "component"), "components")
+    scratch.drop()  # the result reads only the signatures and the components
     linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c"))
     out = rows.withColumn("c", linked).join(found, "c", "left")
     component = F.coalesce("component", "doc_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from evenkeel.session import send_package
+from evenkeel.session import ensure_checkpoint_dir, send_package
 
 #: Rows of one Arrow batch. Batches with long documents are cut further by ``words.chunks``.
 BATCH_ROWS = 256
@@ -24,6 +25,26 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+class Scratch:
+    """Tables written once to the shared folder, removed when the result no longer needs them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{ensure_checkpoint_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Remove the tables; nothing that is still to be computed may read them."""
+        for path in self.paths:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = []
+
+
 def documents(df: DataFrame, *others: str) -> DataFrame:
     """The columns the operators read: ``doc_id`` and ``text``, whatever else the table has.
 
