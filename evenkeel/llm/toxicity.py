@@ -6,8 +6,9 @@ with an L1 penalty that chooses few features, then on these without it, and with
 each labelled sentence that names a group, the group's term is swapped for another of its list,
 and the square of the score's change is penalised. A neutral mention then says nothing.
 
-Training takes a bounded sample: ``SAMPLE`` labelled documents with the least hashes of their id,
-at most a third of them toxic; both kinds weigh the same in all. Labels are read for training alone; a score depends on the text and the model.
+Training takes a bounded sample: ``SAMPLE`` labelled documents with the least hashes of their id;
+both kinds weigh the same in all. Features of fewer than ``LEAST_DOCUMENTS`` of them are dropped in
+Spark. Labels are read for training alone; a score depends on the text and the model.
 
 Cases: null and empty texts get the score of a text without features; labels that are null or
 not 0 or 1 are left out; of several labels of one id the largest counts; without labels of both
@@ -17,6 +18,7 @@ scored each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -29,9 +31,11 @@ from evenkeel.llm.shared import by_batch, documents, extended, prepare
 from evenkeel.llm.words import LETTER, Hasher, Spans, chunks, spans
 
 #: The bound of the labelled sample.
-SAMPLE = 6_000
+SAMPLE = 12_000
 TABLE_BITS = 20
 PREFIXES = (4, 5, 6)
+#: Pairs of a document and a feature that one step of training holds as numbers.
+PART = 1 << 20
 #: A feature of fewer sampled documents gets no weight.
 LEAST_DOCUMENTS = 4
 L1, L2, COUNTERFACTUAL, ROUNDS = 2e-3, 1e-4, 1.0, 300
@@ -82,10 +86,10 @@ def _by_document(column: pa.Array, wanted: np.ndarray | None = None):
         yield chunk.first, chunk.last - chunk.first, pairs >> TABLE_BITS, pairs & ((1 << TABLE_BITS) - 1)
 
 
-def features_of(texts: list[str | None]) -> list[np.ndarray]:
-    """The distinct features of each text."""
+def features_of(texts: list[str | None] | pa.Array, wanted: np.ndarray | None = None) -> list[np.ndarray]:
+    """The distinct features of each text, all or the wanted ones."""
     out: list[np.ndarray] = []
-    for _, n, docs, places in _by_document(pa.array(texts, pa.string())):
+    for _, n, docs, places in _by_document(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, wanted):
         out += np.split(places, np.searchsorted(docs, np.arange(1, n)))
     return out
 
@@ -127,6 +131,14 @@ def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[str, str
     change = [(k, c, sign) for sign, side in zip((-1.0, 1.0), sides) for k, places in enumerate(side) for c in number[places] if c >= 0]
     pair, pair_col, pair_sign = (np.array(x) for x in zip(*change)) if change else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
     n = len(labels)
+
+    def added(to: np.ndarray, values: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+        """The sums of ``values[of]`` by ``to``, a part of the pairs at a time."""
+        out = np.zeros(size)
+        for a in range(0, len(to), PART):
+            out += np.bincount(to[a:a + PART], values[of[a:a + PART]], size)
+        return out
+
     # Both kinds weigh the same in all.
     weight = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (n - labels.sum()))
 
@@ -138,9 +150,9 @@ def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[str, str
         w, bias = np.zeros(len(known)), 0.0
         y, y_bias, t = w, bias, 1.0
         for _ in range(ROUNDS):
-            score = y_bias + np.bincount(d, y[c], n)
+            score = y_bias + added(d, y, c, n)
             error = weight * (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels)
-            gradient = np.bincount(c, error[d], len(known)) + l2 * y
+            gradient = added(c, error, d, len(known)) + l2 * y
             if len(pair):
                 moved = np.bincount(pair, y[pair_col] * pair_sign, len(pairs))
                 gradient += penalty * np.bincount(pair_col, moved[pair] * pair_sign, len(known)) / len(pairs)
@@ -158,6 +170,21 @@ def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[str, str
     return Model(float(b), known[used], w[used])
 
 
+def _count_features(texts: DataFrame) -> DataFrame:
+    """``place`` and ``n``: the texts that have each feature; each task adds up its own texts first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << TABLE_BITS, np.int64)
+        for batch in batches:
+            for _, _, _, places in _by_document(batch.column(1)):
+                counts += np.bincount(places, minlength=len(counts))
+        held = np.flatnonzero(counts)
+        for a in range(0, len(held), 1 << 16):
+            part = held[a:a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["place", "n"])
+
+    return texts.mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None) -> Model:
     """Train on a bounded sample of labelled documents; ``use`` says which ids may be learned from."""
     prepare(docs.sparkSession)
@@ -165,18 +192,22 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None) -> Model:
         labels = labels.where(use)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    least = lambda kind, n: known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(n)
-    sample = least(1, SAMPLE // 3).union(least(0, SAMPLE - SAMPLE // 3))
+    sample = known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(SAMPLE)
     texts = documents(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
 
+    wanted = np.zeros(1 << TABLE_BITS, bool)
+    wanted[_count_features(texts).where(F.col("n") >= LEAST_DOCUMENTS).toArrow().column("place").to_numpy()] = True
+
     def gather(batch: pa.RecordBatch) -> list:
         held = batch.column(1).to_pylist()
-        return [batch.column(0), batch.column(2), pa.array([p.astype("<i4").tobytes() for p in features_of(held)], pa.binary()),
+        return [batch.column(0), batch.column(2), pa.array([p.astype("<i4").tobytes() for p in features_of(batch.column(1), wanted)], pa.binary()),
                 pa.array([[x for pair in swaps([t], 8) for x in pair] for t in held], pa.list_(pa.string()))]
 
-    rows = sorted(by_batch(texts, gather, "doc_id long, toxic int, places binary, swapped array<string>").collect(), key=lambda r: (r[0], r[2]))
-    pairs = [(r["swapped"][i], r["swapped"][i + 1]) for r in rows for i in range(0, len(r["swapped"]), 2)]
-    return train([np.frombuffer(r["places"], "<i4") for r in rows], np.array([r["toxic"] for r in rows]), pairs[:SENTENCES])
+    found = by_batch(texts, gather, "doc_id long, toxic int, places binary, swapped array<string>").toArrow()
+    found = found.take(pc.sort_indices(found, [("doc_id", "ascending"), ("places", "ascending")]))
+    pairs = [(p[i], p[i + 1]) for p in found.column("swapped").to_pylist() for i in range(0, len(p), 2)]
+    rows = [np.frombuffer(p.as_buffer(), "<i4") for p in found.column("places")]
+    return train(rows, found.column("toxic").to_numpy(), pairs[:SENTENCES])
 
 
 def score_texts(model: Model, column: pa.Array) -> np.ndarray:

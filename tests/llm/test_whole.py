@@ -5,7 +5,7 @@ import collections
 import numpy as np
 import pytest
 
-from evenkeel.llm import masked_lm
+from evenkeel.llm import masked_lm, toxicity
 
 
 def test_rare_words_are_scored_as_themselves(spark, monkeypatch):
@@ -32,3 +32,21 @@ def test_rare_words_are_scored_as_themselves(spark, monkeypatch):
         for key, more in want.items():
             assert got[key] - plain[key] == pytest.approx(more, abs=1e-5), key
     assert got[2, 3] / 3 > got[3, 1]
+
+
+def test_toxicity_learns_from_twelve_thousand_labels(spark, monkeypatch):
+    """All of 9000 labelled documents are learned from, also if most are toxic; rarer features stay behind."""
+    n, seen = 9_000, {}
+    texts = [(i, f"{'awful' if i % 3 else 'lovely'} {'late' if i == 8_999 else 'day'} word{i % 50}x") for i in range(n)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(n)], "doc_id long, toxic int")
+    kept = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda rows, marks, *rest: seen.update(rows=rows, marks=marks) or kept(rows, marks, *rest))
+    model = toxicity.fit(docs, labels)
+    assert len(seen["rows"]) == n and seen["marks"].sum() == 6_000
+    every = toxicity.features_of([t for _, t in texts])
+    held = np.bincount(np.concatenate(every), minlength=1 << toxicity.TABLE_BITS)
+    for got, all_ in zip(seen["rows"], every):
+        assert got.tolist() == [p for p in all_.tolist() if held[p] >= toxicity.LEAST_DOCUMENTS]
+    whole = kept(every, np.array([int(i % 3 > 0) for i in range(n)]))
+    assert model.features.tolist() == whole.features.tolist() and model.weights == pytest.approx(whole.weights)
