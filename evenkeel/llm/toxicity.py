@@ -3,8 +3,10 @@
 Features are the words of a text and their first letters (4, 5 and 6 bytes), hashed into a
 fixed table; a feature counts once however often it occurs. A logistic model is trained in numpy
 with an L1 penalty that chooses few features, then on these without it, and with a counterfactual penalty: in
-each labelled sentence that names a group, the group's term is swapped for another of its list,
-and the square of the score's change is penalised. A neutral mention then says nothing.
+each sentence of the sample that names a group, the group's term is swapped for every other of its
+list, and the square of the score's change is penalised. A neutral mention then says nothing. All
+mentions count: Spark adds up equal changes of features, which are few, as only the features of the
+two terms can change. Without a mention in the sample there is no penalty.
 
 Training takes a bounded sample: ``SAMPLE`` labelled documents with the least hashes of their id;
 both kinds weigh the same in all. Features of fewer than ``LEAST_DOCUMENTS`` of them are dropped in
@@ -18,7 +20,8 @@ scored each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
 import numpy as np
@@ -39,8 +42,6 @@ PART = 1 << 20
 #: A feature of fewer sampled documents gets no weight.
 LEAST_DOCUMENTS = 4
 L1, L2, COUNTERFACTUAL, ROUNDS = 2e-3, 1e-4, 1.0, 300
-#: Sentences with a group's term that are kept for the counterfactual penalty.
-SENTENCES = 4_000
 
 #: Terms that name groups of people; those of one list are swapped for each other.
 IDENTITIES = (
@@ -53,6 +54,12 @@ IDENTITIES = (
 )
 
 
+#: The other terms of each term's list.
+OTHERS = {t: tuple(o for o in terms if o != t) for terms in IDENTITIES for t in terms}
+#: The features that a sentence loses and gains by a swap.
+Change = tuple[tuple[int, ...], tuple[int, ...]]
+
+
 class Model(NamedTuple):
     """Weights of the features that have one, by their place in the table."""
 
@@ -94,23 +101,52 @@ def features_of(texts: list[str | None] | pa.Array, wanted: np.ndarray | None =
     return out
 
 
-def swaps(texts: list[str | None], most: int = SENTENCES) -> list[tuple[str, str]]:
-    """Sentences that name a group, each with the same sentence about another group."""
-    lists = {t: terms for terms in IDENTITIES for t in terms}
+def _sentences(text: str | None) -> list[list[str]]:
+    """The words of each sentence, in small letters."""
+    return [sentence.lower().split() for sentence in (text or "").replace("\n", ". ").split(". ")]
+
+
+def _term(word: str) -> str:
+    return word.strip(".,;:!?\"'()")
+
+
+def swaps(texts: list[str | None]) -> list[tuple[str, str]]:
+    """Sentences that name a group, each with the same sentence about every other group of its list."""
     out = []
     for text in texts:
-        for sentence in (text or "").replace("\n", ". ").split(". "):
-            words = sentence.lower().split()
+        for words in _sentences(text):
             for i, word in enumerate(words):
-                terms = lists.get(word.strip(".,;:!?\"'()"))
-                if terms and len(out) < most:
-                    other = terms[(terms.index(word.strip(".,;:!?\"'()")) + 1) % len(terms)]
+                for other in OTHERS.get(_term(word), ()):
                     out.append((" ".join(words), " ".join([*words[:i], other, *words[i + 1:]])))
     return out
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[str, str]] = (), penalty: float = COUNTERFACTUAL) -> Model:
-    """Fit the model to distinct features and 0/1 labels; ``pairs`` are sentences and their swaps."""
+def changes(texts: list[str | None]) -> Counter[Change]:
+    """How often a swap makes a sentence lose and gain the same features, over all mentions.
+
+    The same as the features of ``swaps``, without a copy of the sentence for each.
+    """
+    out: Counter[Change] = Counter()
+    for text in texts:
+        for words in _sentences(text):
+            named = [w for w in words if _term(w) in OTHERS]
+            if not named:
+                continue
+            kinds = list({*words, *(o for w in named for o in OTHERS[_term(w)])})
+            features = {w: frozenset(p.tolist()) for w, p in zip(kinds, features_of(kinds))}
+            times: Counter[int] = Counter()
+            for word, n in Counter(words).items():
+                times.update(dict.fromkeys(features[word], n))
+            for word, n in Counter(named).items():
+                own = features[word]
+                for other in OTHERS[_term(word)]:
+                    alone = lambda places: tuple(sorted(p for p in places if times[p] == (p in own)))  # noqa: E731, B023
+                    out[alone(own - features[other]), alone(features[other] - own)] += n
+    return out
+
+
+def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[str, str]] | Mapping[Change, int] = (), penalty: float = COUNTERFACTUAL) -> Model:
+    """Fit the model to distinct features and 0/1 labels; ``pairs`` are sentences and their swaps, or ``changes``."""
     share = float((labels.sum() + 0.5) / (len(labels) + 1)) if len(labels) else 0.1
     flat = Model(float(np.log(share / (1 - share))), np.zeros(0, np.int64), np.zeros(0))
     if not len(labels) or labels.min() == labels.max():
@@ -127,8 +163,11 @@ def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[str, str
     parts = [p[p >= 0] for p in parts]
     cols, docs = np.concatenate(parts), np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p in parts])
     # A swap's change of the score: weights of the new features less those of the old.
-    sides = [features_of([p[s] for p in pairs]) for s in (0, 1)] if pairs else [[], []]
-    change = [(k, c, sign) for sign, side in zip((-1.0, 1.0), sides) for k, places in enumerate(side) for c in number[places] if c >= 0]
+    if not isinstance(pairs, Mapping):
+        sides = [[set(p.tolist()) for p in features_of([pair[s] for pair in pairs])] for s in (0, 1)] if pairs else [[], []]
+        pairs = Counter((tuple(sorted(a - b)), tuple(sorted(b - a))) for a, b in zip(*sides))
+    times = np.array([pairs[k] for k in sorted(pairs)], float)
+    change = [(k, number[p], sign) for k, lost_gained in enumerate(sorted(pairs)) for sign, side in zip((-1.0, 1.0), lost_gained) for p in side if number[p] >= 0]
     pair, pair_col, pair_sign = (np.array(x) for x in zip(*change)) if change else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
     n = len(labels)
 
@@ -154,8 +193,8 @@ def train(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[str, str
             error = weight * (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels)
             gradient = added(c, error, d, len(known)) + l2 * y
             if len(pair):
-                moved = np.bincount(pair, y[pair_col] * pair_sign, len(pairs))
-                gradient += penalty * np.bincount(pair_col, moved[pair] * pair_sign, len(known)) / len(pairs)
+                moved = np.bincount(pair, y[pair_col] * pair_sign, len(times)) * times
+                gradient += penalty * np.bincount(pair_col, moved[pair] * pair_sign, len(known)) / times.sum()
             new = y - step * gradient
             new = np.where(open_, np.sign(new) * np.maximum(0, np.abs(new) - step * l1), 0)
             new_bias = y_bias - step * error.sum()
@@ -185,6 +224,21 @@ def _count_features(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
 
 
+def _count_changes(texts: DataFrame) -> Counter[Change]:
+    """``changes`` of all texts; a record for each that differs goes to the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[Change] = Counter()
+        for batch in batches:
+            held.update(changes(batch.column(1).to_pylist()))
+        if held:
+            lost, gained = zip(*held)
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(lost, kind), pa.array(gained, kind), pa.array(list(held.values()), pa.int64())], names=["lost", "gained", "n"])
+
+    found = texts.mapInArrow(run, "lost array<int>, gained array<int>, n long").groupBy("lost", "gained").agg(F.sum("n").alias("n"))
+    return Counter({(tuple(r["lost"]), tuple(r["gained"])): r["n"] for r in found.collect()})
+
+
 def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None) -> Model:
     """Train on a bounded sample of labelled documents; ``use`` says which ids may be learned from."""
     prepare(docs.sparkSession)
@@ -199,15 +253,13 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None) -> Model:
     wanted[_count_features(texts).where(F.col("n") >= LEAST_DOCUMENTS).toArrow().column("place").to_numpy()] = True
 
     def gather(batch: pa.RecordBatch) -> list:
-        held = batch.column(1).to_pylist()
-        return [batch.column(0), batch.column(2), pa.array([p.astype("<i4").tobytes() for p in features_of(batch.column(1), wanted)], pa.binary()),
-                pa.array([[x for pair in swaps([t], 8) for x in pair] for t in held], pa.list_(pa.string()))]
+        places = [p.astype("<i4").tobytes() for p in features_of(batch.column(1), wanted)]
+        return [batch.column(0), batch.column(2), pa.array(places, pa.binary())]
 
-    found = by_batch(texts, gather, "doc_id long, toxic int, places binary, swapped array<string>").toArrow()
+    found = by_batch(texts, gather, "doc_id long, toxic int, places binary").toArrow()
     found = found.take(pc.sort_indices(found, [("doc_id", "ascending"), ("places", "ascending")]))
-    pairs = [(p[i], p[i + 1]) for p in found.column("swapped").to_pylist() for i in range(0, len(p), 2)]
     rows = [np.frombuffer(p.as_buffer(), "<i4") for p in found.column("places")]
-    return train(rows, found.column("toxic").to_numpy(), pairs[:SENTENCES])
+    return train(rows, found.column("toxic").to_numpy(), _count_changes(texts))
 
 
 def score_texts(model: Model, column: pa.Array) -> np.ndarray:

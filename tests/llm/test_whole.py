@@ -50,3 +50,28 @@ def test_toxicity_learns_from_twelve_thousand_labels(spark, monkeypatch):
         assert got.tolist() == [p for p in all_.tolist() if held[p] >= toxicity.LEAST_DOCUMENTS]
     whole = kept(every, np.array([int(i % 3 > 0) for i in range(n)]))
     assert model.features.tolist() == whole.features.tolist() and model.weights == pytest.approx(whole.weights)
+
+
+def test_every_mention_is_swapped_for_every_other_term(spark, monkeypatch):
+    """Mentions late in a text and in late documents count, and equal the features of whole sentences."""
+    texts = ["women spoke. " * 30 + "Then, muslim muslimness men came to women!\nold 'old' gay women", "nobody", None,
+             "women and men and hombres, (White) whitewash", "blind deaf"]
+    want = collections.Counter()
+    for a, b in toxicity.swaps(texts):
+        old, new = (set(p.tolist()) for p in toxicity.features_of([a, b]))
+        want[tuple(sorted(old - new)), tuple(sorted(new - old))] += 1
+    assert toxicity.changes(texts) == want
+    assert sum(want.values()) == (33 + 3) * 7 + 6 + 2 * 4 + 4 + 7 + 2 * 4
+    seen = {}
+    monkeypatch.setattr(toxicity, "train", lambda rows, marks, pairs: seen.update(pairs=pairs))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 300)], "doc_id long, text string")
+    toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(len(texts) * 300)], "doc_id long, toxic int"))
+    assert seen["pairs"] == {k: 300 * n for k, n in want.items()}
+
+
+def test_penalty_of_changes_is_that_of_sentences():
+    texts = [f"{w} are {k}" for w in ("women", "men", "gay", "muslim") for k in ("awful awfully", "lovely", "here")] * 5
+    marks = np.array(["awful" in t or "women" in t for t in texts], int)
+    rows = toxicity.features_of(texts)
+    by_sentence, by_change = (toxicity.train(rows, marks, p) for p in (toxicity.swaps(texts), toxicity.changes(texts)))
+    assert by_sentence.features.tolist() == by_change.features.tolist() and by_sentence.weights == pytest.approx(by_change.weights)
