@@ -4,7 +4,9 @@ A text's lines are a sequence. Each line has binary features (length, shares of
 digits and repeated words, closing sign, equal to an earlier line, ...), and the field scores a
 labelling by the features of each line and by the pairs of labels of neighbouring lines. It is
 trained by its exact likelihood (forward and backward sums, in numpy) on a bounded sample of
-``SAMPLE`` documents with a quality label, whose lines all take the label of their document.
+``SAMPLE`` documents with a quality label, whose lines, all of them, take the label of their document.
+The driver holds 3 bytes of features a line, equal lines have one row in training, and a text of
+very many lines is summed in stretches of ``STRETCH`` side by side.
 Viterbi decoding finds the best labelling of every document; those are kept whose content lines
 hold at least ``SHARE`` of their words.
 
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 from evenkeel.llm.shared import by_batch, documents, extended, prepare
 from evenkeel.llm.words import U64, WORD, Chunk, Hasher, chunks, cover, mix, spans, table, windows
 
-#: The bound of the labelled sample, and of the lines taken from each of its documents.
-SAMPLE, SAMPLE_LINES = 4_000, 200
+#: The bound of the labelled sample; all lines of its documents are taken.
+SAMPLE = 4_000
 SHARE = 0.5
 ROUNDS, STEP, L2 = 250, 0.5, 1e-4
+#: Longer sequences are summed in stretches of so many lines, joined by their 2 x 2 sums.
+STRETCH = 512
 
 SYMBOL = table(b"#*$%&|<>", False)
 BREAK = table(b"\n", True)
@@ -160,29 +164,52 @@ def train(features: np.ndarray, labels: np.ndarray, first: np.ndarray) -> Field:
     n_docs = len(first) - 1
     if not n_docs or labels.min() == labels.max():
         return Field(emit, move)
-    steps = list(_by_step(first))
+    cuts = np.concatenate([np.arange(a, b, STRETCH) for a, b in zip(first, first[1:])] + [first[-1:]])
+    steps, of_doc = list(_by_step(cuts)), np.searchsorted(cuts, first)
+    opens = np.zeros(len(cuts) - 1, bool)  # stretches that begin a document
+    opens[of_doc[:-1]] = True
+    later, chain = np.flatnonzero(~opens), list(_by_step(of_doc))
+    long = np.repeat(np.diff(of_doc) > 1, np.diff(of_doc))
+    inner = [(live[long[live]], at[long[live]]) for live, at in steps] if len(later) else []
+    follows = [at for _, at in steps[1:]] + ([cuts[later]] if len(later) else [])
     lengths = np.repeat(np.diff(first), np.diff(first))
     weight = 1 / lengths  # each document counts once
     kind = np.where(labels == 1, 1 / max(1.0, (weight * labels).sum()), 1 / max(1.0, (weight * (1 - labels)).sum())) * n_docs / 2
     weight = weight * kind
     seen = np.zeros((2, 2))
-    for (_, at) in steps[1:]:
+    for at in follows:
         np.add.at(seen, (labels[at - 1], labels[at]), weight[at])
-    x = features.astype(float)
+    # Equal lines share a row of features.
+    packed = np.packbits(features, axis=1)
+    packed = np.ascontiguousarray(packed).view(np.dtype((np.void, packed.shape[1]))).ravel()
+    _, one, row = np.unique(packed, return_index=True, return_inverse=True)
+    x, row = features[one].astype(float), row.astype(np.int32)
     emit_sum, move_sum = np.full(len(emit), 1e-8), np.full((2, 2), 1e-8)
     for _ in range(ROUNDS):
-        score = np.zeros((len(x), 2))
-        score[:, 1] = x @ emit
+        score = np.zeros((len(features), 2))
+        score[:, 1] = (x @ emit)[row]
         alpha, beta = score.copy(), np.zeros_like(score)
+        if len(later):
+            sums = np.zeros((len(opens), 2, 2))  # over a stretch, by the label before it and its last
+            for k, (live, at) in enumerate(inner):
+                paths = np.where((opens[live] & (k == 0))[:, None, None], 0.0, move) + score[at][:, None, :]
+                sums[live] = np.logaddexp.reduce(sums[live][:, :, :, None] + paths[:, None], axis=2) if k else paths
+            before, after = np.where(opens[:, None], [0.0, -np.inf], 0.0), np.zeros((len(opens), 2))
+            for _, part in chain[1:]:
+                before[part] = np.logaddexp.reduce(before[part - 1][:, :, None] + sums[part - 1], axis=1)
+            for _, part in reversed(chain[1:]):
+                after[part - 1] = np.logaddexp.reduce(sums[part] + after[part][:, None, :], axis=2)
+            alpha[cuts[later]] += np.logaddexp.reduce(before[later][:, :, None] + move, axis=1)
+            beta[cuts[1:] - 1] = after
         for _, at in steps[1:]:
             alpha[at] += np.logaddexp.reduce(alpha[at - 1][:, :, None] + move, axis=1)
         for _, at in reversed(steps[1:]):
             beta[at - 1] = np.logaddexp.reduce(move[None] + (score[at] + beta[at])[:, None, :], axis=2)
         total = np.logaddexp.reduce(alpha + beta, axis=1)
         content = np.exp(alpha[:, 1] + beta[:, 1] - total)
-        gradient = x.T @ (weight * (labels - content)) / n_docs - L2 * emit
+        gradient = x.T @ np.bincount(row, weight * (labels - content), len(x)) / n_docs - L2 * emit
         expected = np.zeros((2, 2))
-        for _, at in steps[1:]:
+        for at in follows:
             pair = alpha[at - 1][:, :, None] + move + (score[at] + beta[at])[:, None, :] - total[at][:, None, None]
             expected += (np.exp(pair) * weight[at][:, None, None]).sum(axis=0)
         move_gradient = (seen - expected) / n_docs - L2 * move
@@ -207,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
         for chunk in chunks(batch.column(1)):
             found = measure(chunk)
             for a, b in zip(found.first, found.first[1:]):
-                lines.append(np.packbits(found.features[a:min(b, a + SAMPLE_LINES)], axis=1).tobytes())
+                lines.append(np.packbits(found.features[a:b], axis=1).tobytes())
         return [batch.column(0), batch.column(2), pa.array(lines, pa.binary())]
 
     rows = sorted(by_batch(texts, gather, "doc_id long, quality int, lines binary").collect())

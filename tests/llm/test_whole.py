@@ -5,7 +5,7 @@ import collections
 import numpy as np
 import pytest
 
-from evenkeel.llm import masked_lm, toxicity
+from evenkeel.llm import line_crf, masked_lm, toxicity
 
 
 def test_rare_words_are_scored_as_themselves(spark, monkeypatch):
@@ -75,3 +75,25 @@ def test_penalty_of_changes_is_that_of_sentences():
     rows = toxicity.features_of(texts)
     by_sentence, by_change = (toxicity.train(rows, marks, p) for p in (toxicity.swaps(texts), toxicity.changes(texts)))
     assert by_sentence.features.tolist() == by_change.features.tolist() and by_sentence.weights == pytest.approx(by_change.weights)
+
+
+def test_field_learns_from_all_lines(spark, monkeypatch):
+    """Lines after the first 200 count, and a long text's lines are summed exactly in stretches."""
+    clean, junk = "This is a plain sentence of words.", "### $$$ ||| 000"
+    texts = [(i, "\n".join([clean] * 250 + [junk] * 400 if i % 2 else [clean] * (3 + i))) for i in range(8)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(8)], "doc_id long, quality int")
+    seen, kept = {}, line_crf.train
+    monkeypatch.setattr(line_crf, "train", lambda *given: seen.update(given=given) or kept(*given))
+    field = line_crf.fit(docs, labels)
+    features, marks, first = seen["given"]
+    assert np.diff(first).tolist() == [t.count("\n") + 1 for _, t in texts]
+    judged = {r["doc_id"]: r["content_words"] for r in line_crf.judge(docs, field).collect()}
+    assert judged[0] == 3 * 7 and judged[1] < 250 * 7 + 400 * 4
+    for stretch in (1, 7, 1 << 20):
+        monkeypatch.setattr(line_crf, "STRETCH", stretch)
+        monkeypatch.setattr(line_crf, "ROUNDS", 20)
+        got = kept(features, marks, first)
+        monkeypatch.setattr(line_crf, "STRETCH", 512)
+        want = kept(features, marks, first)
+        assert got.emit == pytest.approx(want.emit, abs=1e-9) and got.move == pytest.approx(want.move, abs=1e-9)
