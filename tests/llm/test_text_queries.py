@@ -19,7 +19,8 @@ from evenkeel.llm.queries import BYTE_LEVEL, QUERIES, WORD_LEVEL
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 FOLDER = "/root/testdata/sf0.001"
-LONG = " ".join(f"word{i % 977} and{i % 13}" for i in range(40_000))
+# Word pairs repeat only after 206,147 of them, so no five words come twice.
+LONG = " ".join(f"word{i % 977} and{i % 211}" for i in range(40_000))
 PASSAGE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
 
 
