@@ -29,6 +29,8 @@ def con():
 
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_query_matches_sql(spark, con, name):
+    if name not in entry.oracle_sql():
+        pytest.skip("no SQL; held against brute force elsewhere")
     text, _, ok = compare(spark, con, name, FOLDER)
     assert ok or (name in MAY_BE_EMPTY and text.startswith("no rows")), text
 
