@@ -9,7 +9,7 @@ from evenkeel.functions import values
 from evenkeel.operators import versioned
 from evenkeel.plans.base import Tables, query
 from evenkeel.sources import snapshots
-from evenkeel.streaming import changes, warehouse
+from evenkeel.streaming import buckets, changes, warehouse
 
 LANDING = """
 SELECT user_id, event_type, value, props, event_id // 3 AS version, event_type = 'error' AS is_deleted,
@@ -351,6 +351,40 @@ def join_refresh_orders_customer(t: Tables):
     return final.select("o_orderkey", "o_custkey", "o_orderstatus", "c_name", "c_mktsegment")
 
 
+def _sales_nation(views):
+    """Orders with their customer and its nation, if there are."""
+    o, c, n = views["orders"], views["customer"], views["nation"]
+    joined = o.join(c, o["o_custkey"] == c["c_custkey"], "left").join(n, F.col("c_nationkey") == n["n_nationkey"], "left")
+    return joined.select("o_orderkey", "o_orderstatus", "c_name", "n_name")
+
+
+CHAIN = buckets.BucketedWarehouse(
+    query=_sales_nation, keys=["o_orderkey"], driving="orders",
+    table_keys={"orders": ["o_orderkey"], "customer": ["c_custkey"], "nation": ["n_nationkey"]},
+    links=[buckets.Link("orders", ["o_custkey"], "customer"), buckets.Link("customer", ["c_nationkey"], "nation")], buckets=32)
+
+
+@query("join_refresh_buckets", f"""
+SELECT o_orderkey, o_orderstatus, c_name, n_name FROM ({_FINAL_ORDERS}) LEFT JOIN (
+  SELECT f.c_custkey, f.c_name, c.c_nationkey FROM ({_FINAL_CUSTOMERS}) f JOIN {{customer}} c USING (c_custkey)) ON o_custkey = c_custkey
+LEFT JOIN (SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'new ' || n_name ELSE n_name END AS n_name FROM {{nation}} WHERE n_nationkey <> 7)
+  ON c_nationkey = n_nationkey""")
+def join_refresh_buckets(t: Tables):
+    """Four batches over two hops, from bucketed state: changes of nations reach orders over customers."""
+    path, home = t.scratch("buckets"), t.customer.select(F.col("c_custkey").alias("k"), "c_nationkey")
+    stamp = lambda df, version, gone=False: df.withColumns({"version": F.lit(version).cast("long"), "is_deleted": F.lit(gone)})
+    nations = t.nation.select("n_nationkey", "n_name")
+    moved = nations.filter("n_nationkey = 3").withColumn("n_name", F.concat(F.lit("new "), "n_name"))
+    more = {1: stamp(nations, 1), 3: stamp(moved, 3), 4: stamp(nations.filter("n_nationkey = 7"), 4, True)}
+    for number, batch in enumerate(_sales_batches(t), 1):
+        changed = dict(batch)
+        changed["customer"] = batch["customer"].drop("c_mktsegment").join(home, F.col("c_custkey") == F.col("k")).drop("k")
+        if number in more:
+            changed["nation"] = more[number]
+        buckets.refresh(t.spark, path, CHAIN, changed, number)
+    return buckets.read_target(t.spark, path, CHAIN)
+
+
 @query("initial_populate_orders_customer", f"SELECT *, CAST(0 AS BIGINT) AS version FROM ({_FINAL_SALES})")
 def initial_populate_orders_customer(t: Tables):
     parts = {table: None for table in SALES.table_keys}

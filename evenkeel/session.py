@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,10 +60,32 @@ def written(df: DataFrame, label: str) -> DataFrame:
     executor is lost, and the planner knows their size.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    if (paths := _tables.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_tables: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("tables", default=None)
+
+
+@contextlib.contextmanager
+def dropped_after(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end every table that ``written`` makes inside, as a stream must after each batch.
+
+    What is still to be computed afterwards may not read them.
+    """
+    paths: list[str] = []
+    token = _tables.set(paths)
+    try:
+        yield
+    finally:
+        _tables.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 _sent: set[str] = set()
 
 

@@ -31,6 +31,12 @@ def folders(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
     return sorted(name for name in found if name.startswith(prefix))
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a pattern with ``*`` and ``{a,b}`` matches, in order."""
+    fs, path_of = _fs(spark, pattern)
+    return sorted(s.getPath().toString() for s in fs.globStatus(path_of(pattern)) or [])
+
+
 def swap_in(spark: SparkSession, path: str, fresh: str, name: str, replaced: list[str]) -> None:
     """Show the folder ``fresh`` as ``name``, then drop the folders it replaces."""
     fs, path_of = _fs(spark, path)
@@ -45,18 +51,23 @@ def folder_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(path_of(path)).getLength()
 
 
-def current_version(spark: SparkSession, path: str) -> str | None:
-    fs, path_of = _fs(spark, path)
-    pointer = path_of(f"{path}/{POINTER}")
-    if not fs.exists(pointer):
+def read_text(spark: SparkSession, file: str) -> str | None:
+    """The text of a small file, or None if there is none."""
+    fs, path_of = _fs(spark, file)
+    if not fs.exists(path_of(file)):
         return None
-    stream = fs.open(pointer)
+    stream = fs.open(path_of(file))
     try:
-        return bytes(stream.readAllBytes()).decode().strip()
+        return bytes(stream.readAllBytes()).decode()
     finally:
         stream.close()
 
 
+def current_version(spark: SparkSession, path: str) -> str | None:
+    version = read_text(spark, f"{path}/{POINTER}")
+    return None if version is None else version.strip()
+
+
 def current_folder(spark: SparkSession, path: str) -> str | None:
     version = current_version(spark, path)
     return None if version is None else f"{path}/{version}"
@@ -71,10 +82,15 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 def publish(spark: SparkSession, path: str, version: str) -> None:
     """Make ``version`` the current folder; the rename replaces the pointer in one step."""
-    fs, path_of = _fs(spark, path)
-    fresh, pointer = path_of(f"{path}/{POINTER}.next"), path_of(f"{path}/{POINTER}")
+    replace_text(spark, f"{path}/{POINTER}", version)
+
+
+def replace_text(spark: SparkSession, file: str, text: str) -> None:
+    """Write a small file; readers see the old text or the new one, never a part."""
+    fs, path_of = _fs(spark, file)
+    fresh, pointer = path_of(f"{file}.next"), path_of(file)
     stream = fs.create(fresh, True)
-    stream.write(bytearray(version.encode()))
+    stream.write(bytearray(text.encode()))
     stream.close()
     context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
         fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
@@ -101,3 +117,9 @@ def write_snapshot(df: DataFrame, path: str, version: str | None = None, **write
     df.write.mode("overwrite").options(**write_options).parquet(f"{path}/{version}")
     publish(spark, path, version)
     return version
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    fs, path_of = _fs(spark, path)
+    fs.delete(path_of(path), True)

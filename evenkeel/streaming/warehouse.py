@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evenkeel.operators.versioned import current_view, latest_version
-from evenkeel.session import written
+from evenkeel.session import dropped_after, written
 from evenkeel.sources import snapshots
 from evenkeel.streaming.changes import backfill
 
@@ -165,6 +165,10 @@ def run_warehouse(stream: DataFrame, split: Callable[[DataFrame], Mapping[str, D
     so a restart neither loses nor doubles anything.
     """
     def refresh(batch: DataFrame, batch_id: int) -> None:
+        with dropped_after(batch.sparkSession):
+            refreshed(batch, batch_id)
+
+    def refreshed(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         number = batch_id + 1  # 0 is the first fill
         folder = f"batch={number:012d}"
