@@ -11,8 +11,6 @@ from evenkeel.operators.diff import DiffSpec, resolve_keys
 from evenkeel.operators.skew import hot_keys
 from evenkeel.session import written
 
-DEEP_PAGE = 100_000
-
 
 def _by_ranges(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str,
                partitions: int | None = None) -> DataFrame:
@@ -82,17 +80,44 @@ def page_info(df: DataFrame, size: int) -> DataFrame:
     return df.agg(total.alias("total"), F.ceil(total / size).cast("long").alias("pages"))
 
 
+def tie_free(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """``order``, then all other columns that have an order: rows that still tie are equal in all of these."""
+    rest = [f.name for f in df.schema.fields if f.name not in order and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return [F.col(f"`{c}`").asc_nulls_first() for c in (*order, *rest)]
+
+
+class PageIndex:
+    """Pages of a table in a total order: its rows once with their numbers, in ranges of that order.
+
+    The numbers are stored beside the rows, so a page of any depth is a range of numbers: the scan skips
+    all row groups whose bounds lie outside, nothing is sorted or counted again, and no page
+    shares a row with another one, also where the order's columns tie.
+    """
+
+    def __init__(self, df: DataFrame, order: Sequence[str], size: int = 2000):
+        self.size = size
+        self.rows = written(rank_rows(df, (), tie_free(df, order), "__page_row"), "pages")
+
+    def info(self) -> DataFrame:
+        """Total rows and pages."""
+        return page_info(self.rows, self.size)
+
+    def page(self, number: int = 1) -> DataFrame:
+        """One page; numbers below 1 read as 1."""
+        start = (max(number, 1) - 1) * self.size
+        return self.rows.filter(F.col("__page_row").between(start + 1, start + self.size)).drop("__page_row")
+
+    def numbered(self) -> DataFrame:
+        """All rows with the number of their page, as ``page``."""
+        return self.rows.withColumn("page", F.ceil(F.col("__page_row") / self.size).cast("long")).drop("__page_row")
+
+
 def paged(df: DataFrame, order: Sequence[str], page: int = 1, size: int = 2000) -> DataFrame:
-    """One page of the ordered rows; pages below 1 read as 1.
+    """One page of the rows in ``order``, ties by all other columns; pages below 1 read as 1.
 
-    Early pages are a bounded top-k. Deep pages go by distributed row numbers
-    instead of carrying all skipped rows to one task.
+    For more than one page make a ``PageIndex`` and keep it.
     """
-    start = (max(page, 1) - 1) * size
-    if start + size <= DEEP_PAGE:
-        return df.orderBy(*[F.col(f"`{o}`").asc_nulls_first() for o in order]).offset(start).limit(size)
-    numbered = rank_rows(df, (), order, "__rn__")
-    return numbered.filter(F.col("__rn__").between(start + 1, start + size)).drop("__rn__")
+    return PageIndex(df, order, size).page(page)
 
 
 def tail_log(messages: DataFrame, n: int = 10, partition: str = "partition", offset: str = "offset") -> DataFrame:

@@ -289,6 +289,16 @@ def paged_read_orders(t: Tables):
     return ranking.paged(t.orders, ["o_totalprice", "o_orderkey"], 3, 500).select("o_orderkey", "o_totalprice")
 
 
+@query("paged_ties_lineitem", """
+SELECT CAST(ceil(rn / 5000) AS BIGINT) AS page, l_orderkey, l_linenumber, l_quantity FROM (
+  SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (ORDER BY l_quantity, l_orderkey, l_linenumber) AS rn
+  FROM (SELECT DISTINCT l_quantity, l_orderkey, l_linenumber FROM {lineitem}))""")
+def paged_ties_lineitem(t: Tables):
+    """All pages over a column of fifty values: every row is on one page, in one order."""
+    rows = t.lineitem.select("l_quantity", "l_orderkey", "l_linenumber").distinct()
+    return ranking.PageIndex(rows, ["l_quantity"], 5000).numbered()
+
+
 @query("page_info_orders", "SELECT count(*) AS total, CAST(ceil(count(*) / 700.0) AS BIGINT) AS pages FROM {orders}")
 def page_info_orders(t: Tables):
     return ranking.page_info(t.orders, 700)

@@ -30,12 +30,21 @@ def test_row_number_over_everything(spark):
     assert [n for _, n in got] == list(range(1, 5001))
 
 
-def test_deep_page_equals_shallow_page(spark, monkeypatch):
-    df = spark.range(1000).select((F.col("id") * 37 % 1009).alias("x"))
-    shallow = [r["x"] for r in ranking.paged(df, ["x"], 4, 50).collect()]
-    monkeypatch.setattr(ranking, "DEEP_PAGE", 10)
-    assert sorted(r["x"] for r in ranking.paged(df, ["x"], 4, 50).collect()) == shallow
-    assert len(ranking.paged(df, ["x"], 0, 50).collect()) == 50
+def test_pages_are_disjoint_and_complete_over_ties(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("x"), F.col("id").alias("y"), F.lit(1).alias("page"))
+    index = ranking.PageIndex(df, ["x"], 25)
+    pages = [[(r["x"], r["y"]) for r in index.page(n).collect()] for n in range(1, 6)]
+    want = sorted((i % 3, i) for i in range(100))
+    assert [sorted(p) for p in pages] == [want[0:25], want[25:50], want[50:75], want[75:], []]
+    assert [tuple(r) for r in index.info().collect()] == [(100, 4)]
+    assert sorted(r["y"] for r in ranking.paged(df, ["x"], 0, 25).collect()) == [y for _, y in want[:25]]
+    assert ranking.PageIndex(df.where("false"), ["x"], 5).page(1).count() == 0
+
+
+def test_equal_rows_are_each_on_a_page(spark):
+    df = spark.range(90).select(F.lit("a").alias("x"), F.create_map(F.lit("k"), F.lit(1)).alias("m"))
+    index = ranking.PageIndex(df, ["x"], 40)
+    assert [index.page(n).count() for n in (1, 2, 3)] == [40, 40, 10]
 
 
 def test_hot_keys_are_few_and_right(spark):
