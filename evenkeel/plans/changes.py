@@ -189,6 +189,22 @@ def two_streams_one_landing(t: Tables):
     return changes.unwrap_changes(landed, ORDER_ROW, keep=["table_name"])
 
 
+@query("overlapping_reads_land_once", f"SELECT 'cdc_db_sales_orders' AS table_name, * FROM ({_CHANGES})")
+def overlapping_reads_land_once(t: Tables):
+    """Two reads of two thirds of the messages each, the second under a checkpoint of its own."""
+    path = t.scratch("once")
+    # The messages of an order share an offset; here each has its own.
+    kind = F.when(F.col("value").isNull(), 3).when(F.col("value") == '{"op": "c", ', 4).when(F.col("value").startswith('{"op":"u"'), 1) \
+        .when(F.col("value").startswith('{"op":"d"'), 2).otherwise(0)
+    for i, part in enumerate(("offset % 3 < 2", "offset % 3 > 0")):
+        stream = t.spark.readStream.schema(t.orders.schema).option("pathGlobFilter", "orders.parquet").parquet(t.folder)
+        messages = order_messages(stream).withColumn("offset", F.col("offset") * 8 + kind)
+        changes.land_changes(messages.filter(part), f"{path}/landing", f"{path}/checkpoint-{i}",
+                             row_schemas={"cdc_db_sales_orders": ORDER_ROW}, offsets=f"{path}/offsets").awaitTermination()
+    landed = changes.read_landing(t.spark, f"{path}/landing", "cdc_db_sales_orders")
+    return changes.unwrap_changes(landed, ORDER_ROW, keep=["table_name"])
+
+
 @query("dead_letters_of_stream", """
 SELECT o_orderkey AS "offset", 'value is not JSON' AS error, true AS timed FROM {orders} WHERE o_orderkey % 100 = 2""")
 def dead_letters_of_stream(t: Tables):

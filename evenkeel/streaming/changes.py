@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from evenkeel.functions.values import clamp_dates, time_to_timestamp
 from evenkeel.operators.versioned import upsert
+from evenkeel.sources import snapshots
 
 # The topic of keep-alive events, and the shape of a change event.
 HEARTBEAT = r".*_dbz_heartbeat"
@@ -78,6 +80,16 @@ def _readable() -> Column:
     return F.col("value").isNull() | F.try_parse_json("value").isNotNull()
 
 
+def _error(row_schema: T.StructType | str | None) -> Column:
+    """Why a message cannot be read, or null."""
+    if row_schema is None:
+        return F.when(~_readable(), F.lit(NOT_JSON)).cast("string")
+    event = F.from_json("value", _envelope(row_schema) + f", {_CORRUPT}:string>", {"columnNameOfCorruptRecord": _CORRUPT})
+    apart = F.col("value").isNull() | F.col("topic").rlike(rf"^{HEARTBEAT}$")
+    fits = event[_CORRUPT].isNull() & F.coalesce(event["after"], event["before"]).isNotNull()
+    return F.when(apart, None).when(~_readable(), NOT_JSON).when(~F.coalesce(fits, F.lit(False)), NOT_FITTING).cast("string")
+
+
 def split_bad(messages: DataFrame, now: Column | None = None,
               row_schema: T.StructType | str | None = None) -> tuple[DataFrame, DataFrame]:
     """Messages that are JSON (or tombstones), and dead letters with error and time.
@@ -86,14 +98,7 @@ def split_bad(messages: DataFrame, now: Column | None = None,
     another type, and events without a row before or after. Every message that is neither a
     tombstone nor a keep-alive event is then either a row or a dead letter.
     """
-    if row_schema is None:
-        error = F.when(~_readable(), F.lit(NOT_JSON))
-    else:
-        event = F.from_json("value", _envelope(row_schema) + f", {_CORRUPT}:string>", {"columnNameOfCorruptRecord": _CORRUPT})
-        apart = F.col("value").isNull() | F.col("topic").rlike(rf"^{HEARTBEAT}$")
-        fits = event[_CORRUPT].isNull() & F.coalesce(event["after"], event["before"]).isNotNull()
-        error = F.when(apart, None).when(~_readable(), NOT_JSON).when(~F.coalesce(fits, F.lit(False)), NOT_FITTING)
-    marked = messages.withColumn("error", error.cast("string"))
+    marked = messages.withColumn("error", _error(row_schema))
     dead = marked.filter(F.col("error").isNotNull()).withColumn("failed_at", now if now is not None else F.now())
     return marked.filter(F.col("error").isNull()).drop("error"), dead
 
@@ -107,29 +112,94 @@ def replay(dead: DataFrame, repaired: Column | None = None) -> tuple[DataFrame,
 
 
 LANDED, DEAD = "landed", "dead"
-LANDING_SALTS = 4
+#: Offsets of one partition that are made into runs together.
+RUN = 1 << 17
+_IDENTITY = ["topic", "partition", "offset"]
+
+
+def offset_runs(messages: DataFrame) -> DataFrame:
+    """``topic, partition, lo, hi``: the offsets of the messages as runs without gaps.
+
+    Runs are made of stretches of ``RUN`` offsets first, so that a partition with very many messages is
+    spread; what is left are at most two rows a stretch at each gap. Runs of a stretch that touch stay apart
+    at its edges, which does not matter to a lookup.
+    """
+    known = messages.select(*_IDENTITY).where(F.col("offset").isNotNull()).distinct()
+    stretch = F.floor(F.col("offset") / RUN)
+    order = Window.partitionBy("topic", "partition", stretch).orderBy("offset")
+    runs = known.withColumn("run", F.col("offset") - F.row_number().over(order)).withColumn("stretch", stretch)
+    return runs.groupBy("topic", "partition", "stretch", "run").agg(F.min("offset").alias("lo"), F.max("offset").alias("hi")).drop("stretch", "run")
+
 
+def unseen(messages: DataFrame, seen: DataFrame) -> DataFrame:
+    """Each message once that lies in no run of ``seen``; messages without an offset cannot be told apart and stay."""
+    own = messages.where(F.col("offset").isNotNull()).dropDuplicates(_IDENTITY).alias("m")
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("topic", "partition")]
+    inside = F.col("m.offset").between(F.col("s.lo"), F.col("s.hi"))
+    return own.join(seen.alias("s"), [*same, inside], "left_anti").unionByName(messages.where(F.col("offset").isNull()))
 
-def land_changes(stream: DataFrame, path: str, checkpoint: str, base: str = "db", **trigger) -> StreamingQuery:
+
+def land_changes(stream: DataFrame, path: str, checkpoint: str, base: str = "db",
+                 row_schemas: Mapping[str, T.StructType | str] | None = None, offsets: str | None = None, **trigger) -> StreamingQuery:
     """Append messages to a landing folder, partitioned by table; each batch of each stream has
     its own folder and is overwritten when repeated, so every message lands once, also when
     several streams, or one with a new checkpoint, share the folder.
 
-    Unreadable messages are set aside in the same pass, for ``read_dead``.
+    Unreadable messages are set aside in the same pass, for ``read_dead``, each with its error.
+    ``row_schemas`` name the rows of landing tables: events that do not fit theirs are set aside too.
+
+    With ``offsets``, a folder of its own, a message is known by topic, partition and offset: what
+    any earlier batch has landed is left out, in whatever order it comes again, as from a source read anew
+    under a new checkpoint or by two overlapping reads. That takes one stream at a time. The offsets are
+    kept as runs, and written after the batch: one that breaks off before is landed again, over itself.
     """
+    schemas = dict(row_schemas or {})
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        # Rows of one table meet in few tasks, over salts, so that a batch writes few files.
-        salted = batch.repartition(route_table(F.col("topic"), base), F.pmod(F.xxhash64("value"), F.lit(LANDING_SALTS)))
-        salted.withColumns({
-            "landed_at": F.now().cast("timestamp_ntz"), "table_name": route_table(F.col("topic"), base),
-            "state": F.when(_readable(), F.lit(LANDED)).otherwise(F.lit(DEAD)),
-        }).write.mode("overwrite").partitionBy("state", "table_name").parquet(f"{path}/stream={stream_id}/batch={batch_id}")
+        spark = batch.sparkSession
+        own = f"stream={spark.sparkContext.getLocalProperty('sql.streaming.queryId')}/batch={batch_id}"
+        if offsets is not None:
+            batch = unseen(batch, _seen(spark, offsets, own)).persist()
+        table, error = route_table(F.col("topic"), base), _error(None)
+        for name, schema in schemas.items():
+            error = F.when(table == name, _error(schema)).otherwise(error)
+        rows = batch.withColumns({"landed_at": F.now().cast("timestamp_ntz"), "table_name": table, "error": error})
+        rows = rows.withColumn("state", F.when(F.col("error").isNull(), F.lit(LANDED)).otherwise(F.lit(DEAD)))
+        # Rows of one table meet in as few tasks as their size allows, so that a batch writes few files.
+        rows.hint("rebalance", "state", "table_name").write.mode("overwrite").partitionBy("state", "table_name").parquet(f"{path}/{own}")
+        if offsets is not None:
+            offset_runs(batch).write.mode("overwrite").parquet(f"{offsets}/{own}")
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint) \
         .trigger(**(trigger or {"availableNow": True})).start()
 
 
+_RUNS = "topic string, partition int, lo long, hi long"
+
+
+def _seen(spark: SparkSession, offsets: str, own: str = "") -> DataFrame:
+    """The runs that all batches but ``own`` have written to their end."""
+    done = [p.rsplit("/", 1)[0] for p in snapshots.matching(spark, f"{offsets}/stream=*/batch=*/_SUCCESS")]
+    others = [p for p in done if not own or not p.endswith(f"/{own}")]
+    return spark.read.schema(_RUNS).parquet(*others) if others else spark.createDataFrame([], _RUNS)
+
+
+def compact_offsets(spark: SparkSession, offsets: str) -> int:
+    """Join the runs of all batches into one folder; gives the folders replaced. Not to be run while a stream lands."""
+    old = [p.rsplit("/", 1)[0] for p in snapshots.matching(spark, f"{offsets}/stream=*/batch=*/_SUCCESS")]
+    if len(old) < 2:
+        return 0
+    order = Window.partitionBy("topic", "partition").orderBy("lo", "hi")
+    runs = _seen(spark, offsets).withColumn("before", F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = runs.withColumn("run", F.sum(F.when(F.col("lo") <= F.col("before") + 1, 0).otherwise(1)).over(order))
+    joined = runs.groupBy("topic", "partition", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
+    joined.write.parquet(f"{offsets}/stream=joined-{uuid.uuid4().hex}/batch=0")
+    for folder in old:
+        snapshots.remove(spark, folder)
+    return len(old)
+
+
 def upsert_stream(stream: DataFrame, target_path: str, keys: Sequence[str], checkpoint: str,
                   **trigger) -> StreamingQuery:
     """Merge a stream of rows with ``version`` and ``is_deleted`` into a snapshot table.
@@ -147,13 +217,14 @@ def upsert_stream(stream: DataFrame, target_path: str, keys: Sequence[str], chec
 def read_landing(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
     """Landed messages, of one table or of all; other tables' folders are not read."""
     rows = spark.read.parquet(path).filter(F.col("state") == LANDED)
-    return (rows if table is None else rows.filter(F.col("table_name") == table)).drop("stream", "batch", "state")
+    return (rows if table is None else rows.filter(F.col("table_name") == table)).drop("stream", "batch", "state", "error")
 
 
 def read_dead(spark: SparkSession, path: str) -> DataFrame:
     """Messages that could not be read, with error and time."""
-    return spark.read.parquet(path).filter(F.col("state") == DEAD).drop("stream", "batch", "state") \
-        .withColumn("error", F.lit(NOT_JSON)).withColumnRenamed("landed_at", "failed_at")
+    rows = spark.read.option("mergeSchema", True).parquet(path).filter(F.col("state") == DEAD).drop("stream", "batch", "state")
+    error = F.coalesce("error", F.lit(NOT_JSON)) if "error" in rows.columns else F.lit(NOT_JSON)  # folders from before errors were kept
+    return rows.withColumn("error", error).withColumnRenamed("landed_at", "failed_at")
 
 
 def backfill(source: DataFrame, landing: DataFrame, clean: bool = True) -> DataFrame:

@@ -47,6 +47,56 @@ def test_landing_survives_restart_and_sets_bad_messages_aside(spark, tmp_path):
     assert changes.read_landing(spark, out, "cdc_db_sales_others").count() == 0
 
 
+def test_each_message_lands_once(spark, tmp_path):
+    """Overlapping reads, in any order, also under a new checkpoint and after a restart."""
+    out, offsets = str(tmp_path / "out"), str(tmp_path / "offsets")
+    batch = [message("c", i, {"id": i, "v": "a"}) for i in range(12)]
+
+    def run(source, checkpoint):
+        stream = changes.read_changes(spark, str(tmp_path / source), maxFilesPerTrigger=1)
+        changes.land_changes(stream, out, str(tmp_path / checkpoint), offsets=offsets).awaitTermination()
+
+    def landed_ids():
+        return sorted(r["id"] for r in landed(spark, out).select("id").collect())
+
+    write(tmp_path / "one", "1.json", [*batch[4:8], batch[5]])
+    run("one", "cp1")
+    assert landed_ids() == [4, 5, 6, 7]
+    write(tmp_path / "one", "2.json", [*batch[6:10], *batch[:2]])  # earlier offsets come late
+    run("one", "cp1")
+    assert landed_ids() == [0, 1, 4, 5, 6, 7, 8, 9]
+    run("one", "cp2")  # everything again
+    assert landed_ids() == [0, 1, 4, 5, 6, 7, 8, 9]
+    assert changes.compact_offsets(spark, offsets) > 1
+    runs = sorted((r["lo"], r["hi"]) for r in changes._seen(spark, offsets).collect())
+    assert runs == [(0, 1), (4, 9)] and changes.compact_offsets(spark, offsets) == 0
+    write(tmp_path / "two", "3.json", [*batch, message("c", 3, {"id": 30, "v": "b"}, "srv.sales.others"), {"topic": "srv.sales.items", "value": "{}"}])
+    run("two", "cp3")
+    assert landed_ids() == [*range(12), 30]
+    assert changes.read_landing(spark, out).where("offset is null").count() == 1  # without an offset
+
+
+def test_runs_of_offsets(spark, monkeypatch):
+    monkeypatch.setattr(changes, "RUN", 4)
+    df = spark.createDataFrame([("t", i % 2, i // 2) for i in (0, 2, 4, 6, 8, 12, 14, 1, 1, 41)] + [("t", 0, None)], "topic string, partition int, offset long")
+    runs = sorted((r["partition"], r["lo"], r["hi"]) for r in changes.offset_runs(df).collect())
+    assert runs == [(0, 0, 3), (0, 4, 4), (0, 6, 7), (1, 0, 0), (1, 20, 20)]
+    left = changes.unseen(df, changes.offset_runs(df.where("offset < 6")))
+    assert sorted((r["partition"], r["offset"] or -1) for r in left.collect()) == [(0, -1), (0, 6), (0, 7), (1, 20)]
+
+
+def test_dead_letters_keep_their_error(spark, tmp_path):
+    out = str(tmp_path / "out")
+    write(tmp_path / "in", "1.json", [message("c", 1, {"id": 1, "v": "a"}), message("c", 2, {"id": "no", "v": "a"}),
+                                      {"topic": "srv.sales.items", "value": "{bad"}, {"topic": "srv.sales.items", "value": '{"op": "c"}'},
+                                      {"topic": "srv.sales.items", "value": None}, message("c", 3, {"other": 5}, "srv.sales.others")])
+    stream = changes.read_changes(spark, str(tmp_path / "in"))
+    changes.land_changes(stream, out, str(tmp_path / "cp"), row_schemas={"cdc_db_sales_items": ROW}).awaitTermination()
+    errors = sorted(r["error"] for r in changes.read_dead(spark, out).collect())
+    assert errors == [changes.NOT_FITTING, changes.NOT_FITTING, changes.NOT_JSON]
+    assert changes.read_landing(spark, out).count() == 3 and changes.read_landing(spark, out, "cdc_db_sales_items").count() == 2
+
+
 def test_order_and_repeats_of_events_change_nothing(spark):
     rng = random.Random(2)
     rows = [(rng.randrange(20), f"v{i}", i // 3, i % 5 == 0, i) for i in range(200)]
