@@ -65,8 +65,7 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that later expressions read as values: an explode of one row keeps the planner from
     writing their expressions into every place that names them."""
     kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
-    row = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
-    return df.select(*kept, row.alias("__e")).select(*kept, *[F.col("__e")[n].alias(n) for n in columns])
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def _below(v: Column, unwrap: bool) -> Column:
