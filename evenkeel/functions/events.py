@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from evenkeel.functions.json import let, name_variants
-from evenkeel.session import written
+from evenkeel.session import spread, written
 
 # Where events keep their content, their orders, an order's status and its id.
 BOXES = ("payload", "data")
@@ -87,7 +87,7 @@ def _objects(events: DataFrame, payload: str, unwrap: bool, levels: int) -> Data
                         F.transform(_below(n["v"], unwrap), lambda c: F.struct(F.lit(True).alias("open"), c.alias("v"))))
 
     kept = [F.col(f"`{c}`") for c in events.columns]
-    rows = _once(events, __n=F.struct(F.lit(True).alias("open"), F.try_parse_json(F.col(f"`{payload}`")).alias("v")))
+    rows = _once(spread(events), __n=F.struct(F.lit(True).alias("open"), F.try_parse_json(F.col(f"`{payload}`")).alias("v")))
     for _ in range(levels):
         rows = rows.select(*kept, F.explode(F.when(F.col("__n")["open"], opened(F.col("__n"))).otherwise(F.array("__n"))).alias("__n"))
     nested = F.col("__n")["open"] & (as_map(F.col("__n")["v"]).isNotNull() | as_list(F.col("__n")["v"]).isNotNull())
@@ -231,7 +231,7 @@ def node_values(events: DataFrame, payload: str, paths: Sequence[str]) -> DataFr
 def path_values(events: DataFrame, payload: str, paths: dict[str, str]) -> DataFrame:
     """The events with the text at a path of the whole document in each named column, or empty."""
     doc = F.try_parse_json(F.col(f"`{payload}`"))
-    whole = _once(events, __doc=let(doc, lambda v: F.when(as_map(v).isNotNull() | as_list(v).isNotNull(), v)))
+    whole = _once(spread(events), __doc=let(doc, lambda v: F.when(as_map(v).isNotNull() | as_list(v).isNotNull(), v)))
     found = _whole(lambda levels: _with_roots(whole, "__doc", levels), BOXED)
     found = _with_values(found, list(paths.values()), "__values", events.columns)
     return found.withColumns({name: F.col("__values")[i] for i, name in enumerate(paths)}).drop("__values")

@@ -53,6 +53,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir() or named
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its input is too small to give every core a split of its own.
+
+    For work that takes long on few bytes: one small file would be one task. What is shuffled is at
+    most a split a core by the planner's estimate; larger inputs stay as they are. Rows are the same either way.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    return df.repartition(cores) if size < cores * split else df
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as a table in the shared checkpoint folder and read back.
 
