@@ -142,6 +142,11 @@ class MergeAutomaton:
         """Token numbers of pre-split words; a symbol outside the vocabulary is an error."""
         if not words:
             return []
+        tokens, cuts = self.encode_flat(words)
+        return np.split(tokens, cuts[1:-1])
+
+    def encode_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one word or more as one array, with the places where words begin and the end."""
         spelled = [self._symbols(w + self.suffix) for w in words]
         flat = np.fromiter((self.symbol[s] for symbols in spelled for s in symbols), np.int64)
         sizes = np.array([len(s) for s in spelled])
@@ -184,7 +189,7 @@ class MergeAutomaton:
         owner = np.concatenate([w for w, _ in steps][::-1])
         taken = np.concatenate([t for _, t in steps][::-1])
         order = np.argsort(owner, kind="stable")
-        return np.split(taken[order], np.searchsorted(owner[order], np.arange(1, len(words))))
+        return taken[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
 
 
 class AutomatonTokenizer:
@@ -213,7 +218,8 @@ class AutomatonTokenizer:
     def _words(self, text: str) -> list[str]:
         """The pre-split words of a piece, in the characters that stand for bytes."""
         if self.plain and KNOWN.fullmatch(text):
-            return [w.lower().encode().decode("latin-1").translate(shown_bytes()) for w in PARTS.findall(text) if w != "\n"]
+            parts = [text.lower()] if text.isalpha() else PARTS.findall(text.lower())
+            return [w if w.isascii() else w.encode().decode("latin-1").translate(shown_bytes()) for w in parts if w != "\n"]
         text = self.normalize.normalize_str(text) if self.normalize else text
         return [w for w, _ in self.split.pre_tokenize_str(text)] if text else []
 
@@ -224,8 +230,10 @@ class AutomatonTokenizer:
         if len(self.words) > REMEMBERED // 2:
             self.words = {}
             new = list(dict.fromkeys(w for words in split for w in words))
-        for word, tokens in zip(new, self.automaton.encode_words(new)):
-            self.words[word] = ids[tokens].astype("<u4").tobytes(), joint.join([labels[t] for t in tokens.tolist()])
+        if new:
+            tokens, cuts = self.automaton.encode_flat(new)
+            raw, shown, cuts = ids[tokens].astype("<u4").tobytes(), [labels[t] for t in tokens.tolist()], cuts.tolist()
+            self.words.update(zip(new, [(raw[4 * a:4 * b], joint.join(shown[a:b])) for a, b in zip(cuts, cuts[1:])]))
         out = []
         for words in split:
             if len(words) == 1:
@@ -242,15 +250,20 @@ class AutomatonTokenizer:
         """
         plans = []
         for text in texts:
-            text = lowered(text) if self.plain and not any(s in text for s in self.special) else text
+            marked = self.cut is not None and any(s in text for s in self.special)
+            if self.plain and not marked:
+                plans.append([(lowered(text).replace("\n", " ").split(" "), None)])
+                continue
             segments, at = [], 0
-            for m in self.cut.finditer(text) if self.cut and any(s in text for s in self.special) else ():
+            for m in self.cut.finditer(text) if marked else ():
                 segments += [(text[at:m.start()], None), ("", m.group())]
                 at = m.end()
             segments.append((text[at:], None))
             plans.append([([special] if special else t.split(" ") if not self.bytes else [t] if t else [], special) for t, special in segments])
-        short = [p for plan in plans for pieces, special in plan if not special for p in pieces if len(p) <= LONG]
-        known = self.memory.fetch(short, self._make)
+        short = {p for plan in plans for pieces, special in plan if not special for p in pieces}
+        long = {p for p in short if len(p) > LONG}
+        known = self.memory.fetch(short - long, self._make)
+        look = known.__getitem__ if not long else lambda p: self._make([p])[0] if len(p) > LONG else known[p]
         out = []
         for plan in plans:
             found = []
@@ -258,9 +271,9 @@ class AutomatonTokenizer:
                 if special:
                     found.append((self.special[special].to_bytes(4, "little"), special))
                 else:
-                    found.extend(known[p] if len(p) <= LONG else self._make([p])[0] for p in pieces)
-            labels = [b for _, b in found if b]
-            out.append((b"".join([a for a, _ in found]), self._text(labels)))
+                    found.extend(map(look, pieces))
+            ids, labels = zip(*found) if found else ((), ())
+            out.append((b"".join(ids), self._text(list(filter(None, labels)))))
         return out
 
     def _text(self, labels: list[str]) -> str:
