@@ -41,6 +41,10 @@ PARTS = re.compile(f"{_LETTERS}|{_SIGNS}|\n")
 _SAFE = re.compile(r"(?<=[\x21-\x7e\w])(?= )|(?<! )(?= [\x21-\x7e\w])")
 
 
+# Fixed character: a space in byte-level vocabularies.
+SPACE = "\u0120"
+
+
 class PieceMemory:
     """Results by piece, in two generations: when the young one is full, the old one goes."""
 
@@ -66,6 +70,8 @@ class PieceMemory:
 def lowered(text: str) -> str:
     """Lower case for files that make it anyway, so that fewer pieces are new.
 
+    Such files also make line breaks spaces, so a text may be cut there in the same way.
+
     Only for texts of Latin-1 characters, where it is the same for each character alone and
     changes nothing about the normal form.
     """
@@ -112,8 +118,12 @@ class TextEncoder:
         letters = word.isalpha()
         found = (self.memory.young.get(word) if spaced or not self.spaced else None) if letters else self.signs.get((word, spaced))
         if found is None:
-            text = (" " + word if spaced else word.lower() if self.lower else word).encode().decode("latin-1").translate(shown_bytes())
-            found = array.array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
+            text = word if self.spaced else word.lower()
+            if not word.isascii():
+                text = text.encode().decode("latin-1").translate(shown_bytes())
+            elif word == "\n":
+                text = shown_bytes()[10]
+            found = array.array(self.code, [t.id for t in self.model.tokenize(SPACE + text if spaced else text)]).tobytes()
             if not letters and len(self.signs) < 10_000:
                 self.signs[(word, spaced)] = found
         return found
@@ -121,6 +131,8 @@ class TextEncoder:
     def _told(self, piece: str) -> bytes:
         """Ids of a piece of known kind: letters, signs and line breaks are words of their own."""
         first = piece[:1] == " "
+        if piece.isalpha():
+            return self._part(piece, self.spaced)
         parts = PARTS.findall(piece)
         if not self.spaced:
             return b"".join([self._part(w, False) for w in parts if w != "\n"])
@@ -153,7 +165,7 @@ class TextEncoder:
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned integers."""
         if self.lower and self.plain:
-            texts = [t if any(s in t for s in self.special) else lowered(t) for t in texts]
+            texts = [t if any(s in t for s in self.special) else lowered(t).replace("\n", " ") for t in texts]
         split = [t.split(" ") if t else [] for t in texts]
         for pieces in split:
             if pieces:
