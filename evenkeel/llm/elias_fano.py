@@ -5,12 +5,13 @@ each range of ids, and returns their manifest; ``read_token_files`` reads docume
 
 A file holds, in this order: the ids of all its documents as 2 or 4 byte little-endian unsigned
 integers; the Elias-Fano code of the ``n + 1`` boundaries; the Elias-Fano code of the document
-ids (as ``doc_id - first + 1``, 0 for a null id); a footer of ten unsigned 64-bit numbers.
+ids (as ``doc_id - first + 1``, 0 for a null id); a footer of twelve unsigned 64-bit numbers.
 
 An Elias-Fano code of ``n`` ascending numbers below ``u`` keeps the ``l = log2(u / n)`` low bits
 of each packed, and the rest as a bit string in which the ``i``-th set bit stands at
 ``high(i) + i``. It takes about ``2 + l`` bits a number. ``select`` finds the ``i``-th set bit
-from a sample of every 256th place and the bits between.
+from a sample of every 256th place, kept in the file, and the bits between. Documents are read in
+blocks: two selects find a block's part of the code, and only that part is decoded.
 
 Cases: null and empty texts have only the end id; null ids come first; rows that repeat an id are
 kept, in order of their text; an empty table gives no file and no rows; other columns are ignored.
@@ -34,11 +35,13 @@ from evenkeel.llm.tokens import encoder, groups
 from evenkeel.session import ensure_checkpoint_dir, written
 
 # Fixed values of the file format.
-MAGIC = 0x31_46_45_4B_45  # "EKEF1"
-FOOTER = "<10Q"
+MAGIC = 0x32_46_45_4B_45  # "EKEF2"
+FOOTER = "<12Q"
 SAMPLE = 256
 #: Tokens read at once.
 READ = 1 << 21
+#: Documents whose boundaries are decoded at once.
+BLOCK = 4096
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long, bytes long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -70,11 +73,10 @@ class EliasFano:
         return self.low.tobytes(), self.high.tobytes(), self.samples.tobytes()
 
     @classmethod
-    def read(cls, n: int, low_bits: int, low: bytes, high: bytes) -> EliasFano:
-        """From its sections; the sample is taken anew from the bits."""
-        flags = np.frombuffer(high, np.uint8)
-        places = np.flatnonzero(np.unpackbits(flags, bitorder="little"))
-        return cls(n, low_bits, np.frombuffer(low, np.uint8), flags, places[::SAMPLE])
+    def read(cls, n: int, low_bits: int, low: bytes, high: bytes, samples: bytes) -> EliasFano:
+        """From its sections."""
+        kind = f"<u{len(samples) // max(1, -(-n // SAMPLE)) or 4}"
+        return cls(n, low_bits, np.frombuffer(low, np.uint8), np.frombuffer(high, np.uint8), np.frombuffer(samples, kind))
 
     def select(self, i: int) -> int:
         """The place of the ``i``-th set bit."""
@@ -99,14 +101,20 @@ class EliasFano:
             value = int.from_bytes(held.tobytes(), "little") >> (first & 7) & ((1 << self.low_bits) - 1)
         return (self.select(i) - i) << self.low_bits | value
 
-    def all(self) -> np.ndarray:
-        """Every number."""
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n] - np.arange(self.n)
+    def some(self, first: int, last: int) -> np.ndarray:
+        """The numbers from place ``first`` up to ``last``: two selects find the bits that hold them."""
+        if first >= last:
+            return np.zeros(0, np.int64)
+        begin, end = self.select(first), self.select(last - 1)
+        bits = np.unpackbits(self.high[begin >> 3:(end >> 3) + 1], bitorder="little")
+        bits[:begin & 7] = 0
+        high = (np.flatnonzero(bits)[:last - first] + (begin >> 3 << 3) - np.arange(first, last)).astype(np.int64)
         if not self.low_bits:
-            return high.astype(np.int64)
-        bits = np.unpackbits(self.low, bitorder="little")[:self.n * self.low_bits].reshape(self.n, self.low_bits)
-        low = (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
-        return (high.astype(np.int64) << self.low_bits) | low
+            return high
+        at = first * self.low_bits
+        bits = np.unpackbits(self.low[at >> 3:(last * self.low_bits + 7) >> 3], bitorder="little")[at & 7:]
+        bits = bits[:(last - first) * self.low_bits].reshape(-1, self.low_bits)
+        return high << self.low_bits | (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
 
 
 def _system(path: str) -> tuple[fs.FileSystem, str]:
@@ -150,12 +158,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, folder:
         keys = EliasFano.code([0 if i is None else i - least + 1 for i in ids])
         sizes = []
         for code in (bounds, keys):
-            low, high, _ = code.sections()
-            out.write(low)
-            out.write(high)
-            sizes += [code.low_bits, len(low), len(high)]
+            sections = code.sections()
+            for section in sections:
+                out.write(section)
+            sizes += [code.low_bits, *map(len, sections)]
         n_tokens = sum(lengths)
-        out.write(struct.pack(FOOTER, MAGIC, len(ids), n_tokens, np.dtype(width).itemsize, *sizes[:6]))
+        out.write(struct.pack(FOOTER, MAGIC, len(ids), n_tokens, np.dtype(width).itemsize, *sizes))
         out.write(struct.pack("<q", least))
         size = out.tell()
         out.close()
@@ -181,11 +189,18 @@ class TokenFile:
         least, = struct.unpack("<q", held[struct.calcsize(FOOTER):])
         at = self.n_tokens * width
         codes = []
-        for n, (low_bits, low, high) in ((self.n_docs + 1, parts[:3]), (self.n_docs, parts[3:])):
-            codes.append(EliasFano.read(n, low_bits, self.file.read_at(low, at), self.file.read_at(high, at + low)))
-            at += low + high
-        self.bounds, keys = codes
-        self.doc_ids = [None if k == 0 else int(k) - 1 + least for k in keys.all()]
+        for n, (low_bits, *sizes) in ((self.n_docs + 1, parts[:4]), (self.n_docs, parts[4:])):
+            sections = []
+            for size in sizes:
+                sections.append(self.file.read_at(size, at))
+                at += size
+            codes.append(EliasFano.read(n, low_bits, *sections))
+        self.bounds, self.keys = codes
+        self.least = least
+
+    def doc_ids(self, first: int, last: int) -> list[int | None]:
+        """The ids of the documents from ``first`` up to ``last``."""
+        return [None if k == 0 else k - 1 + self.least for k in self.keys.some(first, last).tolist()]
 
     def tokens(self, first: int, last: int) -> np.ndarray:
         """The ids from place ``first`` up to ``last``."""
@@ -215,17 +230,18 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 file = TokenFile(path)
-                bounds, first = file.bounds.all(), 0
-                while first < file.n_docs:
-                    last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + READ, "right")) - 1)
-                    last = min(last, file.n_docs)
-                    held = file.tokens(int(bounds[first]), int(bounds[last])).astype("<u4")
-                    cuts = bounds[first:last + 1] - bounds[first]
-                    crcs = [zlib.crc32(held[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(file.doc_ids[first:last], pa.int64()), pa.array(bounds[first:last] + base),
-                        pa.array(np.diff(cuts)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-                    first = last
+                for block in range(0, file.n_docs, BLOCK):
+                    end = min(block + BLOCK, file.n_docs)
+                    ids, bounds, first = file.doc_ids(block, end), file.bounds.some(block, end + 1), 0
+                    while first < end - block:
+                        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + READ, "right")) - 1)
+                        held = file.tokens(int(bounds[first]), int(bounds[last])).astype("<u4")
+                        cuts = bounds[first:last + 1] - bounds[first]
+                        crcs = [zlib.crc32(held[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(ids[first:last], pa.int64()), pa.array(bounds[first:last] + base),
+                            pa.array(np.diff(cuts)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        first = last
                 file.close()
 
     listed = spark.createDataFrame(files, "path string, base long").repartition(max(1, len(files)))

@@ -67,13 +67,28 @@ def test_token_files(spark, table):
         start += len(ids)
 
 
+def test_runs_of_documents_are_found_by_select(spark):
+    docs = spark.createDataFrame([(None if i % 9 == 0 else i // 2, "a " * (i % 7)) for i in range(200)], "doc_id long, text string")
+    manifest = elias_fano.write_token_files(docs, BYTE_LEVEL)
+    assert manifest.agg({"n_docs": "sum"}).first()[0] == 200
+    whole = sorted(map(tuple, elias_fano.read_token_files(manifest).collect()), key=repr)
+    file = elias_fano.TokenFile(manifest.first()["path"])
+    bounds, n = file.bounds.some(0, file.n_docs + 1), file.n_docs
+    assert bounds[0] == 0 and bounds[-1] == file.n_tokens and (np.diff(bounds) >= 1).all()
+    for a in range(0, n, 3):  # runs of any length, found by select, are the parts of the whole
+        assert file.bounds.some(a, min(a + 4, n + 1)).tolist() == bounds[a:a + 4].tolist()
+        assert file.doc_ids(a, min(a + 3, n)) == file.doc_ids(0, n)[a:a + 3]
+    file.close()
+    assert len(whole) == 200 and sum(r[0] is None for r in whole) == 23
+
+
 def test_one_document_is_found_by_select(spark, table):
     manifest = elias_fano.write_token_files(spark.read.parquet(f"{FOLDER}/documents.parquet"), BYTE_LEVEL).collect()
     library, texts = Tokenizer.from_file(BYTE_LEVEL), dict(zip(table.doc_id, table.text))
     for row in manifest[:3]:
         file = elias_fano.TokenFile(row["path"])
         for k in (0, file.n_docs // 2, file.n_docs - 1):
-            assert file.document(k).tolist() == [*library.encode(texts[file.doc_ids[k]], add_special_tokens=False).ids, 0]
+            assert file.document(k).tolist() == [*library.encode(texts[file.doc_ids(k, k + 1)[0]], add_special_tokens=False).ids, 0]
         file.close()
 
 
