@@ -9,6 +9,7 @@ from evenkeel.functions import values
 from evenkeel.operators import versioned
 from evenkeel.plans.base import Tables, query
 from evenkeel.sources import snapshots
+from evenkeel.sources.manifests import BucketTable
 from evenkeel.streaming import buckets, changes, warehouse
 
 LANDING = """
@@ -71,6 +72,20 @@ def upsert_sink_events(t: Tables):
     return versioned.read_upserted(t.spark, path).select("user_id", "event_type", "value")
 
 
+@query("upsert_buckets_events", f"SELECT user_id, event_type, value FROM ({_LATEST}) WHERE NOT is_deleted")
+def upsert_buckets_events(t: Tables):
+    """Batches out of order, one replayed, one appended and compacted, in a table of buckets."""
+    table = BucketTable(t.spark, t.scratch("buckets"), ["user_id"], buckets=16)
+    rows = t.sql(_LANDING_SPARK)
+    for number, part in enumerate((2, 0, 1)):
+        table.upsert(rows.filter(F.col("ingest_seq") % 4 == part), number)
+    table.upsert(rows.filter("ingest_seq % 4 = 0"), 1)
+    table.append(rows.filter("ingest_seq % 4 = 3"), 3)
+    table.compact()
+    table.expire()
+    return table.read().filter("not is_deleted").select("user_id", "event_type", "value")
+
+
 @query("consolidate_customer", """
 SELECT CASE c_nationkey % 3 WHEN 0 THEN 'north' WHEN 1 THEN 'south' ELSE 'west' END AS source_db, c_custkey % 500 AS k,
   c_name, CASE WHEN c_nationkey % 3 = 2 THEN c_acctbal END AS c_acctbal FROM {customer}

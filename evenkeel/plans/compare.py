@@ -11,6 +11,7 @@ from evenkeel.operators import diff as d
 from evenkeel.operators import ranking, schema, versioned
 from evenkeel.plans.base import Tables, query
 from evenkeel.sources import snapshots
+from evenkeel.sources.manifests import BucketTable
 
 # A changed copy of orders: case only, price, tiny price, null priority; rows missing and rows added.
 ORDERS_COPY = """
@@ -276,13 +277,16 @@ def sync_plan_orders(t: Tables):
 
 
 # After the sync only what counts as equal may still differ from the source.
-@query("apply_sync_orders", f"""WITH {ORDERS_DIFF}
+_SYNCED = f"""WITH {ORDERS_DIFF}
 SELECT k AS o_orderkey, CASE WHEN status = 'MATCH' THEN t_o_custkey ELSE s_o_custkey END AS o_custkey,
   CASE WHEN status = 'MATCH' THEN t_o_orderstatus ELSE s_o_orderstatus END AS o_orderstatus,
   CASE WHEN status = 'MATCH' THEN t_o_orderpriority ELSE s_o_orderpriority END AS o_orderpriority,
   CAST(CASE WHEN status = 'MATCH' THEN t_o_totalprice ELSE s_o_totalprice END AS DOUBLE) AS o_totalprice,
   {_STAMP.format(c="CASE WHEN status = 'MATCH' THEN t_o_orderdate ELSE s_o_orderdate END")} AS o_orderdate
-FROM pair WHERE status <> 'TARGET_ONLY'""")
+FROM pair WHERE status <> 'TARGET_ONLY'"""
+
+
+@query("apply_sync_orders", _SYNCED)
 def apply_sync_orders(t: Tables):
     path = t.scratch("sync")
     snapshots.write_snapshot(t.sql(ORDERS_COPY), path)
@@ -294,6 +298,17 @@ def apply_sync_orders(t: Tables):
         "o_totalprice": F.col("o_totalprice").cast("double"), "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")})
 
 
+@query("apply_buckets_orders", _SYNCED)
+def apply_buckets_orders(t: Tables):
+    """The same plan on a table of buckets; only buckets with a key of the plan are rewritten."""
+    table = BucketTable(t.spark, t.scratch("buckets"), ["o_orderkey"], buckets=16, version="o_orderdate", sequence=None)
+    table.upsert(t.sql(ORDERS_COPY))
+    plan = versioned.sync_plan(d.row_diff(t.orders, table.read(), replace(ORDER_KEY, return_matched=False)), ["o_orderkey"])
+    table.apply(plan)
+    return table.read().withColumns({
+        "o_totalprice": F.col("o_totalprice").cast("double"), "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")})
+
+
 @query("sync_null_keys", """
 SELECT 'MATCH' AS status, count(*) AS row_count FROM {supplier}""")
 def sync_null_keys(t: Tables):
