@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions import json as js
 from evenkeel.functions import values
-from evenkeel.operators import versioned
+from evenkeel.operators import ranking, versioned
 from evenkeel.plans.base import Tables, query
 from evenkeel.sources import snapshots
 from evenkeel.sources.manifests import BucketTable
-from evenkeel.streaming import buckets, changes, warehouse
+from evenkeel.streaming import buckets, changes, retries, warehouse
 
 LANDING = """
 SELECT user_id, event_type, value, props, event_id // 3 AS version, event_type = 'error' AS is_deleted,
@@ -515,3 +515,28 @@ def add_source_customer(t: Tables):
     source = t.customer.filter("c_custkey % 3 = 0").select("c_custkey", "c_name", "c_acctbal")
     sources = warehouse.add_source({"first": landing}, "second", source, landing)
     return versioned.consolidate(sources, keys=["c_custkey"], sequence=None).select("source_db", "c_custkey", "c_name")
+
+
+# ---------------------------------------------------------------- delayed retries
+
+@query("retry_stream_events", """
+WITH failed AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS round, max(ts) AS failed_at, arg_max(event_id, (ts, event_id)) AS event_id
+  FROM {events} WHERE event_type = 'error' GROUP BY ALL)
+SELECT CAST(user_id AS VARCHAR) || '@' || CAST(day AS VARCHAR) AS task, CAST(event_id AS VARCHAR) AS payload, CAST(round AS INTEGER) AS round,
+  CASE WHEN round < 3 THEN 'RETRY' ELSE 'DEAD' END AS outcome, CASE WHEN round < 3 THEN failed_at + INTERVAL 60 SECOND ELSE failed_at END AS "at"
+FROM failed WHERE round >= 3 OR failed_at + INTERVAL 60 SECOND <= (SELECT date_trunc('millisecond', max(failed_at)) FROM failed)""")
+def retry_stream_events(t: Tables):
+    """A user's errors of a day are the rounds of one task; two runs of one stream, the second after a restart."""
+    path = t.scratch("retries")
+    errors = t.events.filter("event_type = 'error'").withColumn("day", F.to_date("ts"))
+    failed = ranking.rank_rows(errors, ["user_id", "day"], ["ts", "event_id"], "nth").select(
+        F.concat_ws("@", "user_id", "day").alias("task"), (F.col("nth") - 1).cast("int").alias("round"),
+        F.col("ts").cast("timestamp").alias("failed_at"), F.col("event_id").cast("string").alias("payload"), "day")
+    for i, part in enumerate(("day < '2024-01-15'", "day >= '2024-01-15'")):
+        failed.filter(part).drop("day").write.parquet(f"{path}/failed/{i}")
+        stream = t.spark.readStream.schema(failed.drop("day").schema).parquet(f"{path}/failed/*")
+        out = retries.retry_stream(stream)
+        writer = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint") \
+            .trigger(availableNow=True)
+        retries.start_retries(writer, t.spark).awaitTermination()
+    return t.spark.read.schema(out.schema).parquet(f"{path}/out").withColumn("at", F.col("at").cast("timestamp_ntz"))
