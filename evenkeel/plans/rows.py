@@ -284,6 +284,24 @@ def document_numbers_hot_sequence(t: Tables):
                                     share=0.05, min_rows=100).select("o_orderkey", "number")
 
 
+@query("document_numbers_batches", f"""
+WITH numbered AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderpriority[1] IN ('1', '2', '3') THEN row_number() OVER (
+    PARTITION BY o_orderpriority, CASE o_orderpriority WHEN '1-URGENT' THEN date_trunc('month', o_orderdate)
+      WHEN '2-HIGH' THEN date_trunc('year', o_orderdate) ELSE TIMESTAMP '1970-01-01' END ORDER BY o_orderstatus = 'F', o_orderdate, o_orderkey)
+    + CASE WHEN o_orderpriority = '2-HIGH' AND year(o_orderdate) = 1995 THEN 40 WHEN o_orderpriority = '3-MEDIUM' THEN 1000 ELSE 0 END END AS number
+  FROM {{orders}})
+SELECT o_orderkey, number FROM numbered""")
+def document_numbers_batches(t: Tables):
+    """Orders in two batches, finished ones in the second, and the first batch repeated after it."""
+    counters = ranking.DocumentCounters(t.spark, t.scratch("counters"), SEQUENCES)
+    rows = t.orders.select("o_orderkey", "o_orderpriority", "o_orderdate", "o_orderstatus")
+    open_, done = rows.filter("o_orderstatus <> 'F'"), rows.filter("o_orderstatus = 'F'")
+    give = lambda part, batch: counters.number(part, batch, "o_orderpriority", "o_orderdate", ["o_orderkey"])
+    give(open_, 0)
+    later = give(done, 1)
+    return give(open_, 0).unionByName(later).select("o_orderkey", "number")
+
+
 @query("paged_read_orders", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice, o_orderkey LIMIT 500 OFFSET 1000")
 def paged_read_orders(t: Tables):
     return ranking.paged(t.orders, ["o_totalprice", "o_orderkey"], 3, 500).select("o_orderkey", "o_totalprice")
