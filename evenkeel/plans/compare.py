@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions.equality import norm_eq
 from evenkeel.operators import diff as d
 from evenkeel.operators import ranking, schema, versioned
+from evenkeel.operators.tree_diff import tree_diff
 from evenkeel.plans.base import Tables, query
 from evenkeel.sources import snapshots
 from evenkeel.sources.manifests import BucketTable
@@ -79,6 +80,30 @@ def row_diff_unique_keys(t: Tables):
     return _dates_as_text(orders_diff(t, unique_keys=True, return_matched=False))
 
 
+@query("tree_diff_orders", f"""WITH {ORDERS_DIFF}
+SELECT CAST(k AS VARCHAR) AS row_key, status, {_DIFF_ROW} FROM pair WHERE status <> 'MATCH'""")
+def tree_diff_orders(t: Tables):
+    return _dates_as_text(tree_diff(t.orders, t.sql(ORDERS_COPY), replace(ORDER_KEY, unique_keys=True)).diff)
+
+
+# A copy in which one stretch of keys was changed, lost and gained rows.
+_STRETCH = """
+SELECT * REPLACE (CASE WHEN o_orderkey BETWEEN 2000 AND 2300 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice)
+FROM {orders} WHERE o_orderkey NOT BETWEEN 2301 AND 2400"""
+
+
+@query("tree_diff_stretch", f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS row_key, CASE WHEN o_orderkey <= 2300 THEN 'DIFFERENT' ELSE 'SOURCE_ONLY' END AS status,
+  o_totalprice AS s_o_totalprice, c.price AS t_o_totalprice
+FROM {{orders}} LEFT JOIN (SELECT o_orderkey AS k, o_totalprice AS price FROM ({_STRETCH})) c ON k = o_orderkey
+WHERE o_orderkey BETWEEN 2000 AND 2400""")
+def tree_diff_stretch(t: Tables):
+    moved = t.orders.filter("o_orderkey NOT BETWEEN 2301 AND 2400").withColumn("o_totalprice", F.when(
+        F.col("o_orderkey").between(2000, 2300), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    found = tree_diff(t.orders, moved, replace(ORDER_KEY, unique_keys=True))
+    return found.diff.select("row_key", "status", "s_o_totalprice", "t_o_totalprice")
+
+
 @query("row_diff_text_keys", f"WITH {ORDERS_DIFF} SELECT CAST(k AS VARCHAR) AS row_key, status FROM pair")
 def row_diff_text_keys(t: Tables):
     copy = t.sql(ORDERS_COPY).withColumn("O_ORDERKEY", F.col("o_orderkey").cast("string"))
