@@ -88,18 +88,18 @@ def tree_diff_orders(t: Tables):
 
 # A copy in which one stretch of keys was changed, lost and gained rows.
 _STRETCH = """
-SELECT * REPLACE (CASE WHEN o_orderkey BETWEEN 2000 AND 2300 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice)
-FROM {orders} WHERE o_orderkey NOT BETWEEN 2301 AND 2400"""
+SELECT * REPLACE (CASE WHEN o_orderkey BETWEEN 700 AND 1000 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice)
+FROM {orders} WHERE o_orderkey NOT BETWEEN 1001 AND 1100"""
 
 
 @query("tree_diff_stretch", f"""
-SELECT CAST(o_orderkey AS VARCHAR) AS row_key, CASE WHEN o_orderkey <= 2300 THEN 'DIFFERENT' ELSE 'SOURCE_ONLY' END AS status,
+SELECT CAST(o_orderkey AS VARCHAR) AS row_key, CASE WHEN o_orderkey <= 1000 THEN 'DIFFERENT' ELSE 'SOURCE_ONLY' END AS status,
   o_totalprice AS s_o_totalprice, c.price AS t_o_totalprice
 FROM {{orders}} LEFT JOIN (SELECT o_orderkey AS k, o_totalprice AS price FROM ({_STRETCH})) c ON k = o_orderkey
-WHERE o_orderkey BETWEEN 2000 AND 2400""")
+WHERE o_orderkey BETWEEN 700 AND 1100""")
 def tree_diff_stretch(t: Tables):
-    moved = t.orders.filter("o_orderkey NOT BETWEEN 2301 AND 2400").withColumn("o_totalprice", F.when(
-        F.col("o_orderkey").between(2000, 2300), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    moved = t.orders.filter("o_orderkey NOT BETWEEN 1001 AND 1100").withColumn("o_totalprice", F.when(
+        F.col("o_orderkey").between(700, 1000), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
     found = tree_diff(t.orders, moved, replace(ORDER_KEY, unique_keys=True))
     return found.diff.select("row_key", "status", "s_o_totalprice", "t_o_totalprice")
 
