@@ -132,11 +132,24 @@ def offset_runs(messages: DataFrame) -> DataFrame:
 
 
 def unseen(messages: DataFrame, seen: DataFrame) -> DataFrame:
-    """Each message once that lies in no run of ``seen``; messages without an offset cannot be told apart and stay."""
-    own = messages.where(F.col("offset").isNotNull()).dropDuplicates(_IDENTITY).alias("m")
-    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("topic", "partition")]
-    inside = F.col("m.offset").between(F.col("s.lo"), F.col("s.hi"))
-    return own.join(seen.alias("s"), [*same, inside], "left_anti").unionByName(messages.where(F.col("offset").isNull()))
+    """Each message once that lies in no run of ``seen``; messages without an offset cannot be told apart and stay.
+
+    Messages and runs go through one order by offset, in stretches of ``RUN`` offsets: a message is in a run if
+    one that began before it ends there or later. So it takes no pairs, however many gaps there are.
+    """
+    stretch = lambda c: F.floor(F.col(c) / RUN)
+    own = messages.where(F.col("offset").isNotNull()).select(
+        "topic", "partition", stretch("offset").alias("stretch"), F.col("offset").alias("at"), F.lit(None).cast("long").alias("until"),
+        F.struct(*[F.col(f"`{c}`") for c in messages.columns]).alias("message"))
+    runs = seen.select("topic", "partition", F.explode(F.sequence(stretch("lo"), stretch("hi"))).alias("stretch"), F.col("lo").alias("at"),
+                       F.col("hi").alias("until"))
+    order = Window.partitionBy("topic", "partition", "stretch").orderBy("at", F.col("until").isNull())  # runs before messages
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    marked = own.unionByName(runs, allowMissingColumns=True).withColumns({
+        "reached": F.max("until").over(before), "last": F.max(F.col("message.offset")).over(before)})
+    fresh = F.coalesce(F.col("reached") < F.col("at"), F.lit(True)) & F.coalesce(F.col("last") < F.col("at"), F.lit(True))
+    kept = marked.where(F.col("message").isNotNull() & fresh).select("message.*")
+    return kept.unionByName(messages.where(F.col("offset").isNull()))
 
 
 def land_changes(stream: DataFrame, path: str, checkpoint: str, base: str = "db",

@@ -85,6 +85,20 @@ def test_runs_of_offsets(spark, monkeypatch):
     assert sorted((r["partition"], r["offset"] or -1) for r in left.collect()) == [(0, -1), (0, 6), (0, 7), (1, 20)]
 
 
+def test_offsets_with_gaps_are_no_pairs(spark, monkeypatch, capsys):
+    """Known offsets are found without a join on ranges, also in runs over many stretches and under null topics."""
+    monkeypatch.setattr(changes, "RUN", 8)
+    rows = [("t" if i % 5 else None, i % 2, i * 3, f"v{i}") for i in range(200)]
+    df = spark.createDataFrame(rows + rows[:20] + [("t", 0, None, "a"), ("t", 0, None, "a")], "topic string, partition int, offset long, value string")
+    seen = changes.offset_runs(df.where("offset % 2 = 0")).union(spark.createDataFrame([("t", 1, 301, 399)], "topic string, partition int, lo long, hi long"))
+    left = changes.unseen(df, seen)
+    want = [r for r in rows if r[2] % 2 and not (r[:2] == ("t", 1) and 301 <= r[2] <= 399)]
+    assert sorted(map(str, map(tuple, left.where("offset is not null").collect()))) == sorted(map(str, want))
+    assert left.where("offset is null").count() == 2
+    left.explain()
+    assert "Join" not in capsys.readouterr().out
+
+
 def test_dead_letters_keep_their_error(spark, tmp_path):
     out = str(tmp_path / "out")
     write(tmp_path / "in", "1.json", [message("c", 1, {"id": 1, "v": "a"}), message("c", 2, {"id": "no", "v": "a"}),
