@@ -51,6 +51,24 @@ def test_records_equal_brute_force(spark):
     assert show(got) == show(want) and len(show(got)) > 60
 
 
+@pytest.mark.parametrize("chunk", [4, 2048])
+def test_links_equal_matches(spark, monkeypatch, chunk):
+    """Copies are matched once and counted each; lengths of several bands meet; empty and null match nothing."""
+    monkeypatch.setattr(similarity_join, "CHUNK", chunk)
+    texts = [*names(70, 6), *names(30, 6), None, "", "x", "日本語", "日本誤", *[("lorem ipsum " * 9)[:n] for n in (60, 64, 65, 66, 70, 100)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, name string")
+    probes = df.where("id % 3 < 2").withColumnRenamed("id", "probe_id")
+    want = {}
+    for r in similarity_join.match_records_joined(df, probes, ["name"], 88).collect():
+        want[r["id"]] = want.get(r["id"], 0) + 1
+    flat = jaro_scores(pd.Series(np.repeat(np.array(texts, dtype=object), len(texts))), pd.Series(texts * len(texts)))
+    scores = flat.reshape(len(texts), -1)[:, np.arange(len(texts)) % 3 < 2]
+    assert want == {i: n for i, n in enumerate((scores >= 88).sum(axis=1)) if n}
+    got = similarity_join.match_records_joined(df, probes, ["name"], 88, links=True).collect()
+    assert {r["id"]: r["n_links"] for r in got} == {i: want.get(i, 0) for i in range(len(texts))} and len(got) == len(texts)
+    assert all(r["class_id"] == [t or "" for t in texts].index(r["name"] or "") for r in got)
+
+
 def test_low_thresholds_and_no_rows(spark):
     none = spark.createDataFrame([], "value string")
     with pytest.raises(ValueError):
