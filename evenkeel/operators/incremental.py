@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel.functions.equality import BLANKS
+from evenkeel.session import small_batches
 
 # Rows per read in the watched service, text length per part, least distance of a soft cut, retry delay and rounds.
 CYCLE_CAP = 100
@@ -88,8 +89,10 @@ def split_long_text(df: DataFrame, column: str, max_len: int = PART_LENGTH,
                     numbering: str = PART_NUMBERING) -> DataFrame:
     """One row per part of a long text, with ``part``, ``parts`` and ``part_text``.
 
-    Parts of a cut text end with their number. Texts up to ``max_len`` stay whole.
+    Parts of a cut text end with their number. Texts up to ``max_len`` stay whole. Texts visit Python in
+    small batches, so that a worker's memory does not grow with the rows.
     """
+    small_batches(df.sparkSession)
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:

@@ -74,6 +74,18 @@ def test_split_prefers_line_end_then_space(spark):
     assert got[(2, 1)] == "short" and got[(3, 1)] == ""
 
 
+def test_split_takes_small_batches(spark):
+    """A Python worker holds few long texts at once, however many rows there are."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        df = spark.range(0, 1000, 1, 1).selectExpr("id", "repeat('a b ', 50) AS t")
+        assert incremental.split_long_text(df, "t", 100).where("part = 1").count() == 1000
+        assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_template(spark):
     df = spark.createDataFrame([(1, None)], "Id int, name string")
     text = lambda t, **k: values.render_template(df, t, **k).first()["message"]
