@@ -116,20 +116,20 @@ class BucketState:
         placed.hint("rebalance", _BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy(_BUCKET, _BATCH).parquet(f"{self.path}/{name}")
 
-    def folders(self, name: str, numbers: Sequence[int], before: int | None = None) -> dict[int, list[str]]:
-        """The batch folders of some buckets; with ``before`` only those of earlier batches."""
+    def folders(self, name: str, numbers: Sequence[int], before: int | None = None, without: int | None = None) -> dict[int, list[str]]:
+        """The batch folders of some buckets; with ``before`` only those of earlier batches, never that of batch ``without``."""
         out: dict[int, list[str]] = {n: [] for n in numbers}
         listed = ",".join(map(str, numbers))
         for path in snapshots.matching(self.spark, f"{self.path}/{name}/{_BUCKET}={{{listed}}}/{_BATCH}=*") if numbers else []:
             bucket, folder = path.split("/")[-2:]
-            if before is None or folder < f"{_BATCH}={before:012d}":
+            if (before is None or folder < f"{_BATCH}={before:012d}") and (without is None or folder != f"{_BATCH}={without:012d}"):
                 out[int(bucket.split("=")[1])].append(folder)
         return {n: sorted(found) for n, found in out.items()}
 
-    def read(self, name: str, numbers: Sequence[int], before: int | None = None) -> DataFrame:
+    def read(self, name: str, numbers: Sequence[int], before: int | None = None, without: int | None = None) -> DataFrame:
         """The rows of some buckets."""
-        self.read_buckets.setdefault(name, set()).update(numbers)
-        found = self.folders(name, numbers, before)
+        found = self.folders(name, numbers, before, without)
+        self.read_buckets.setdefault(name, set()).update(n for n, names in found.items() if names)
         paths = [f"{self.path}/{name}/{_BUCKET}={n}/{f}" for n, names in found.items() for f in names]
         schema = self.schema(name)
         if schema is None:
@@ -179,8 +179,11 @@ def _distinct(state: BucketState, parts: Sequence[DataFrame], names: Sequence[st
     return _Keys(rows, state.numbers(rows, names))
 
 
-def _mark(state: BucketState, wh: BucketedWarehouse, changed: Mapping[str, DataFrame], held: list[DataFrame]) -> _Keys | None:
-    """Keys of the driving rows that the changes can alter."""
+def _mark(state: BucketState, wh: BucketedWarehouse, changed: Mapping[str, DataFrame], number: int, held: list[DataFrame]) -> _Keys | None:
+    """Keys of the driving rows that the changes can alter.
+
+    Pairs that this batch stored are not read back: their rows are among the changed ones.
+    """
     marked: dict[str, _Keys] = {}
     for table in reversed(wh.order()):
         own, parts = list(wh.table_keys[table]), []
@@ -190,7 +193,7 @@ def _mark(state: BucketState, wh: BucketedWarehouse, changed: Mapping[str, DataF
             if link.child == table and link.parent in marked:
                 names, moved = _parent_names(link), marked[link.parent]
                 # An index lies in the buckets of the parent's key.
-                pointing = state.read(link.index, moved.buckets)
+                pointing = state.read(link.index, moved.buckets, without=number if table in changed else None)
                 parts.append(pointing.join(moved.rows.toDF(*names), names, "left_semi").select(*own))
         if parts:
             keys = _distinct(state, parts, own, held)
@@ -218,6 +221,12 @@ def _views(state: BucketState, wh: BucketedWarehouse, marked: _Keys, held: list[
     return out
 
 
+def _present(target: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The current view of target rows. A batch has one row of a key at most, so no key is
+    hot and all rows are placed once, without a first sort for a partial aggregate."""
+    return current_view(target.repartition(*[F.col(f"`{k}`") for k in keys]), keys, sequence=None)
+
+
 def refresh(spark: SparkSession, path: str, wh: BucketedWarehouse, changed: Mapping[str, DataFrame], number: int,
             stamp: Column | None = None) -> dict[str, set[int]]:
     """Store a batch of changes and bring the target up to it; gives the buckets read, by table.
@@ -231,7 +240,7 @@ def refresh(spark: SparkSession, path: str, wh: BucketedWarehouse, changed: Mapp
         changed = {t: rows.withColumn("ingest_seq", F.lit(number).cast("long")).persist() for t, rows in changed.items()}
         held += changed.values()
         _store(state, wh, changed, number)
-        marked = _mark(state, wh, changed, held)
+        marked = _mark(state, wh, changed, number, held)
         if marked is None:
             return state.read_buckets
         fresh = wh.query(_views(state, wh, marked, held))
@@ -242,10 +251,13 @@ def refresh(spark: SparkSession, path: str, wh: BucketedWarehouse, changed: Mapp
         held.append(upserts)
         state.remember(TARGET, upserts.schema)
         touched = _keys_of(marked.rows, wh.table_keys[wh.driving], keys, upserts.schema)
-        missing = touched.join(upserts, keys, "left_anti")
-        old = state.read(TARGET, state.numbers(touched, keys), before=number).join(missing, keys, "left_semi")
-        gone = current_view(old, keys, sequence=None).select(*keys)
-        state.write(TARGET, upserts.unionByName(stamped(gone, True), allowMissingColumns=True), keys, number)
+        missing = touched.join(upserts, keys, "left_anti").persist()
+        held.append(missing)
+        old = state.read(TARGET, state.numbers(touched, keys), before=number).select(*keys, "version", "is_deleted")
+        if not missing.isEmpty():
+            gone = current_view(old.join(missing, keys, "left_semi"), keys, sequence=None).select(*keys)
+            upserts = upserts.unionByName(stamped(gone, True), allowMissingColumns=True)
+        state.write(TARGET, upserts, keys, number)
         return state.read_buckets
     finally:
         for df in held:
@@ -255,7 +267,7 @@ def refresh(spark: SparkSession, path: str, wh: BucketedWarehouse, changed: Mapp
 def read_target(spark: SparkSession, path: str, wh: BucketedWarehouse) -> DataFrame:
     """The target's current view, all buckets."""
     state = BucketState(spark, path, wh.buckets)
-    return current_view(state.read(TARGET, range(wh.buckets)), wh.keys, sequence=None).drop("sync_dt", "version", "is_deleted")
+    return _present(state.read(TARGET, range(wh.buckets)), wh.keys).drop("sync_dt", "version", "is_deleted")
 
 
 def run_bucketed(stream: DataFrame, split: Callable[[DataFrame], Mapping[str, DataFrame]], wh: BucketedWarehouse, path: str,

@@ -121,3 +121,20 @@ def test_later_columns_and_no_rows(spark, tmp_path):
     buckets.refresh(spark, path, wh, {"orders": spark.createDataFrame([(1, 2, 3, 4, 1, False)], SCHEMAS["orders"])}, 2)
     buckets.refresh(spark, path, wh, {"orders": spark.createDataFrame([(2, 2, 3, 4, "x", 2, False)], SCHEMAS["orders"].replace("version", "note string, version"))}, 3)
     assert sorted((r.o_id, r.note) for r in buckets.read_target(spark, path, wh).collect()) == [(1, None), (2, "x")]
+
+
+def test_own_pairs_are_not_read_back(spark, tmp_path):
+    """A batch that moves an order to a changed customer reads the older pairs of its buckets, not its own."""
+    path, frame = str(tmp_path / "s"), lambda table, *rows: spark.createDataFrame(list(rows), SCHEMAS[table])
+    index = WH.links[0].index
+    first = {"orders": frame("orders", (1, 1, 1, 5, 1, False), (2, 2, 1, 6, 1, False)), "customer": frame("customer", (1, "a", 1, 1, False), (2, "b", 1, 1, False)),
+             "seller": frame("seller", (1, "s", 1, 1, False)), "nation": frame("nation", (1, "n", 1, False))}
+    read = buckets.refresh(spark, path, WH, first, 1)
+    assert not any(read[link.index] for link in WH.links) and not read["target"]
+    moved = {"orders": frame("orders", (1, 2, 1, 5, 2, False)), "customer": frame("customer", (2, "c", 1, 2, False))}
+    read = buckets.refresh(spark, path, WH, moved, 2)
+    assert len(read[index]) == 1
+    assert sorted((r.id, r.name) for r in buckets.read_target(spark, path, WH).collect()) == [(1, "c"), (2, "c")]
+    buckets.refresh(spark, path, WH, {"orders": frame("orders", (2, 2, 1, 6, 3, True))}, 3)
+    buckets.refresh(spark, path, WH, {"orders": frame("orders", (2, 2, 1, 6, 3, True))}, 3)  # again
+    assert [(r.id, r.name) for r in buckets.read_target(spark, path, WH).collect()] == [(1, "c")]
