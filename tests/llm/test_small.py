@@ -42,6 +42,35 @@ def test_memory_may_be_small():
     assert [x.tolist() for t in texts for x in ours.encode([t])] == want
 
 
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_a_word_visits_the_library_once(path):
+    """With signs behind it, after a line break or alone: new only as a word after a space and as one without."""
+    ours, asked = TextEncoder(path), []
+
+    class Model:
+        def tokenize(self, word, model=ours.model):
+            asked.append(word)
+            return model.tokenize(word)
+
+    ours.model = Model()
+    text = "wherly wherly. wherly, wherly!? wherly\nwherly wherly.\nwherly; ändly ändly. (wherly) wherly"
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert [x.tolist() for x in ours.encode([text, "", text])] == [want, [], want]
+    assert "".join(asked).count("wherly") == (2 if path == BYTES else 1) and len(asked) == len(set(asked))
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+@pytest.mark.parametrize("limit", [2, 40, 450_000])
+def test_texts_of_letters_and_signs_are_the_library(path, limit):
+    rng, ours, library = random.Random(limit), TextEncoder(path), Tokenizer.from_file(path)
+    for memory in (ours.memory, ours.bare, ours.loose):
+        memory.limit = limit
+    parts = ["the", "Ly", "ÉT", "bär", "ing", " ", " ", " ", "\n", ".", ",", "!?", "(", "#", "-", "\0", "1"]
+    for _ in range(30):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(20)]
+        assert [x.tolist() for x in ours.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_automaton_is_the_library():
     library, ours, texts = Tokenizer.from_file(WORDS), AutomatonTokenizer(WORDS), odd_texts(800, 3)
     for text, (ids, decoded) in zip(texts, ours.encode(texts)):
