@@ -17,25 +17,30 @@ A word is encoded by the one path of the automaton that spells it. The arcs that
 place of many words are found with a table of token prefixes, then places are settled from left
 to right. Decoding emits the labels of the arcs.
 
-Normal form and pre-split are the tokenizers library's own, asked once for each new piece.
+Normal form and pre-split are the tokenizers library's own, asked once for each new piece. In word
+files runs of Latin letters or of signs are words as they stand: the bytes of a batch are cut there,
+Arrow numbers the pieces that differ, and only new ones visit the automaton.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from evenkeel.llm.shared import by_batch, documents, prepare
-from evenkeel.llm.tokens import KNOWN, LONG, PARTS, REMEMBERED, PieceMemory, groups, is_word_file, lowered, shown_bytes
+from evenkeel.llm.tokens import LETTERS, LONG, REMEMBERED, SIGN, PieceMemory, groups, is_word_file, lowered, shown_bytes
 
 ROWS = "doc_id long, ids binary, decoded string"
 _WIDE = 20  # bits for a token's number
+_WORD = re.compile(f"{LETTERS}|{SIGN}+")
 
 
 class MergeAutomaton:
@@ -74,17 +79,18 @@ class MergeAutomaton:
                 stack.extend((c, False) for c in children[token])
         # The gadgets. Children were pushed in order of time, so the latest is numbered first.
         ranges: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        place, last = self.place.tolist(), last.tolist()
         opened: list[int] = [0] * n  # children made so far
         never = [False] * n  # tokens without an arc: an earlier merge always comes first
         for k, (u, v) in enumerate(parts):
             w = first + k
-            if never[u] or never[v] or any(lo <= self.place[v] < hi for lo, hi in ranges[u]):
+            if never[u] or never[v] or any(lo <= place[v] < hi for lo, hi in ranges[u]):
                 never[w] = True
                 opened[u] += 1
                 continue
             ranges[w] = ranges[v].copy()
             later = children[v][opened[v]:]  # built on v from now on
-            ranges[u].append((int(self.place[v]), int(last[later[0]]) if later else int(self.place[v]) + 1))
+            ranges[u].append((place[v], last[later[0]] if later else place[v] + 1))
             opened[u] += 1
         keys, ends = [], []
         for state, held in enumerate(ranges):
@@ -129,6 +135,13 @@ class MergeAutomaton:
         step = step[np.argsort(step[:, 0])]
         self.step_keys, self.step_to = step[:, 0].copy(), step[:, 1].copy()
         self.token = np.array(token, np.int64)
+        # Symbols by character: inside a word, and at its end.
+        top = max((ord(s[0]) for s in self.symbol), default=0)
+        self.inside, self.at_end = np.full(top + 2, -1, np.int64), np.full(top + 2, -1, np.int64)
+        for s, i in self.symbol.items():
+            (self.inside if len(s) == 1 else self.at_end)[ord(s[0])] = i
+        if not self.suffix:
+            self.at_end = self.inside
 
     def allowed(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Whether each state has an arc for each token; state -1 is the start, which has all."""
@@ -147,10 +160,14 @@ class MergeAutomaton:
 
     def encode_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for one word or more as one array, with the places where words begin and the end."""
-        spelled = [self._symbols(w + self.suffix) for w in words]
-        flat = np.fromiter((self.symbol[s] for symbols in spelled for s in symbols), np.int64)
-        sizes = np.array([len(s) for s in spelled])
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         begin = np.concatenate([[0], np.cumsum(sizes)])
+        shown = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        shown = np.minimum(shown, len(self.inside) - 1)  # the last place is for characters beyond the vocabulary's
+        flat = self.inside[shown]
+        flat[begin[1:] - 1] = self.at_end[shown[begin[1:] - 1]]
+        if (flat < 0).any():
+            raise KeyError("a symbol outside the vocabulary")
         stop = np.repeat(begin[1:], sizes)
         inner = np.arange(len(flat)) - np.repeat(begin[:-1], sizes)
         # All arcs that match: from each place, longer and longer prefixes.
@@ -169,7 +186,7 @@ class MergeAutomaton:
             live = at < stop[start]
             start, at, node = start[live], at[live], node[live]
         first, end, tokens = (np.concatenate(x) for x in zip(*arcs))
-        order = np.argsort(inner[end], kind="stable")
+        order = np.argsort(inner[end].astype(np.min_scalar_type(sizes.max())), kind="stable")
         first, end, tokens = first[order], end[order], tokens[order]
         cuts = np.searchsorted(inner[end], np.arange(sizes.max() + 1))
         state = np.full(len(flat), -1, np.int64)  # the token that ends at each place
@@ -206,81 +223,137 @@ class AutomatonTokenizer:
         library = Tokenizer.from_file(path)
         self.normalize, self.split = library.normalizer, library.pre_tokenizer
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
-        self.cut = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
+        longest = sorted(self.special, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest))})") if self.special else None
         self.bytes = told["decoder"] is not None and told["decoder"].get("type") == "ByteLevel"
         if told["decoder"] is not None and not self.bytes:
             raise ValueError("only byte-level decoders, or none")
         if not self.bytes and self.split is not None and told["pre_tokenizer"].get("type") == "ByteLevel":
             raise ValueError("spaces matter to this file, but its decoder drops them")
         self.plain = is_word_file(told)
-        self.memory, self.words = PieceMemory(REMEMBERED // 2), {}
-
-    def _words(self, text: str) -> list[str]:
+        #: Tokens by piece, and by word of the pieces that the library splits.
+        self.memory, self.words = PieceMemory(), PieceMemory(REMEMBERED // 4)
+        # Special tokens are numbered behind the automaton's labels.
+        labels = [*self.automaton.labels, *self.special]
+        self.number = {s: len(self.automaton.labels) + i for i, s in enumerate(self.special)}
+        self.ids = np.array([*self.automaton.ids, *self.special.values()], "<u4")
+        self.spelled = pa.array([self._bytes(s) if self.bytes else s.encode() + b" " for s in labels], pa.large_binary())
+
+    def _bytes(self, label: str) -> bytes:
+        return label.encode() if label in self.special else bytes(byte_of()[c] for c in label)
+
+    def _words(self, piece: str) -> list[str]:
         """The pre-split words of a piece, in the characters that stand for bytes."""
-        if self.plain and KNOWN.fullmatch(text):
-            parts = [text.lower()] if text.isalpha() else PARTS.findall(text.lower())
-            return [w if w.isascii() else w.encode().decode("latin-1").translate(shown_bytes()) for w in parts if w != "\n"]
-        text = self.normalize.normalize_str(text) if self.normalize else text
+        text = self.normalize.normalize_str(piece) if self.normalize else piece
         return [w for w, _ in self.split.pre_tokenize_str(text)] if text else []
 
-    def _make(self, pieces: list[str]) -> list[tuple[bytes, str]]:
-        split = [self._words(p) for p in pieces]
-        new = list(dict.fromkeys(w for words in split for w in words if w not in self.words))
-        labels, ids, joint = self.automaton.labels, self.automaton.ids, "" if self.bytes else " "
-        if len(self.words) > REMEMBERED // 2:
-            self.words = {}
-            new = list(dict.fromkeys(w for words in split for w in words))
-        if new:
-            tokens, cuts = self.automaton.encode_flat(new)
-            raw, shown, cuts = ids[tokens].astype("<u4").tobytes(), [labels[t] for t in tokens.tolist()], cuts.tolist()
-            self.words.update(zip(new, [(raw[4 * a:4 * b], joint.join(shown[a:b])) for a, b in zip(cuts, cuts[1:])]))
-        out = []
-        for words in split:
-            if len(words) == 1:
-                out.append(self.words[words[0]])
-            else:
-                known = [self.words[w] for w in words]
-                out.append((b"".join([a for a, _ in known]), joint.join([b for _, b in known])))
-        return out
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """The tokens of new words."""
+        if not words:
+            return []
+        tokens, cuts = self.automaton.encode_flat(words)
+        raw, cuts = tokens.astype("<u4").tobytes(), (4 * cuts).tolist()
+        return [raw[a:b] for a, b in itertools.pairwise(cuts)]
+
+    def _make(self, pieces: list[str]) -> list[bytes]:
+        """The tokens of new pieces."""
+        told = [self.plain and _WORD.fullmatch(p) is not None for p in pieces]
+        words = [p.lower() for p in itertools.compress(pieces, told)]
+        words = [w if w.isascii() else w.encode().decode("latin-1").translate(shown_bytes()) for w in words]
+        split = [self._words(p) for p, x in zip(pieces, told) if not x]
+        asked = list(dict.fromkeys(itertools.chain.from_iterable(split)))
+        known = dict(zip(asked, self.words.results(asked, self._encode)))
+        plain, others = iter(self._encode(words)), iter([b"".join([known[w] for w in x]) for x in split])
+        return [next(plain) if x else next(others) for x in told]
+
+    def _pieces(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The texts cut into pieces, and the place of each text's first piece and the end.
+
+        Word files: at spaces, and words of letters and of signs apart; byte files: not at all.
+        """
+        held = pa.array(texts, pa.large_string())
+        if self.bytes:
+            return held, np.arange(len(texts) + 1)
+        if not self.plain:
+            split = pc.split_pattern(held, " ")
+            return split.values, split.offsets.to_numpy()
+        _, offsets, data = held.buffers()
+        offsets = np.frombuffer(offsets, np.int64, len(texts) + 1)
+        kind = byte_kinds()[np.frombuffer(data or b"", np.uint8, offsets[-1])]
+        edge = np.ones(len(kind) + 1, bool)
+        if (kind == _OTHER).any():  # other characters make a whole piece between spaces one for the library
+            np.not_equal(kind[1:] == _SPACE, kind[:-1] == _SPACE, out=edge[1:-1])
+            edge[offsets] = True
+            begins = np.flatnonzero(edge)
+            odd = np.maximum.reduceat(kind, begins[:-1]) == _OTHER
+            kind[np.repeat(odd, np.diff(begins))] = _OTHER
+        np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
+        edge[offsets] = True
+        begins = np.flatnonzero(edge)
+        return pa.LargeStringArray.from_buffers(len(begins) - 1, pa.py_buffer(begins), data), np.searchsorted(begins, offsets)
+
+    def _tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of texts without special ones, and where each text begins and the end."""
+        pieces, first = self._pieces(texts)
+        told = pieces.dictionary_encode()
+        new = told.dictionary.to_pylist()
+        short = [p for p in new if len(p) <= LONG]
+        found = self.memory.results(short, self._make)
+        if len(short) < len(new):
+            rest = iter(found)
+            found = [next(rest) if len(p) <= LONG else self._make([p])[0] for p in new]
+        placed = pa.array(found, pa.large_binary()).take(told.indices)
+        _, ends, raw = placed.buffers()
+        bounds = np.frombuffer(ends, np.int64, len(placed) + 1)[first] // 4
+        return np.frombuffer(raw or b"", "<u4", bounds[-1]), bounds
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids as little-endian 32-bit numbers, and its decoded text.
 
         Texts are cut at spaces where the file drops white space, and always at special tokens.
         """
-        plans = []
+        if not texts:
+            return []
+        parts, special, first = [], [], [0]
         for text in texts:
-            marked = self.cut is not None and any(s in text for s in self.special)
-            if self.plain and not marked:
-                plans.append([(lowered(text).replace("\n", " ").split(" "), None)])
-                continue
-            segments, at = [], 0
-            for m in self.cut.finditer(text) if marked else ():
-                segments += [(text[at:m.start()], None), ("", m.group())]
-                at = m.end()
-            segments.append((text[at:], None))
-            plans.append([([special] if special else t.split(" ") if not self.bytes else [t] if t else [], special) for t, special in segments])
-        short = {p for plan in plans for pieces, special in plan if not special for p in pieces}
-        long = {p for p in short if len(p) > LONG}
-        known = self.memory.fetch(short - long, self._make)
-        look = known.__getitem__ if not long else lambda p: self._make([p])[0] if len(p) > LONG else known[p]
+            if self.cut is not None and any([s in text for s in self.special]):
+                for i, part in enumerate(self.cut.split(text)):
+                    special += [(len(parts), self.number[part])] if i % 2 else []
+                    parts.append("" if i % 2 else part)
+            else:
+                parts.append(text)
+            first.append(len(parts))
+        tokens, bounds = self._tokens([lowered(p) for p in parts] if self.plain else parts)
+        if special:
+            at, numbers = np.array(special).T
+            tokens = np.insert(tokens, bounds[at], numbers)
+            bounds = bounds + np.searchsorted(at, np.arange(len(bounds)))
+        bounds = bounds[first]
+        spelled = self.spelled.take(pa.array(tokens))
+        _, ends, data = spelled.buffers()
+        ends = np.frombuffer(ends, np.int64, len(spelled) + 1)[bounds].tolist()
+        ids, data, bounds = self.ids[tokens].tobytes(), memoryview(data or b""), (4 * bounds).tolist()
         out = []
-        for plan in plans:
-            found = []
-            for pieces, special in plan:
-                if special:
-                    found.append((self.special[special].to_bytes(4, "little"), special))
-                else:
-                    found.extend(map(look, pieces))
-            ids, labels = zip(*found) if found else ((), ())
-            out.append((b"".join(ids), self._text(list(filter(None, labels)))))
+        for a, b, c, d in zip(bounds, bounds[1:], ends, ends[1:]):
+            text = str(data[c:d], "utf-8", "replace") if self.bytes else str(data[c:max(c, d - 1)], "utf-8")
+            out.append((ids[a:b], text))
         return out
 
-    def _text(self, labels: list[str]) -> str:
-        if not self.bytes:
-            return " ".join(labels)
-        table = byte_of()
-        return b"".join(s.encode() if s in self.special else bytes(table[c] for c in s) for s in labels).decode("utf-8", "replace")
+
+_SPACE, _LETTER, _SIGN, _OTHER = range(4)
+
+
+@functools.lru_cache(maxsize=1)
+def byte_kinds() -> np.ndarray:
+    """Of each byte of UTF-8: space or line break, Latin letter (its second byte as well), sign, or other."""
+    kinds = np.full(256, _OTHER, np.uint8)
+    for code in range(256):
+        if re.fullmatch(LETTERS, chr(code)):
+            kinds[list(chr(code).encode())] = _LETTER
+        elif re.fullmatch(SIGN, chr(code)):
+            kinds[code] = _SIGN
+    kinds[list(b" \n")] = _SPACE
+    return kinds
 
 
 @functools.lru_cache(maxsize=1)

@@ -79,6 +79,48 @@ def test_automaton_is_the_library():
         assert decoded == library.decode(want, skip_special_tokens=False)
 
 
+def test_words_visit_the_automaton_once_and_not_the_library():
+    """Letters and signs, however they stand together, are words that need no pre-split by the library."""
+    ours, asked = AutomatonTokenizer(WORDS), []
+    whole = ours.automaton.encode_flat
+    ours.automaton.encode_flat = lambda words: asked.extend(words) or whole(words)
+
+    class Blank:
+        def normalize_str(self, piece):
+            assert not piece.strip()
+            return piece
+
+    ours.normalize = Blank()
+    text = "wherly (wherly) wherly.wherly Wherly,\nwherly!? (ÄNDLY) ändly; wherly-ändly"
+    library = Tokenizer.from_file(WORDS)
+    want = library.encode(text, add_special_tokens=False).ids
+    shown = library.decode(want, skip_special_tokens=False)
+    assert [(np.frombuffer(ids, "<u4").tolist(), s) for ids, s in ours.encode([text, "", text])] == [(want, shown), ([], ""), (want, shown)]
+    assert asked.count("wherly") == 1 and len(asked) == len(set(asked))
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+@pytest.mark.parametrize("limit", [2, 40])
+def test_automaton_of_batches_with_small_memory(path, limit):
+    rng, ours, library = random.Random(limit), AutomatonTokenizer(path), Tokenizer.from_file(path)
+    ours.memory.limit = ours.words.limit = limit
+    parts = [*ODD, "<|startoftext|>", "<|ENDOFTEXT|>", "a.b", "×÷a", "e\u0301x", "(the)", "ÉT-ing", "x" * 300, "-" * 250, " " * 300, "\0", *" " * 20]
+    for size in (0, 1, 1, 3, 40, 40):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(size)]
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        got = ours.encode(texts)
+        assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in got] == want
+        assert [s for _, s in got] == [library.decode(x, skip_special_tokens=False) for x in want]
+
+
+def test_automaton_refuses_symbols_outside_the_vocabulary():
+    automaton = MergeAutomaton({"a": 0, "b": 1, "ab": 2}, [("a", "b")])
+    assert [x.tolist() for x in automaton.encode_words(["ab", "ba"])] == [[2], [1, 0]]
+    for word in ("c", "aZ", "\U0001f600"):
+        with pytest.raises(KeyError):
+            automaton.encode_words(["ab", word])
+
+
 def by_merging(word, merges):
     parts = list(word)
     for a, b in merges:
