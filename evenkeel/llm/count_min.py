@@ -12,8 +12,10 @@ starts in a document with a smaller doc_id. Four steps, with one shuffle of the
    counters; the number of segments grows with the input, so that they stay sparse). An estimate
    is never too low, so no gram of two documents is lost; documents learn which of their grams
    are estimated to repeat.
-3. *Exact windows.* Documents with such grams hash their windows (96 bits), and each window's
-   smallest doc_id is found by grouping, again with one record for each task and window.
+3. *Exact windows.* Documents with such grams hash their windows (96 bits). Each task sends them
+   packed by segments, one row a segment, again with one record for each task and window; each
+   window's smallest doc_id is found by sorting one segment in numpy. Spark thus shuffles rows of
+   packed records and never holds or sorts a row a window.
 4. *Removal.* Documents hash their windows once more and drop the words they cover. The texts
    are joined in steps 3 and 4 by one and the same exchange.
 
@@ -30,7 +32,7 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm.shared import documents, extended, prepare
@@ -41,11 +43,13 @@ WIDTH, GRAM = 13, 8
 SEGMENT, COUNTERS = 1 << 16, 18
 #: Records that a task gathers before it sends them.
 BUFFER = 1 << 22
+#: Bytes of packed records in one Arrow batch, about.
+PACKED = 1 << 21
 #: Bytes of text for each gram, about.
 BYTES_A_GRAM = 20
 
 _SKETCH = "segment long, grams binary, docs binary, counts binary"
-_WINDOWS = "h1 long, h2 int, doc_id long, decided binary"
+_WINDOWS = "segment long, h1 binary, h2 binary, docs binary"
 
 
 def _hashes(data: np.ndarray, offsets: np.ndarray):
@@ -77,6 +81,37 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
+def _packed(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``PACKED`` bytes of rows of a segment and its packed records."""
+    part, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        columns = list(zip(*part))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
+
+    for row in rows:
+        part.append(row)
+        size += sum(len(x) for x in row[1:] if x is not None)
+        if size >= PACKED or len(part) == 4096:
+            yield batch()
+            part, size = [], 0
+    if part:
+        yield batch()
+
+
+def _decided(keys: np.ndarray, docs: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """Segments of their own, keys and documents of what a task decided by itself."""
+    order = np.argsort(docs, kind="stable")
+    keys, docs = keys[order], docs[order]
+    for k, a in enumerate(range(0, len(keys), SEGMENT // 4)):
+        b = a + SEGMENT // 4
+        yield int(1 << 62 | int(docs[a]) * 31 + k & (1 << 40) - 1), keys[a:b].tobytes(), docs[a:b].tobytes()
+
+
+def _joined(table: pa.Table, i: int, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(i).to_pylist()), kind)
+
+
 def _sketches(bits: int, width: int, gram: int):
     """The first pass: each task's sketch by segments, and what it decided by itself."""
     def flush(keys: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -90,17 +125,11 @@ def _sketches(bits: int, width: int, gram: int):
         held, counts = keys[begin], np.minimum(sizes, 2).astype(np.uint8)
         segment = held >> U64(32)
         cuts = np.append(_runs(segment), len(held))
-        rows = [(int(segment[a]), (held[a:b] & U64(0xFFFFFFFF)).astype("<u4").tobytes(), docs[begin[a:b]].tobytes(), counts[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+        names = ["segment", "grams", "docs", "counts"]
+        rows = ((int(segment[a]), (held[a:b] & U64(0xFFFFFFFF)).astype("<u4").tobytes(), docs[begin[a:b]].tobytes(), counts[a:b].tobytes()) for a, b in zip(cuts, cuts[1:]))
+        yield from _packed(rows, names)
         # Decided grams go back to their documents over segments of their own.
-        keys, docs = keys[several], docs[several]
-        order = np.argsort(docs, kind="stable")
-        keys, docs = keys[order], docs[order]
-        for k, a in enumerate(range(0, len(keys), SEGMENT // 4)):
-            b = a + SEGMENT // 4
-            rows.append((int(1 << 62 | int(docs[a]) * 31 + k & (1 << 40) - 1), keys[a:b].tobytes(), docs[a:b].tobytes(), None))
-        for a in range(0, len(rows), 256):
-            columns = list(zip(*rows[a:a + 256]))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["segment", "grams", "docs", "counts"])
+        yield from _packed(((*row, None) for row in _decided(keys[several], docs[several])), names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs, size = [], [], 0
@@ -128,12 +157,11 @@ def _sketches(bits: int, width: int, gram: int):
 def _merge(table: pa.Table) -> pa.Table:
     """Add the sketches of one segment; give documents their grams of an estimate of two or more."""
     segment = table.column(0)[0].as_py()
-    join = lambda i, kind: np.frombuffer(b"".join(table.column(i).to_pylist()), kind)
-    docs = join(2, np.int64)
+    docs = _joined(table, 2, np.int64)
     if segment >> 62:
-        keys = join(1, np.int64)
+        keys = _joined(table, 1, np.int64)
     else:
-        grams, counts = join(1, "<u4"), join(3, np.uint8)
+        grams, counts = _joined(table, 1, "<u4"), _joined(table, 3, np.uint8)
         rows = [grams >> np.uint32(32 - COUNTERS), grams * np.uint32(0x9E3779B1) >> np.uint32(32 - COUNTERS)]
         estimate = np.minimum(*(np.bincount(r, counts, 1 << COUNTERS)[r] for r in rows))
         # A record of two stands for documents that know already.
@@ -150,19 +178,14 @@ def _exact(bits: int, width: int, gram: int):
         new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (docs[1:] != docs[:-1])])
         h1, h2, docs = h1[new], h2[new], docs[new]
         first = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-        schema = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("decided", pa.binary())])
-        for a in range(0, int(first.sum()), 1 << 16):
-            at = np.flatnonzero(first)[a:a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(h1[at].view(np.int64)), pa.array(h2[at]), pa.array(docs[at]), pa.nulls(len(at), pa.binary())], schema=schema)
-        h1, docs = h1[~first], docs[~first]  # a smaller id was seen here
-        order = np.argsort(docs, kind="stable")
-        h1, docs = h1[order], docs[order]
-        cuts = np.append(_runs(docs), len(docs))
-        rows = [(int(docs[a]), h1[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
-        for a in range(0, len(rows), 256):
-            ids, blobs = zip(*rows[a:a + 256])
-            spread = mix(np.array(ids, np.int64).view(U64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], schema=schema)
+        held, second, least = h1[first], h2[first], docs[first]
+        segment = held >> U64(32 - bits) >> U64(32)
+        cuts = np.append(_runs(segment), len(held))
+        names = ["segment", "h1", "h2", "docs"]
+        rows = ((int(segment[a]), held[a:b].tobytes(), second[a:b].tobytes(), least[a:b].tobytes()) for a, b in zip(cuts, cuts[1:]))
+        yield from _packed(rows, names)
+        # A smaller id was seen here for the others.
+        yield from _packed(((k, keys, None, own) for k, keys, own in _decided(h1[~first], docs[~first])), names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -185,7 +208,7 @@ def _exact(bits: int, width: int, gram: int):
                 salt = lambda own: mix(own.astype(U64) + U64(1))
                 hit = np.isin(found ^ salt(owner), known ^ salt(np.repeat(np.arange(len(lengths)), lengths)))
                 h1 = windows(hashes, words.first, width, 1)[0][hit]
-                h2 = (windows(hashes, words.first, width, 2)[0][hit] >> U64(32)).astype(np.uint32).view(np.int32)
+                h2 = (windows(hashes, words.first, width, 2)[0][hit] >> U64(32)).astype(np.uint32)
                 held.append((h1, h2, ids[chunk.first:chunk.last][owner[hit]]))
                 size += len(h1)
             if size > BUFFER // 2:
@@ -197,6 +220,23 @@ def _exact(bits: int, width: int, gram: int):
     return run
 
 
+def _later(table: pa.Table) -> pa.Table:
+    """Of the windows of one segment, those that a smaller doc_id has too; packed by documents."""
+    h1, docs = _joined(table, 1, U64), _joined(table, 3, np.int64)
+    if not table.column(0)[0].as_py() >> 62:
+        h2 = _joined(table, 2, np.uint32)
+        order = np.lexsort((docs, h2, h1))
+        h1, h2, docs = h1[order], h2[order], docs[order]
+        begin = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
+        later = docs > np.repeat(docs[begin], np.diff(np.append(begin, len(docs))))
+        h1, docs = h1[later], docs[later]
+    order = np.argsort(docs, kind="stable")
+    h1, docs = h1[order], docs[order]
+    cuts = np.append(_runs(docs), len(docs))
+    gone = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 8).astype(np.int32)), pa.py_buffer(h1.tobytes())])
+    return pa.table({"doc_id": pa.array(docs[cuts[:-1]], pa.int64()), "gone": gone})
+
+
 def _remove(width: int, others: tuple[str, ...], rejoin: bool):
     """The last pass: drop the words that decided windows cover."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +244,7 @@ def _remove(width: int, others: tuple[str, ...], rejoin: bool):
             if not batch.num_rows:
                 continue
             texts, n_words, n_removed = [], [], []
-            column, gone, blobs = batch.column("text"), batch.column("_gone").to_pylist(), batch.column("_blobs").to_pylist()
+            column, gone = batch.column("text"), batch.column("_gone").to_pylist()
             for chunk in chunks(column):
                 words, hashes = _hashes(chunk.data, chunk.offsets)
                 rolled, at, begins = windows(hashes, words.first, width, 1)
@@ -213,8 +253,8 @@ def _remove(width: int, others: tuple[str, ...], rejoin: bool):
                     row, a, b = chunk.first + i, words.first[i], words.first[i + 1]
                     split = held[chunk.offsets[i]:chunk.offsets[i + 1]].split()
                     removed = 0
-                    if gone[row] or blobs[row]:
-                        keys = np.concatenate([np.array(gone[row] or [], np.int64), *(np.frombuffer(x, np.int64) for x in blobs[row] or [])]).view(U64)
+                    if gone[row]:
+                        keys = np.frombuffer(b"".join(gone[row]), U64)
                         hit = at[begins[i]:begins[i + 1]][np.isin(rolled[begins[i]:begins[i + 1]], keys)] - a
                         flags = cover(b - a, hit, width)
                         removed = int(flags.sum())
@@ -244,9 +284,7 @@ def remove_repeats(docs: DataFrame, *others: str, width: int = WIDTH, gram: int
     repeated = sketches.groupBy("segment").applyInArrow(_merge, "doc_id long, gram long")
     grams = repeated.groupBy("doc_id").agg(F.collect_list("gram").alias("_grams"))
     found = held.join(grams, "doc_id", "left").mapInArrow(_exact(bits, width, gram), _WINDOWS)
-    least = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
-    later = found.withColumn("_least", least).where(F.col("decided").isNotNull() | (F.col("doc_id") > F.col("_least")))
-    gone = later.groupBy("doc_id").agg(
-        F.collect_list(F.when(F.col("decided").isNull(), F.col("h1"))).alias("_gone"), F.collect_list("decided").alias("_blobs"))
+    later = found.groupBy("segment").applyInArrow(_later, "doc_id long, gone binary")
+    gone = later.groupBy("doc_id").agg(F.collect_list("gone").alias("_gone"))
     schema = extended("doc_id long, text string, n_words long, n_removed long", held, others)
     return held.join(gone, "doc_id", "left").mapInArrow(_remove(width, others, rejoin), schema)

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.dataset as ds
 import pytest
 from tokenizers import Tokenizer
@@ -292,6 +293,24 @@ def test_odd_inputs_keep_their_rows(spark, odd, labels):
     assert collections.Counter((-999 if pd.isna(r.doc_id) else int(r.doc_id), r.n_words, r.text) for r in left.itertuples()) == want
 
 
+def test_repeated_windows_travel_packed(spark, monkeypatch):
+    """A task sends a row for each segment of windows, not one for each window; segments give what whole tables give."""
+    texts = [" ".join(f"w{(i * 7 + k) % 1500}" for k in range(400)) for i in range(40)]
+    grams = []
+    for text in texts:
+        words, hashes = count_min._hashes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        grams.append((count_min.anchors(hashes, words.first, 13, 8) >> np.uint64(30)).view(np.int64))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts), pa.array(grams, pa.list_(pa.int64()))], names=["doc_id", "text", "_grams"])
+    sent = list(count_min._exact(2, 13, 8)(iter([batch])))
+    assert sum(b.num_rows for b in sent) <= 4 + 40 * 388 // (count_min.SEGMENT // 4) + 1
+
+    docs = [(i if i % 9 else None, t) for i, t in enumerate(texts)] + [(i + 3, t) for i, t in enumerate(texts)]
+    monkeypatch.setattr(count_min, "SEGMENT", 16)  # for the number of segments alone
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = collections.Counter((-999 if pd.isna(r.doc_id) else int(r.doc_id), r.n_words, r.text) for r in rows(count_min.remove_repeats(df)).itertuples())
+    assert got == collections.Counter((-999 if i is None else i, len(words), " ".join(kept)) for i, words, kept in removed_by_hand(docs))
+
+
 def test_empty_tables(spark, odd, labels):
     none, no_labels = odd.where("false"), labels.where("false")
     assert elias_fano.read_token_files(elias_fano.write_token_files(none, BYTE_LEVEL)).count() == 0
