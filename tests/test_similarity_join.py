@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions.similarity import jaro_scores
 from evenkeel.operators import matching, similarity_join
+from evenkeel.plans import QUERIES
 
 
 def names(n, seed):
@@ -74,3 +75,16 @@ def test_low_thresholds_and_no_rows(spark):
     with pytest.raises(ValueError):
         similarity_join.candidate_values(none, none, 30)
     assert similarity_join.similar_values(none, none, 80).count() == 0
+
+
+def test_joined_parts_give_each_pair(spark, tmp_path):
+    """Copies, a repeated key and keys that are null have all their pairs; a null label has none."""
+    rows = [(i, f"{('hot', 'cold', 'old')[i % 3]} {('bolt', 'ring')[i % 2]}", f"Brand#{i % 25}", ("LARGE", "SMALL")[i % 5 == 0], i % 50) for i in range(120)]
+    rows += [rows[7], (8, *rows[9][1:]), (None, *rows[10][1:]), (None, *rows[10][1:]), (200, None, "Brand#1", "LARGE", 1), (201, "x", "B", "y", None)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    labels = [(r[0], None if None in r[1:] else " ".join(map(str, r[1:]))) for r in rows]
+    pairs = [(a, b) for a in labels for b in labels if a[1] and b[1]]
+    scores = jaro_scores(pd.Series([a[1] for a, _ in pairs]), pd.Series([b[1] for _, b in pairs]), True)
+    want = sorted(str((a[0], b[0], round(float(s), 6))) for (a, b), s in zip(pairs, scores) if s >= 97)
+    got = QUERIES["match_records_joined_parts"](spark, str(tmp_path)).select("id", "probe_id", "score").collect()
+    assert sorted(str(tuple(r)) for r in got) == want and len(want) > 2 * len(rows)
